@@ -7,6 +7,15 @@ from pyspark.sql import Column, functions as F
 from trendloom.functions.expr import as_column, drop_nan, let
 
 
+# The last bits of a sum depend on the order of its terms, so on the kernel and
+# on where a row lies in its batch. Scores are compared without them.
+SCORE_DIGITS = 9
+
+
+def stable(score: Column) -> Column:
+    return F.round(score, SCORE_DIGITS)
+
+
 def to_doubles(v: Column | str) -> Column:
     return as_column(v).cast("array<double>")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from trendloom.functions.vectors import dot, to_doubles
+from trendloom.functions.vectors import SCORE_DIGITS, dot, to_doubles, weighted
 from trendloom.operators.sizing import lookup_join
 
 MAX_TAGS = 50_000
@@ -22,10 +22,11 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
                     item_vec: str = "text_embedding", tag_vec: str = "embedding",
                     weight: str | None = None, on: str | None = "category",
                     above: float | None = 0.0, floor: str | None = None,
-                    kernel: str = "auto") -> DataFrame:
+                    kernel: str = "auto", digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Dot product of each item with each tag of its group, times the item's weight.
 
-    Both sides hold unit vectors, so the product is the cosine. Only pairs
+    Both sides hold unit vectors, so the product is the cosine. Scores are
+    rounded to `digits` decimals, if given. Only pairs
     with `score > above`, and `score >= floor` where the tags carry such a
     column, leave the kernel; other pairs never become rows.
 
@@ -52,14 +53,14 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
                 raise ValueError("too many tags for the arrow kernel")
             held = None
     if held is not None:
-        scored = _arrow_scores(items, held, keep, group, above)
+        scored = _arrow_scores(items, held, keep, group, above, digits)
     else:
-        scored = _native_scores(items, tags, keep, group, above)
+        scored = _native_scores(items, tags, keep, group, above, digits)
     return scored.drop(_ANY)
 
 
 def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
-                  above: float | None) -> DataFrame:
+                  above: float | None, digits: int | None) -> DataFrame:
     import numpy as np
 
     rows = held.column("__tag_vec").to_pylist()
@@ -97,6 +98,8 @@ def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
                         raise ValueError("item and tag vectors differ in length")
                     weights = batch.column("__weight").to_numpy(zero_copy_only=False)
                     scores = (flat.reshape(batch.num_rows, -1) @ tag_matrix) * weights[:, None]
+                    if digits is not None:
+                        scores = np.round(scores, digits)
                     wanted = np.ones(scores.shape, bool) if above is None else scores > above
                     wanted &= np.isnan(tag_floors)[None, :] | (scores >= tag_floors[None, :])
                     item_at, tag_at = np.nonzero(wanted)
@@ -110,7 +113,7 @@ def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
 
 
 def _native_scores(items: DataFrame, tags: DataFrame, keep: Sequence[str], group: str,
-                   above: float | None) -> DataFrame:
+                   above: float | None, digits: int | None) -> DataFrame:
     """Tags packed into arrays of bounded length, scored inside each item row."""
     counts = tags.groupBy(group).agg(
         F.ceil(F.count(F.lit(1)) / TAGS_PER_BLOCK).cast("int").alias("__blocks"))
@@ -121,10 +124,13 @@ def _native_scores(items: DataFrame, tags: DataFrame, keep: Sequence[str], group
         .agg(F.collect_list(F.struct("tag", "__tag_vec", "__floor")).alias("__tags"))
         .drop("__block"))
     joined = lookup_join(items, blocks, [group], "inner")
+
+    def score(tag):
+        raw = weighted(dot(F.col("__vec"), tag["__tag_vec"]), F.col("__weight"))
+        return raw if digits is None else F.round(raw, digits)
+
     pairs = F.transform("__tags", lambda t: F.struct(
-        t["tag"].alias("tag"),
-        F.nullif(dot(F.col("__vec"), t["__tag_vec"]) * F.col("__weight"), F.lit(float("nan"))).alias("score"),
-        t["__floor"].alias("floor")))
+        t["tag"].alias("tag"), score(t).alias("score"), t["__floor"].alias("floor")))
     if above is not None:
         pairs = F.filter(pairs, lambda p: p["score"] > above)
     pairs = F.filter(pairs, lambda p: p["floor"].isNull() | (p["score"] >= p["floor"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import category_stop_words, embedding_text_raw, normalize_text
-from trendloom.functions.vectors import cosine_from_norms, norm, to_doubles
+from trendloom.functions.vectors import cosine_from_norms, norm, stable, to_doubles
 from trendloom.operators import filters
 from trendloom.operators.aggregates import max_score
 from trendloom.operators.corpus import embed_texts, encode_distinct
@@ -99,12 +99,13 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
     vectors = encode_distinct(catalog, "embedding_text", encoder, "text_embedding", partitions)
     texts = skew_join(rows.select(*key).distinct(), vectors, ["embedding_text"], "inner").withColumn(
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
-    scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel)
+    scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
     packed = cut_lineage(
         scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores")))
     pairs = skew_join(rows, packed, key, "inner").select(
         "category", "product_id", "weight", F.inline("scores"))
-    scores = pairs.select("category", "product_id", "tag", (F.col("score") * F.col("weight")).alias("score"))
+    scores = pairs.select("category", "product_id", "tag",
+        stable(F.col("score") * F.col("weight")).alias("score")).where("score > 0")
     if thresholds is not None:
         floors = tags.select("category", "floor").distinct()
         scores = lookup_join(scores, floors, ["category"]).where("score >= floor").drop("floor")
@@ -137,10 +138,11 @@ def map_trends(candidates: DataFrame, catalog: DataFrame, trends: DataFrame, enc
     products = described.select(
         "product_id", encoder(F.col("product_description")).cast("array<double>").alias("embeddings"))
     products = products.withColumn("__product_norm", norm("embeddings"))
-    tags = trends.withColumn("__tag_vec", to_doubles("embedding"))
-    ranked = lookup_tag_vector(attach_product_vector(best, products), tags, order_by, "__tag_vec")
-    ranked = ranked.withColumn("cosine_similarity", cosine_from_norms(
-        F.col("__tag_vec"), F.col("embeddings"), norm("__tag_vec"), F.col("__product_norm")))
-    ranked = ranked.drop("embeddings", "__tag_vec", "__product_norm")
+    vec = to_doubles("embedding")
+    tags = trends.withColumn("__tag", F.struct(vec.alias("vec"), norm(vec).alias("norm")))
+    ranked = lookup_tag_vector(attach_product_vector(best, products), tags, order_by, "__tag")
+    ranked = ranked.withColumn("cosine_similarity", stable(cosine_from_norms(
+        F.col("__tag.vec"), F.col("embeddings"), F.col("__tag.norm"), F.col("__product_norm"))))
+    ranked = ranked.drop("embeddings", "__tag", "__product_norm")
     final = top_k(ranked, score="cosine_similarity", k=final_k)
     return filters.with_gender(filters.stamp_validity(final, start_date, end_date))
