@@ -15,7 +15,7 @@ from trendloom.functions import vocabulary as voc
 from trendloom.functions.expr import as_column, let, literal_array, literal_map, strip
 
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+|[^\s\p{Z}\p{L}\p{M}\p{N}]"
-PUNCTUATION_PATTERN = r"^\p{P}+$"
+PUNCTUATION_PATTERN = r"^\p{P}$"
 
 
 def embedding_text_raw(value: Column | str, type_: Column | str) -> Column:
@@ -59,7 +59,8 @@ def is_number_like(c: Column | str) -> Column:
     ordinal = F.lit(False)
     for ending in voc.ORDINAL_ENDINGS:
         ordinal = ordinal | c.endswith(ending)
-    return c.rlike("^[0-9]+$") | ordinal | c.isin(list(voc.NUMBER_WORDS))
+    starts_with_digit = (c >= "0") & (c < ":")
+    return ordinal | c.isin(list(voc.NUMBER_WORDS)) | (starts_with_digit & c.rlike("^[0-9]+$"))
 
 
 def tokenize(c: Column | str) -> Column:
@@ -103,7 +104,9 @@ def is_kept(token: Column, lemma: Column, category_stop: Column,
         token.isin(list(stop_words)) | lemma.isin(list(stop_words))
         | F.array_contains(category_stop, lemma)
     )
-    return ~token.rlike(PUNCTUATION_PATTERN) & (protected | ~stopped)
+    # only a token of one character can be punctuation
+    visible = (F.length(token) > 1) | ~token.rlike(PUNCTUATION_PATTERN)
+    return protected | (~stopped & visible)
 
 
 def dedupe_tokens(tokens: Column, sep: str = " ") -> Column:

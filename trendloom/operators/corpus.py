@@ -11,8 +11,7 @@ from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import (apply_phrases, clean_attribute_text, drop_trailing_conjunction,
                                       is_kept, is_number_like, number_to_word, rule_lemma, tokenize)
 from trendloom.functions.expr import literal_array
-from trendloom.operators.sizing import lookup_join, skew_join
-from trendloom.session import cut_lineage
+from trendloom.operators.sizing import derive_once, lookup_join, work_partitions
 
 
 def explode_tokens(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -68,18 +67,12 @@ def encode_distinct(df: DataFrame, text: str, encoder: Encoder, out: str = "text
                     partitions: int | None = None) -> DataFrame:
     """Vector of each distinct text, missing texts left out."""
     texts = df.select(text).where(F.col(text).isNotNull()).distinct()
-    if partitions:
-        texts = texts.repartition(partitions)
+    texts = texts.repartition(partitions or work_partitions(df))
     return texts.select(text, encoder(F.col(text)).alias(out))
 
 
 def embed_texts(df: DataFrame, text: str, encoder: Encoder, out: str = "text_embedding",
                 partitions: int | None = None) -> DataFrame:
-    """Add the vector of a text column; each distinct text is encoded once.
-
-    The vectors are saved before they are joined back, so no executor loss
-    and no second use of the result runs the encoder again. A text shared by
-    a large part of the rows is salted in that join.
-    """
-    vectors = cut_lineage(encode_distinct(df, text, encoder, out, partitions))
-    return skew_join(df, vectors, [text])
+    """Add the vector of a text column; each distinct text is encoded once."""
+    return derive_once(df, [text], lambda texts: texts.select(text, encoder(F.col(text)).alias(out)),
+                       partitions)

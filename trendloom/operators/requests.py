@@ -66,20 +66,26 @@ def parse_answers(df: DataFrame, response: str = "response", index: int = 1,
                   by_type: bool = False) -> DataFrame:
     """Add `trends_json` and, where there is none, the reason in `reject_reason`.
 
-    Fences are taken off the envelope and off the text inside it.
+    Fences are taken off the envelope and off the text inside it, unless it
+    is JSON as it stands.
     """
-    envelope = strip_code_fence(response)
-    inner = strip_code_fence(extract_answer_text(F.col("__envelope"), index, by_type))
+
+    def unfenced(c: Column) -> Column:
+        return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(strip_code_fence(c))
+
+    envelope = unfenced(F.col(response))
+    inner = unfenced(F.col("__text"))
     missing = F.col(response).isNull() | (strip(F.col(response)) == "")
     return (
         df.withColumn("__envelope", envelope)
+        .withColumn("__text", extract_answer_text(F.col("__envelope"), index, by_type))
         .withColumn("trends_json", inner)
         .withColumn("reject_reason",
                     F.when(missing, "no response")
                     .when(F.try_parse_json("__envelope").isNull(), "invalid envelope")
                     .when(F.col("trends_json").isNull(), "no answer text")
                     .when(F.try_parse_json("trends_json").isNull(), "invalid answer"))
-        .drop("__envelope"))
+        .drop("__envelope", "__text"))
 
 
 def split_valid_json(df: DataFrame, response: str = "response", index: int = 1,

@@ -1,4 +1,4 @@
-"""Joins that look before they broadcast.
+"""Joins that look before they broadcast, and work shared by equal keys.
 
 Every small side is measured. Within the bound it is broadcast; beyond it the
 same rows come out of a salted shuffle join, so a key that holds a third of
@@ -7,7 +7,7 @@ the rows is spread over many tasks either way.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,13 +80,15 @@ def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
               hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join two large tables on a key that a large part of `left` may share.
+    """Join two tables on a key that a large part of `left` may share.
 
-    Keys with more than `hot_rows` rows are counted first; only those are
+    A `right` within the bound is broadcast. Else keys with more than `hot_rows` rows are counted first; only those are
     salted on the left and copied on the right. There are at most
     rows / hot_rows of them.
     """
     on = list(on)
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right), on, how)
     present = left.select(*on).na.drop()
     hot = cut_lineage(
         present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
@@ -108,3 +110,31 @@ def semi_by(df: DataFrame, keys_df: DataFrame, on: str) -> DataFrame:
     if fits_broadcast(keys):
         return df.join(F.broadcast(keys), [on], "left_semi")
     return df.join(keys, [on], "left_semi")
+
+
+def work_partitions(df: DataFrame) -> int:
+    """Tasks for work that costs CPU rather than bytes."""
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scanned table spread over the cores, if it lies in too few pieces to use half of them.
+
+    Tables of many splits stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(work_partitions(df)) if df.rdd.getNumPartitions() <= cores // 2 else df
+
+
+def derive_once(df: DataFrame, keys: Sequence[str], derive: Callable[[DataFrame], DataFrame],
+                partitions: int | None = None) -> DataFrame:
+    """Add columns that depend on `keys` alone, worked out once per distinct key.
+
+    `derive` gets the distinct keys and returns them with the new columns.
+    What it returns is saved before it is joined back, so neither a lost
+    executor nor a second use repeats the work. Rows with a missing key get
+    no values.
+    """
+    distinct = df.select(*keys).na.drop().distinct()
+    distinct = distinct.repartition(partitions or work_partitions(df))
+    return skew_join(df, cut_lineage(derive(distinct)), keys)

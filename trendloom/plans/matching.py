@@ -17,23 +17,38 @@ from trendloom.operators.joins import (attach_description, attach_product_vector
                                        lookup_tag_vector, semi_by)
 from trendloom.operators.ranking import dedupe_first, top_k
 from trendloom.operators.similarity import similarity_join
-from trendloom.operators.sizing import lookup_join, skew_join
+from trendloom.operators.sizing import derive_once, lookup_join, skew_join
 from trendloom.session import cut_lineage
 
 POS = ("pos",)
 
 
-def catalog_texts(catalog: DataFrame) -> DataFrame:
-    """Add the normalised text of each attribute row; rows without a value are dropped."""
+_RAW = "__raw"
+
+
+def _with_raw_text(catalog: DataFrame) -> DataFrame:
+    """Attribute rows with their text as written; rows without a value are dropped."""
     rows = catalog.where(
         F.col("normalised_name").isNotNull() & F.col("standardize_type_updated").isNotNull())
-    raw = embedding_text_raw("normalised_name", "standardize_type_updated")
-    return rows.withColumn("embedding_text", normalize_text(raw, category_stop_words("category")))
+    return rows.withColumn(_RAW, embedding_text_raw("normalised_name", "standardize_type_updated"))
+
+
+def _normalized(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("embedding_text", normalize_text(_RAW, category_stop_words("category")))
+
+
+def catalog_texts(catalog: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Add the normalised text of each attribute row, worked out once per text and category."""
+    return derive_once(_with_raw_text(catalog), ["category", _RAW], _normalized, partitions).drop(_RAW)
 
 
 def embed_catalog(catalog: DataFrame, encoder: Encoder, partitions: int | None = None) -> DataFrame:
-    """Catalog rows with their text and its vector."""
-    return embed_texts(catalog_texts(catalog), "embedding_text", encoder, partitions=partitions)
+    """Catalog rows with their text and its vector, both joined back in one go."""
+
+    def derive(texts: DataFrame) -> DataFrame:
+        return embed_texts(cut_lineage(_normalized(texts)), "embedding_text", encoder, partitions=partitions)
+
+    return derive_once(_with_raw_text(catalog), ["category", _RAW], derive, partitions).drop(_RAW)
 
 
 def category_tags(trends: DataFrame, order_by: Sequence[str] = POS,

@@ -472,7 +472,9 @@ ORACLE: dict[str, str] = {
     "flatten_trends": sql("SELECT * FROM trends"),
     "consolidate_trends": sql("SELECT * EXCLUDE (market_key, trend_no) FROM trends"),
     "curate_trends": sql("""
-      SELECT conv_id || ' / ' || turn AS category, text FROM ans WHERE reject_reason IS NULL"""),
+      SELECT category, market, trend_name, primary_hashtag, aesthetic_description, market_key, trend_no
+      FROM trends
+      WHERE length(category) % 3 = 1 OR (length(category) % 3 = 0 AND length(category) % 2 = 1)"""),
     "canonical_trends": sql(f"""
       SELECT t.category, lower(t.market) AS region, t.trend_no, replace(lower(t.trend_name), ' ', '_') AS tag,
              n.text AS preprocessed_tag, t.aesthetic_description AS description

@@ -11,7 +11,7 @@ from trendloom.functions import vocabulary as voc
 from trendloom.operators import aggregates as agg, corpus, filters, joins, ranking, requests, reshape
 from trendloom.operators.describe import concat_description
 from trendloom.operators.similarity import similarity_join
-from trendloom.operators.sizing import semi_by
+from trendloom.operators.sizing import semi_by, spread_scan
 from trendloom.plans import matching, trends as trend_plans
 from trendloom.schemas import TRENDS_CSV
 from trendloom.session import cut_lineage, scratch_path
@@ -328,7 +328,7 @@ def phrase_rules(spark, sf):
 
 @query
 def number_words(spark, sf):
-    words = views.table(spark, sf, "documents").select(
+    words = spread_scan(views.table(spark, sf, "documents")).select(
         "doc_id", F.explode(tx.tokenize(F.lower("text"))).alias("token"))
     numbers = words.where(tx.is_number_like("token"))
     return numbers.groupBy("token", tx.number_to_word("token").alias("word")).agg(
@@ -337,7 +337,7 @@ def number_words(spark, sf):
 
 @query
 def normalize_text(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = spread_scan(views.table(spark, sf, "documents"))
     done = docs.select("doc_id", tx.normalize_text("text", tx.category_stop_words("source")).alias("text"))
     return done.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
@@ -373,7 +373,7 @@ def category_stop_words(spark, sf):
 
 @query
 def dedupe_tokens(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = spread_scan(views.table(spark, sf, "documents"))
     done = docs.select("doc_id", tx.dedupe_tokens(tx.tokenize(F.lower("text"))).alias("text"))
     return done.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
@@ -530,12 +530,10 @@ def consolidate_trends(spark, sf):
 
 @query
 def curate_trends(spark, sf):
-    """Answers turned into trend files; what the folder then holds."""
+    """Answers turned into trend files; the trends the folder then holds."""
     folder = scratch_path(spark, "curated")
-    rows = views.answers(spark, sf).withColumn("category", F.concat_ws(" / ", "conv_id", "turn"))
-    trend_plans.curate_trends(rows, folder)
-    files = readers.read_trend_json(spark, folder)
-    return files.select("category", F.get_json_object("value", "$.text").alias("text"))
+    trend_plans.curate_trends(views.trend_answers(spark, sf), folder)
+    return trend_plans.flat_trends(spark, folder).select(*_TREND_COLUMNS, "market_key", "trend_no")
 
 
 @query
@@ -659,7 +657,7 @@ def incremental_texts(spark, sf):
     """Documents arriving as files, each processed once over two runs."""
     src, out = scratch_path(spark, "arrivals"), scratch_path(spark, "embedded")
     log = scratch_path(spark, "progress")
-    docs = views.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread_scan(views.table(spark, sf, "documents")).select("doc_id", "lang", "text")
 
     def transform(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "lang", F.md5(tx.normalize_text("text")).alias("digest"))

@@ -115,22 +115,36 @@ def repeated_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_partkey").alias("product_id"), pos, F.inline(rows))
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers around the turns of the conversations: fenced, plain, cut off, missing."""
-    turns = table(spark, sf_dir, "conversations")
-    inner = F.to_json(F.struct(F.col("turn").alias("t"), F.col("text")))
+def _envelope(inner: Column) -> Column:
     message = F.struct(F.lit("message").alias("type"),
                        F.array(F.struct(inner.alias("text"))).alias("content"))
     thinking = F.struct(F.lit("reasoning").alias("type"),
                         F.array(F.struct(F.lit(None).cast("string").alias("text"))).alias("content"))
-    envelope = F.to_json(F.struct(F.array(thinking, message).alias("output")))
-    which = F.col("conv_id") % 3
-    response = (F.when(F.col("turn") % 4 == 3, F.lit(None))
-                .when(which == 0, F.concat(F.lit("```json\n"), envelope, F.lit("\n```")))
-                .when(which == 1, envelope).otherwise(F.concat(F.lit("{"), envelope)))
+    return F.to_json(F.struct(F.array(thinking, message).alias("output")))
+
+
+def _response(envelope: Column, which: Column) -> Column:
+    """Fenced, plain or broken."""
+    return (F.when(which % 3 == 0, F.concat(F.lit("```json\n"), envelope, F.lit("\n```")))
+            .when(which % 3 == 1, envelope).otherwise(F.concat(F.lit("{"), envelope)))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers around the turns of the conversations: fenced, plain, broken, missing."""
+    turns = table(spark, sf_dir, "conversations")
+    inner = F.to_json(F.struct(F.col("turn").alias("t"), F.col("text")))
+    response = F.when(F.col("turn") % 4 != 3, _response(_envelope(inner), F.col("conv_id")))
     return turns.select("conv_id", "turn", response.alias("response"))
 
 
+def trend_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers whose inside is a trend file, some fenced within, some broken."""
+    files = trend_files(spark, sf_dir)
+    which = F.length("category")
+    inner = F.when(which % 2 == 0, F.concat(F.lit("```\n"), "value", F.lit("\n```"))).otherwise(F.col("value"))
+    return files.select("category", _response(_envelope(inner), which).alias("response"))
+
+
 def trend_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(category, value): trend files as JSON text, one per part name, a trend per brand."""
     part = table(spark, sf_dir, "part")
