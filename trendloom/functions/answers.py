@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from trendloom.functions.expr import as_column, strip
+from trendloom.functions.expr import as_column, let, strip
 
 FENCE_PATTERN = r"```(?:json)?\s*([\s\S]*?)\s*```"
 _OUTPUT = "array<struct<type:string,content:array<struct<text:string>>>>"
@@ -12,8 +12,8 @@ _OUTPUT = "array<struct<type:string,content:array<struct<text:string>>>>"
 
 def strip_code_fence(c: Column | str) -> Column:
     """Inside of the first fenced block, or the whole text where there is none."""
-    c = as_column(c)
-    return strip(F.when(c.rlike(FENCE_PATTERN), F.regexp_extract(c, FENCE_PATTERN, 1)).otherwise(c))
+    return let(as_column(c), lambda x: strip(
+        F.when(x.rlike(FENCE_PATTERN), F.regexp_extract(x, FENCE_PATTERN, 1)).otherwise(x)))
 
 
 def extract_answer_text(c: Column | str, index: int = 1, by_type: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trendloom.operators.aggregates import distinct_values, ordered_concat
+from trendloom.operators.sizing import work_partitions
 
 
 def concat_description(df: DataFrame, key: str = "product_id",
@@ -13,9 +14,11 @@ def concat_description(df: DataFrame, key: str = "product_id",
     """`<type> values are <v1, v2>. <type> values are ....` per product.
 
     Types and values stand in order of first appearance. Repeats collapse
-    first; one shuffle by product then serves both remaining groupings.
+    first; one shuffle by product then serves both remaining groupings and
+    whatever is computed per product afterwards.
     """
-    once = distinct_values(df, [key, type_], value, order_by).repartition(F.col(key))
+    once = distinct_values(df, [key, type_], value, order_by)
+    once = once.repartition(work_partitions(df), key)
     values = F.collect_list(F.struct("__pos", F.col(value).cast("string").alias("value")))
     per_type = once.groupBy(key, type_).agg(
         F.min("__pos").alias("__pos"), ordered_concat(values, ", ").alias("__list"))

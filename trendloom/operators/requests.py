@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trendloom.functions import vocabulary as voc
 from trendloom.functions.answers import extract_answer_text, strip_code_fence
-from trendloom.functions.expr import as_column, strip
+from trendloom.functions.expr import as_column, let, strip
 from trendloom.operators.sizing import lookup_join
 
 # A short template; a caller passes their own. Fields in braces name columns.
@@ -70,22 +70,29 @@ def parse_answers(df: DataFrame, response: str = "response", index: int = 1,
     is JSON as it stands.
     """
 
+    def valid(c: Column) -> Column:
+        return F.try_parse_json(c).isNotNull()
+
     def unfenced(c: Column) -> Column:
-        return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(strip_code_fence(c))
-
-    envelope = unfenced(F.col(response))
-    inner = unfenced(F.col("__text"))
-    missing = F.col(response).isNull() | (strip(F.col(response)) == "")
-    return (
-        df.withColumn("__envelope", envelope)
-        .withColumn("__text", extract_answer_text(F.col("__envelope"), index, by_type))
-        .withColumn("trends_json", inner)
-        .withColumn("reject_reason",
-                    F.when(missing, "no response")
-                    .when(F.try_parse_json("__envelope").isNull(), "invalid envelope")
-                    .when(F.col("trends_json").isNull(), "no answer text")
-                    .when(F.try_parse_json("trends_json").isNull(), "invalid answer"))
-        .drop("__envelope", "__text"))
+        return let(c, lambda x: F.when(valid(x), x).otherwise(strip_code_fence(x)))
+
+    def result(trends: Column | None, reason: Column | str | None) -> Column:
+        reason = reason if isinstance(reason, Column) else F.lit(reason)
+        return F.struct((F.lit(None) if trends is None else trends).cast("string").alias("trends_json"),
+                        reason.cast("string").alias("reject_reason"))
+
+    def of_text(text: Column) -> Column:
+        return (F.when(text.isNull(), result(None, "no answer text"))
+                .when(valid(text), result(text, None)).otherwise(result(text, "invalid answer")))
+
+    def of_envelope(envelope: Column) -> Column:
+        text = unfenced(extract_answer_text(envelope, index, by_type))
+        return F.when(valid(envelope), let(text, of_text)).otherwise(result(None, "invalid envelope"))
+
+    raw = F.col(response)
+    parsed = F.when(raw.isNull() | (strip(raw) == ""), result(None, "no response")).otherwise(
+        let(unfenced(raw), of_envelope))
+    return df.withColumn("__parsed", parsed).select(*df.columns, "__parsed.*")
 
 
 def split_valid_json(df: DataFrame, response: str = "response", index: int = 1,

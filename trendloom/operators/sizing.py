@@ -114,7 +114,9 @@ def semi_by(df: DataFrame, keys_df: DataFrame, on: str) -> DataFrame:
 
 def work_partitions(df: DataFrame) -> int:
     """Tasks for work that costs CPU rather than bytes."""
-    return 2 * df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, shuffle)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

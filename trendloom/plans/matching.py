@@ -11,7 +11,7 @@ from trendloom.functions.text import category_stop_words, embedding_text_raw, no
 from trendloom.functions.vectors import cosine_from_norms, norm, stable, to_doubles
 from trendloom.operators import filters
 from trendloom.operators.aggregates import max_score
-from trendloom.operators.corpus import embed_texts, encode_distinct
+from trendloom.operators.corpus import embed_texts
 from trendloom.operators.describe import concat_description
 from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
                                        lookup_tag_vector, semi_by)
@@ -111,8 +111,8 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
         .agg(F.max(F.abs(weight)).alias("weight")))
     tags = cut_lineage(category_tags(trends, order_by, thresholds))
     key = ["category", "embedding_text", "sign"]
-    vectors = encode_distinct(catalog, "embedding_text", encoder, "text_embedding", partitions)
-    texts = skew_join(rows.select(*key).distinct(), vectors, ["embedding_text"], "inner").withColumn(
+    texts = embed_texts(rows.select(*key).distinct(), "embedding_text", encoder, partitions=partitions)
+    texts = texts.withColumn(
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
     scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
     packed = cut_lineage(
