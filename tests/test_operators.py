@@ -1,0 +1,308 @@
+"""Joins, rankings, filters, descriptions and their plans."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from trendloom.functions import vocabulary as voc
+from trendloom.operators import aggregates as agg, filters, joins, ranking, requests, reshape, sizing
+from trendloom.operators.describe import concat_description
+from trendloom.sources.readers import clean_thresholds
+
+
+def plan(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# --- sized and salted joins ------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    rng = random.Random(3)
+    left = [(i, "hot" if rng.random() < 0.5 else rng.choice(["a", "b", "c", None])) for i in range(3000)]
+    left += [(-1, "hot")] * 500  # copies of one row
+    right = [("hot", 1), ("hot", 2), ("a", 3), ("z", 4), (None, 5)]
+    return (spark.createDataFrame(left, "id long, k string").repartition(6),
+            spark.createDataFrame(right, "k string, v int"))
+
+
+def test_measure(spark):
+    df = spark.createDataFrame([("abc", [1.0, 2.0], 1), (None, None, 2)], "s string, v array<double>, i long")
+    assert sizing.measure(df) == (2, 3 + 16 + 8 + 8)
+    assert sizing.measure(df.where("false")) == (0, 0)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_lookup_join_same_beyond_the_bound(skewed, how, null_safe):
+    left, right = skewed
+    small = sizing.lookup_join(left, right, ["k"], how, null_safe)
+    salted = sizing.lookup_join(left, right, ["k"], how, null_safe, rows=2, salts=7)
+    assert salted.columns == small.columns
+    assert rows(salted) == rows(small)
+    null_matches = small.where("k is null and v is not null").count()
+    assert (null_matches > 0) is null_safe
+
+
+def test_salted_join_spreads_a_hot_key(skewed):
+    left, right = skewed
+    salts = left.where("k = 'hot'").select(sizing._spread(left, F.lit(8)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 8 and max(r["count"] for r in salts) < 1200
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_skew_join_equals_join(skewed, how, monkeypatch):
+    left, right = skewed
+    plain = rows(left.join(right, ["k"], how).select("id", "k", "v"))
+    assert rows(sizing.skew_join(left, right, ["k"], how)) == plain
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *a, **k: False)
+    assert rows(sizing.skew_join(left, right, ["k"], how, hot_rows=100)) == plain
+    assert rows(sizing.skew_join(left, right, ["k"], how, hot_rows=10**9)) == plain
+
+
+def test_small_sides_are_broadcast(skewed, capsys):
+    left, right = skewed
+    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"]), capsys)
+    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"], null_safe=True), capsys)
+    assert "__salt" in plan(sizing.lookup_join(left, right, ["k"], rows=1), capsys)
+
+
+def test_semi_by_ignores_missing_keys(skewed, monkeypatch):
+    left, right = skewed
+    expected = left.where("k in ('hot', 'a')").count()
+    assert sizing.semi_by(left, right, "k").count() == expected
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *a, **k: False)
+    assert sizing.semi_by(left, right, "k").count() == expected
+
+
+def test_derive_once(skewed, monkeypatch):
+    left, _ = skewed
+    seen = []
+
+    def derive(keys):
+        seen.append(keys.count())
+        return keys.withColumn("n", F.length("k"))
+
+    got = sizing.derive_once(left, ["k"], derive)
+    assert seen == [4]
+    assert rows(got) == rows(left.withColumn("n", F.length("k")))
+
+
+# --- rankings ----------------------------------------------------------------------
+
+
+def test_top_k_with_hot_group_and_ties(spark):
+    rng = random.Random(5)
+    data = [("hot" if i % 3 else f"t{i % 4}", "c", i, rng.choice([0.1, 0.5, 0.9, None])) for i in range(2000)]
+    data += [(None, "c", 1, 9.0), ("hot", None, 1, 9.0)]
+    df = spark.createDataFrame(data, "tag string, category string, product_id long, confidence double")
+    got = {}
+    for r in ranking.top_k(df, k=25).collect():
+        got.setdefault(r["tag"], set()).add(r["product_id"])
+    expected = {}
+    for tag in {d[0] for d in data if d[0]}:
+        group = [d for d in data if d[0] == tag and d[1]]
+        group.sort(key=lambda d: (d[3] is None, -(d[3] or 0), d[2]))
+        expected[tag] = {d[2] for d in group[:25]}
+    assert got == expected
+    assert all(len(v) <= 25 for v in got.values())
+    assert rows(ranking.top_k(df, k=25, salts=1)) == rows(ranking.top_k(df, k=25, salts=16))
+
+
+def test_top_k_limits_groups_before_the_shuffle(spark, capsys):
+    df = spark.range(100).selectExpr(
+        "string(id % 3) tag", "string(id % 2) category", "id product_id", "id / 7.0 confidence")
+    for k in (1000, 5000):
+        assert rows(ranking.top_k(df, k=k)) == rows(df)
+        assert plan(ranking.top_k(df, k=k), capsys).count("WindowGroupLimit") >= 4
+
+
+def test_first_and_last_per_key(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 5, "z")], "k string, pos long, v string")
+    assert rows(ranking.dedupe_first(df, ["k"], ["pos"])) == [("a", 1, "x"), ("b", 5, "z")]
+    assert rows(ranking.first_last_per_key(df, ["k"], ["pos"], "last")) == [("a", 2, "y"), ("b", 5, "z")]
+
+
+def test_limit_comes_before_the_ledger(spark):
+    files = spark.createDataFrame([("c",), ("a",), ("b",)], "jsonl_file string")
+    done = spark.createDataFrame([("a",)], "jsonl_file string")
+    got = joins.pending(ranking.limit_files(files, 2), done, "jsonl_file")
+    assert rows(got) == [("b",)]
+    assert ranking.limit_files(files, None).count() == 3
+
+
+# --- tags and thresholds --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def trends(spark):
+    return spark.createDataFrame([
+        (0, "t1", "A", "india", "x", [1.0], "one"), (1, "t1", "A", "global", "y", [2.0], "two"),
+        (2, "t1", "B", None, "z", [3.0], "  "), (3, "t2", "B", "india", "w", [4.0], None)],
+        "pos long, tag string, category string, region string, tag_embedding_text string, "
+        "embedding array<double>, description string")
+
+
+def test_meta_is_first_per_category(spark, trends):
+    scores = spark.createDataFrame([("A", "t1"), ("B", "t1"), ("B", "t2"), ("C", "t1")], "category string, tag string")
+    got = rows(joins.attach_tag_meta(scores, trends))
+    assert got == [("A", "t1", "india", "x"), ("B", "t1", None, "z"), ("B", "t2", "india", "w"), ("C", "t1", None, None)]
+
+
+def test_vectors_first_and_last_overall(spark, trends):
+    assert rows(joins.global_tag_vectors(trends)) == [("t1", [1.0]), ("t2", [4.0])]
+    df = spark.createDataFrame([("t1",), ("t9",)], "tag string")
+    assert rows(joins.lookup_tag_vector(df, trends)) == [("t1", [3.0]), ("t9", None)]
+
+
+def test_description_matches_missing_region(spark, trends):
+    df = spark.createDataFrame([("z", None, "B"), ("x", None, "A")],
+                               "tag_embedding_text string, region string, category string")
+    got = joins.attach_description(df, trends)
+    assert rows(got) == [("x", None, "A", None), ("z", None, "B", "  ")]
+    assert agg.count_missing(got, "description").first()[0] == 2
+
+
+def test_tag_vector_by_tag_and_text(spark, trends):
+    vectors = trends.select("tag", "tag_embedding_text", F.col("embedding").alias("v"))
+    assert joins.attach_tag_vector(trends, vectors).count() == trends.count()
+
+
+def test_thresholds(spark):
+    table = clean_thresholds(spark.createDataFrame(
+        voc.THRESHOLDS + [("Bad", "n/a", "done")], "category string, threshold string, status string"))
+    assert table.count() == 16
+    df = spark.createDataFrame([
+        ("Men - Tshirts", 0.2), ("Men - Tshirts", 0.19), ("Girls - 3 Piece-Set", 0.0), ("Girls - 3 Piece-Set", -0.1)],
+        "category string, confidence double")
+    got = filters.filter_category_threshold(df, table)
+    assert got.columns == df.columns
+    assert rows(got) == [("Girls - 3 Piece-Set", 0.0), ("Men - Tshirts", 0.2)]
+    assert rows(filters.unmatched_categories(df, table)) == [("Girls - 3 Piece-Set", 2)]
+    assert filters.filter_category_threshold(df, None).count() == 4
+
+
+def test_repeated_threshold_is_refused(spark):
+    twice = spark.createDataFrame([("A", "0.1", ""), ("A", "0.2", "")], "category string, threshold string, status string")
+    with pytest.raises(ValueError):
+        clean_thresholds(twice)
+
+
+def test_small_filters(spark):
+    df = spark.createDataFrame([("jacket_style", 0.0), ("jacket style", 0.1), ("abstract motif_print", float("nan")),
+                                ("ok", -0.4), (None, 0.5)], "tag string, confidence double")
+    assert {r["tag"] for r in filters.filter_denylist(df).collect()} == {"abstract motif_print", "ok", None}
+    assert {r["tag"] for r in filters.filter_min_score(df).collect()} == {"jacket style", None}
+    assert filters.filter_base_threshold(df).count() == 5
+    assert filters.filter_base_threshold(df, -0.5).count() == 4
+    assert filters.filter_not_null(df, "tag").count() == 4
+    assert filters.default_confidence(df.drop("confidence")).select("confidence").distinct().collect()[0][0] == 1.0
+    assert filters.default_confidence(df) is df
+    with pytest.raises(ValueError):
+        filters.require_columns(df, "region")
+    assert filters.add_missing_category(df, F.lit("x")).columns[-1] == "category"
+    audit = agg.filter_audit(df, F.col("confidence") > 0.05).first()
+    assert audit["rows_in"] == 5 and audit["rows_kept"] + audit["rows_dropped"] == 5
+
+
+# --- descriptions and shape -------------------------------------------------------------
+
+
+def test_description_order(spark):
+    df = spark.createDataFrame([
+        (1, "style", "Boho", 1), (1, "color", "Red", 2), (1, "style", "Boho", 3), (1, "style", "Casual", 4),
+        (1, "color", None, 5), (2, "color", "Blue", 9)],
+        "product_id long, standardize_type_updated string, normalised_name string, pos long")
+    assert rows(concat_description(df)) == [
+        (1, "style values are Boho, Casual. color values are Red."), (2, "color values are Blue.")]
+    lists = agg.concat_distinct(df, ["product_id", "standardize_type_updated"], "normalised_name", "pos")
+    assert (1, "style", "Boho, Casual") in rows(lists)
+    by_value = agg.concat_distinct(df, ["product_id"], "normalised_name")
+    assert (1, "Boho, Casual, Red") in rows(by_value)
+
+
+def test_hot_product_is_reduced_before_the_shuffle(spark, capsys):
+    df = spark.range(1000).selectExpr("1 product_id", "'style' standardize_type_updated",
+                                      "cast(id % 3 as string) normalised_name", "id pos")
+    text = plan(concat_description(df), capsys)
+    assert "partial_min" in text
+    assert concat_description(df).first()["product_description"] == "style values are 0, 1, 2."
+
+
+def test_wide_and_back(spark):
+    long = spark.createDataFrame([(1, "sim_maxsim_fit", 0.5), (1, "b", 0.1), (2, "b", 0.2)],
+                                 "product_id long, tag string, confidence double")
+    wide = reshape.scores_to_wide(long, ["sim_maxsim_fit", "b"])
+    assert wide.columns == ["product_id", "sim_sim_maxsim_fit", "sim_b"]
+    assert rows(reshape.melt_scores(wide)) == rows(long)
+
+
+def test_flatten_markets(spark):
+    raw = spark.createDataFrame([(
+        "Men - Tshirts",
+        '{"trending_tags_india":[{"trend_name":"A","supporting_hashtags":["#x","#y"],"confidence":4.5}],'
+        '"trending_tags_global":[{"trend_name":"B"},{"trend_name":"C"}]}')], "category string, value string")
+    got = reshape.flatten_markets(raw)
+    assert [(r["market"], r["trend_no"], r["trend_name"]) for r in got.orderBy("trend_name").collect()] == [
+        ("India", 0, "A"), ("Global", 0, "B"), ("Global", 1, "C")]
+
+
+def test_union_and_sets(spark):
+    a, b = spark.createDataFrame([(1,)], "x long"), spark.createDataFrame([(2, "q")], "x long, y string")
+    assert rows(reshape.union_all([a, b])) == [(1, None), (2, "q")]
+    assert reshape.set_union(a, a).count() == 1
+
+
+# --- requests and states -------------------------------------------------------------------
+
+
+def test_prompt_braces(spark):
+    df = spark.createDataFrame([("Men {x}",)], "category string")
+    assert requests.render_prompts(df, "for {category}: {{[1]}}").first()["prompt"] == "for Men {x}: {[1]}"
+    assert '{"trending_tags_india": [...]' in requests.render_prompts(df).first()["prompt"]
+
+
+def test_requests(spark):
+    import json
+
+    df = spark.createDataFrame([(1, "hi", None), (2, None, "QUJD")], "id long, text string, image string")
+    got = [json.loads(r[0]) for r in df.select(
+        requests.build_request("id", "text", F.lit("m"), "image")).collect()]
+    assert got[0] == {"custom_id": "1", "method": "POST", "url": "/chat/completions", "body": {
+        "model": "m", "messages": [{"role": "user", "content": "hi"}], "max_tokens": 1000}}
+    assert got[1]["body"]["messages"][0]["content"] == [
+        {"type": "text", "text": ""}, {"type": "image_url", "image_url": {"url": "data:image/jpeg;base64,QUJD"}}]
+
+
+def test_answers_and_rejects(spark):
+    import json
+
+    def envelope(text):
+        return json.dumps({"output": [{"type": "reasoning"}, {"type": "message", "content": [{"text": text}]}]})
+
+    cases = {"plain": envelope('{"a":1}'), "fenced": f"```json\n{envelope('[]')}\n```",
+             "inner": envelope('```json\n{"a":1}\n```'), "broken": "{", "none": None, "blank": " \n",
+             "textless": "{}", "bad": envelope("{oops"), "ticks": envelope('{"a":"```x```"}')}
+    df = spark.createDataFrame(list(cases.items()), "category string, response string")
+    good, rejects = requests.split_valid_json(df)
+    assert {r["category"]: r["trends_json"] for r in good.collect()} == {
+        "plain": '{"a":1}', "fenced": "[]", "inner": '{"a":1}', "ticks": '{"a":"```x```"}'}
+    assert {r["category"]: r["reject_reason"] for r in rejects.collect()} == {
+        "broken": "invalid envelope", "none": "no response", "blank": "no response",
+        "textless": "no answer text", "bad": "invalid answer"}
+
+
+def test_batch_state(spark):
+    ledger = spark.createDataFrame([("f1", ("b1", "validating")), ("f2", ("b2", "validating")), ("f3", ("b3", "odd"))],
+                                   "jsonl_file string, batch struct<id: string, status: string>")
+    status = spark.createDataFrame([("b2", "cancelled")], "id string, status string")
+    states = requests.batch_state(ledger, status)
+    assert {r["id"]: r["state"] for r in states.collect()} == {"b1": "active", "b2": "ended", "b3": "unknown"}
+    assert rows(requests.state_counts(states)) == [("active", 1), ("ended", 1), ("unknown", 1)]

@@ -6,15 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.operators.ranking import dedupe_first, first_last_per_key
+from trendloom.operators.ranking import first_last_per_key
 from trendloom.operators.sizing import lookup_join, semi_by
 
 __all__ = [
     "semi_by", "tags_in_output", "attach_product_vector", "attach_tag_meta", "attach_threshold",
-    "attach_description", "attach_tag_vector", "lookup_tag_vector", "global_tag_vectors", "pending",
+    "attach_description", "attach_tag_vector", "lookup_tag_vector", "global_tag_vectors", "tag_meta",
+    "entry_per_key", "pending",
 ]
 
 
+def entry_per_key(trends: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                  order_by: Sequence[str], keep: str = "first") -> DataFrame:
+    """(keys, columns) of the first or last trend per key; the order may include keys."""
+    rows = trends.select(*dict.fromkeys([*keys, *columns, *order_by]))
+    return first_last_per_key(rows, keys, order_by, keep).select(*keys, *columns)
+
+
 def tags_in_output(tag_dim: DataFrame, mapping: DataFrame) -> DataFrame:
     """Tag rows that occur in the mapping."""
     return semi_by(tag_dim, mapping.select(F.col("tag").alias("tag_value")), "tag_value")
@@ -27,11 +35,15 @@ def attach_product_vector(candidates: DataFrame, vectors: DataFrame,
     return candidates.join(known, ["product_id"], "inner")
 
 
+def tag_meta(trends: DataFrame, order_by: Sequence[str] = ("pos",)) -> DataFrame:
+    """Region and text of each tag per category: those of its first entry there."""
+    keys = ["category", "tag"]
+    return entry_per_key(trends.na.drop(subset=keys), keys, ["region", "tag_embedding_text"], order_by)
+
+
 def attach_tag_meta(scores: DataFrame, trends: DataFrame, order_by: Sequence[str] = ("pos",)) -> DataFrame:
     """Region and text of the tag in the row's own category; its first entry counts."""
-    meta = dedupe_first(trends.select("category", "tag", "region", "tag_embedding_text", *order_by),
-                        ["category", "tag"], order_by).drop(*order_by)
-    return lookup_join(scores, meta, ["category", "tag"])
+    return lookup_join(scores, tag_meta(trends, order_by), ["category", "tag"])
 
 
 def attach_threshold(df: DataFrame, thresholds: DataFrame, default: float = 0.0) -> DataFrame:
@@ -55,16 +67,14 @@ def attach_tag_vector(trends: DataFrame, vectors: DataFrame,
 def lookup_tag_vector(df: DataFrame, trends: DataFrame, order_by: Sequence[str] = ("pos",),
                       vector: str = "embedding") -> DataFrame:
     """Vector of the tag whatever its category; its last entry counts, none gives null."""
-    last = first_last_per_key(
-        trends.where(F.col("tag").isNotNull()).select("tag", vector, *order_by),
-        ["tag"], order_by, "last")
-    return lookup_join(df, last.drop(*order_by), ["tag"])
+    known = trends.where(F.col("tag").isNotNull())
+    return lookup_join(df, entry_per_key(known, ["tag"], [vector], order_by, "last"), ["tag"])
 
 
 def global_tag_vectors(trends: DataFrame, order_by: Sequence[str] = ("pos",),
                        vector: str = "embedding") -> DataFrame:
     """One vector per tag over all categories: that of its first entry."""
-    return dedupe_first(trends.select("tag", vector, *order_by), ["tag"], order_by).drop(*order_by)
+    return entry_per_key(trends.where(F.col("tag").isNotNull()), ["tag"], [vector], order_by)
 
 
 def pending(inputs: DataFrame, done: DataFrame, on: str = "file_name") -> DataFrame:

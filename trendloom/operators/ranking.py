@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trendloom.operators.sizing import work_partitions
+
 _RANK = "__rank"
 _SALT = "__salt"
 
@@ -16,19 +19,22 @@ def _keep(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def top_k(df: DataFrame, by: Sequence[str] = ("tag", "category"), score: str = "confidence",
-          k: int = 5000, tie: str | Sequence[str] = "product_id", salts: int = 16) -> DataFrame:
+          k: int = 5000, tie: str | Sequence[str] = "product_id", salts: int | None = None) -> DataFrame:
     """The k best rows of each group; groups with a missing key are left out.
 
-    Ranked twice: within slices of each group, then over the slices' winners,
-    so the last task of a group sees at most `salts * k` rows however large
-    the group is. Equal scores are ordered by `tie`.
+    A group is ranked in two rounds. Each task sends at most k rows of it,
+    all to the task of the same salt; the winners of the salts meet in the
+    second round. So with n tasks and about sqrt(n) salts no task sees more
+    than sqrt(n) * k rows of a group, however large it is. Equal scores are
+    ordered by `tie`.
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
+    salts = salts or math.isqrt(work_partitions(df))
     for key in by:
         df = df.where(F.col(key).isNotNull())
     if salts > 1:
-        df = df.withColumn(_SALT, F.pmod(F.xxhash64(*ties), F.lit(salts)))
+        df = df.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
         df = _keep(df, [*by, _SALT], order, k).drop(_SALT)
     return _keep(df, by, order, k)
 

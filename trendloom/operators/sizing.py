@@ -57,9 +57,11 @@ def _spread(df: DataFrame, salts: Column) -> Column:
 
 
 def _equal_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
-                null_safe: bool, hint_broadcast: bool = False) -> DataFrame:
+                null_safe: bool = False, hint_broadcast: bool = False) -> DataFrame:
+    """Join on equal names; columns of the left first, then the others of the right."""
     if not null_safe:
-        return left.join(F.broadcast(right) if hint_broadcast else right, list(on), how)
+        joined = left.join(F.broadcast(right) if hint_broadcast else right, list(on), how)
+        return joined.select(*left.columns, *[c for c in right.columns if c not in on])
     renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
     condition = reduce(
         lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__right_{c}`")) for c in on])
@@ -88,20 +90,20 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     """
     on = list(on)
     if fits_broadcast(right):
-        return left.join(F.broadcast(right), on, how)
+        return _equal_join(left, right, on, how, hint_broadcast=True)
     present = left.select(*on).na.drop()
     hot = cut_lineage(
         present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
         .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
     if hot.isEmpty():
-        return left.join(right, on, how)
+        return _equal_join(left, right, on, how)
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     spread = lookup_join(left, hot, on)
     spread = spread.withColumn(_SALT, _spread(left, salts)).drop("__salts")
     copies = (lookup_join(right, hot, on)
               .withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts"))
-    return spread.join(copies, [*on, _SALT], how).drop(_SALT)
+    return _equal_join(spread, copies, [*on, _SALT], how).drop(_SALT)
 
 
 def semi_by(df: DataFrame, keys_df: DataFrame, on: str) -> DataFrame:

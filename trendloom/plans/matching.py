@@ -14,8 +14,8 @@ from trendloom.operators.aggregates import max_score
 from trendloom.operators.corpus import embed_texts
 from trendloom.operators.describe import concat_description
 from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
-                                       lookup_tag_vector, semi_by)
-from trendloom.operators.ranking import dedupe_first, top_k
+                                       lookup_tag_vector, semi_by, tag_meta)
+from trendloom.operators.ranking import top_k
 from trendloom.operators.similarity import similarity_join
 from trendloom.operators.sizing import derive_once, lookup_join, skew_join
 from trendloom.session import cut_lineage
@@ -59,10 +59,7 @@ def category_tags(trends: DataFrame, order_by: Sequence[str] = POS,
     text are those of its first entry in this one. Entries without a region
     are dropped only then. `floor` is the category's threshold, if given.
     """
-    meta = dedupe_first(
-        trends.where(F.col("category").isNotNull() & F.col("tag").isNotNull())
-        .select("category", "tag", "region", "tag_embedding_text", *order_by),
-        ["category", "tag"], order_by).drop(*[c for c in order_by if c != "category"])
+    meta = tag_meta(trends, order_by)
     tags = meta.where(F.col("region").isNotNull()).join(
         global_tag_vectors(trends, order_by), ["tag"])
     if thresholds is None:

@@ -20,8 +20,8 @@ def read_trend_json(spark: SparkSession, folder: str) -> DataFrame:
 
     The category is the file stem, or the `category=` folder a file lies in.
     """
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.{json,txt}").text(folder))
+    files = spark.read.text(
+        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}")
     path = decoded_path("_metadata.file_path")
     partition = F.regexp_extract(path, r"/category=([^/]*)/[^/]*$", 1)
     category = F.when(partition != "", decoded_path(partition)).otherwise(file_stem(path))
