@@ -117,10 +117,10 @@ def test_top_k_with_hot_group_and_ties(spark):
 
 
 def test_top_k_limits_groups_before_the_shuffle(spark, capsys):
-    df = spark.range(100).selectExpr(
+    df = spark.range(20000).selectExpr(
         "string(id % 3) tag", "string(id % 2) category", "id product_id", "id / 7.0 confidence")
     for k in (1000, 5000):
-        assert rows(ranking.top_k(df, k=k)) == rows(df)
+        assert ranking.top_k(df, k=k).count() == min(k * 6, 20000)
         assert plan(ranking.top_k(df, k=k), capsys).count("WindowGroupLimit") >= 4
 
 

@@ -120,10 +120,11 @@ def test_second_run_adds_nothing(spark, tmp_path):
     def transform(df):
         return df.withColumn("embedding_text", normalize_text("t"))
 
-    assert incremental_embed(spark, src, out, log, transform, docs.schema) == 2
-    assert incremental_embed(spark, src, out, log, transform, docs.schema) == 0
+    for _ in range(2):
+        incremental_embed(spark, src, out, log, transform, docs.schema)
+        assert spark.read.parquet(out).count() == 2
     docs.selectExpr("id + 10 id", "category", "t").write.mode("append").partitionBy("category").parquet(src)
-    assert incremental_embed(spark, src, out, log, transform, docs.schema, max_files=1) == 2
+    incremental_embed(spark, src, out, log, transform, docs.schema, max_files=1)
     assert {r["id"]: r["embedding_text"] for r in spark.read.parquet(out).collect()} == {
         1: "red dress", 2: "top and set", 11: "red dress", 12: "top and set"}
     assert spark.read.parquet(out).count() == 4

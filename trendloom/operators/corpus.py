@@ -67,7 +67,7 @@ def encode_distinct(df: DataFrame, text: str, encoder: Encoder, out: str = "text
                     partitions: int | None = None) -> DataFrame:
     """Vector of each distinct text, missing texts left out."""
     texts = df.select(text).where(F.col(text).isNotNull()).distinct()
-    texts = texts.repartition(partitions or work_partitions(df))
+    texts = texts.repartition(partitions or work_partitions(df), text)
     return texts.select(text, encoder(F.col(text)).alias(out))
 
 

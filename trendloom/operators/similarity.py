@@ -39,7 +39,7 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
         items, tags = items.withColumn(_ANY, F.lit("")), tags.withColumn(_ANY, F.lit(""))
     keep = [c for c in keep if c != group]
     items = items.where(F.col(item_vec).isNotNull() & F.col(group).isNotNull()).select(
-        *keep, F.col(group), to_doubles(item_vec).alias("__vec"),
+        *keep, F.col(group), F.col(item_vec).alias("__vec"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__weight"))
     tags = tags.where(F.col(tag_vec).isNotNull() & F.col(group).isNotNull()).select(
         F.col(group), F.col("tag").cast("string").alias("tag"), to_doubles(tag_vec).alias("__tag_vec"),
@@ -94,6 +94,7 @@ def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
                 for start in range(0, len(positions), rows):
                     batch = whole.take(pa.array(positions[start:start + rows]))
                     flat = batch.column("__vec").flatten().to_numpy(zero_copy_only=False)
+                    flat = flat.astype("float64", copy=False)
                     if len(flat) != batch.num_rows * tag_matrix.shape[0]:
                         raise ValueError("item and tag vectors differ in length")
                     weights = batch.column("__weight").to_numpy(zero_copy_only=False)
@@ -123,6 +124,7 @@ def _native_scores(items: DataFrame, tags: DataFrame, keep: Sequence[str], group
         .groupBy(group, "__block")
         .agg(F.collect_list(F.struct("tag", "__tag_vec", "__floor")).alias("__tags"))
         .drop("__block"))
+    items = items.withColumn("__vec", to_doubles("__vec"))
     joined = lookup_join(items, blocks, [group], "inner")
 
     def score(tag):

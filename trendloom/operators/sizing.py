@@ -109,9 +109,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
 def semi_by(df: DataFrame, keys_df: DataFrame, on: str) -> DataFrame:
     """Rows of `df` whose key occurs in `keys_df`; missing keys match nothing."""
     keys = keys_df.select(on).where(F.col(on).isNotNull()).distinct()
-    if fits_broadcast(keys):
-        return df.join(F.broadcast(keys), [on], "left_semi")
-    return df.join(keys, [on], "left_semi")
+    return skew_join(df, keys, [on], "left_semi")
 
 
 def work_partitions(df: DataFrame) -> int:
@@ -140,5 +138,5 @@ def derive_once(df: DataFrame, keys: Sequence[str], derive: Callable[[DataFrame]
     no values.
     """
     distinct = df.select(*keys).na.drop().distinct()
-    distinct = distinct.repartition(partitions or work_partitions(df))
+    distinct = distinct.repartition(partitions or work_partitions(df), *keys)
     return skew_join(df, cut_lineage(derive(distinct)), keys)

@@ -97,30 +97,28 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
     """The candidates of `prefilter`, without a vector per catalog row.
 
     Each distinct text of a category is encoded and scored once; catalog rows
-    meet the finished scores. A product needs only its best weight per text,
-    kept apart by sign: a negative weight times a negative cosine is positive.
+    meet the finished scores. Weights keep their sign apart from their size:
+    a negative weight times a negative cosine is positive.
     """
+    key = ["category", "embedding_text", "sign"]
     weight = F.col("confidence").cast("double")
     rows = (
         filters.default_confidence(catalog)
         .where(F.col("product_id").isNotNull() & F.col("embedding_text").isNotNull() & (weight != 0))
-        .groupBy("category", "embedding_text", F.signum(weight).alias("sign"), "product_id")
-        .agg(F.max(F.abs(weight)).alias("weight")))
+        .select("category", "embedding_text", F.signum(weight).alias("sign"), "product_id",
+                F.abs(weight).alias("weight")))
     tags = cut_lineage(category_tags(trends, order_by, thresholds))
-    key = ["category", "embedding_text", "sign"]
     texts = embed_texts(rows.select(*key).distinct(), "embedding_text", encoder, partitions=partitions)
     texts = texts.withColumn(
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
     scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
-    packed = cut_lineage(
-        scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores")))
+    packed = scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores"))
+    floors = tags.select("category", "floor").distinct()
+    packed = cut_lineage(lookup_join(packed, floors, ["category"]))
     pairs = skew_join(rows, packed, key, "inner").select(
-        "category", "product_id", "weight", F.inline("scores"))
-    scores = pairs.select("category", "product_id", "tag",
-        stable(F.col("score") * F.col("weight")).alias("score")).where("score > 0")
-    if thresholds is not None:
-        floors = tags.select("category", "floor").distinct()
-        scores = lookup_join(scores, floors, ["category"]).where("score >= floor").drop("floor")
+        "category", "product_id", "weight", "floor", F.inline("scores"))
+    scores = pairs.withColumn("score", stable(F.col("score") * F.col("weight"))).where(
+        (F.col("score") > 0) & (F.col("score") >= F.coalesce("floor", F.lit(0.0))))
     return _candidates(scores, tags)
 
 

@@ -13,12 +13,12 @@ from trendloom.sources.readers import path_missing
 
 def incremental_embed(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
                       transform: Callable[[DataFrame], DataFrame], schema: StructType,
-                      max_files: int | None = None, partition_by: str | None = "category") -> int:
+                      max_files: int | None = None, partition_by: str | None = "category") -> None:
     """Run `transform` over the files not seen before and append the result.
 
     `transform` works row by row. The checkpoint remembers the files, and the
     file sink publishes a batch once, so a restarted run neither repeats nor
-    loses rows. Returns the number of rows read by this run.
+    loses rows.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -28,9 +28,7 @@ def incremental_embed(spark: SparkSession, src_dir: str, out_dir: str, checkpoin
               .outputMode("append").trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    query = writer.start()
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    writer.start().awaitTermination()
 
 
 def skip_done(df: DataFrame, out_dir: str) -> DataFrame:
