@@ -12,8 +12,8 @@ from trendloom.functions.expr import as_column, drop_nan, let
 SCORE_DIGITS = 9
 
 
-def stable(score: Column) -> Column:
-    return F.round(score, SCORE_DIGITS)
+def stable(score: Column | str) -> Column:
+    return F.round(as_column(score), SCORE_DIGITS)
 
 
 def to_doubles(v: Column | str) -> Column:

@@ -71,9 +71,15 @@ def _equal_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
 
 def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                 null_safe: bool = False, rows: int = BROADCAST_ROWS,
-                bytes_: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """Join a fact table to a dimension: broadcast if it is small, salted if not."""
-    if fits_broadcast(small, rows, bytes_):
+                bytes_: int = BROADCAST_BYTES, salts: int = SALTS,
+                fits: bool | None = None) -> DataFrame:
+    """Join a fact table to a dimension: broadcast if it is small, salted if not.
+
+    `fits` passes on a measurement of a table that `small` is a part of.
+    """
+    if fits is None:
+        fits = fits_broadcast(small, rows, bytes_)
+    if fits:
         return _equal_join(df, small, on, how, null_safe, hint_broadcast=True)
     salted = df.withColumn(_SALT, _spread(df, F.lit(salts)))
     copies = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -17,7 +17,7 @@ from trendloom.operators.joins import (attach_description, attach_product_vector
                                        lookup_tag_vector, semi_by, tag_meta)
 from trendloom.operators.ranking import top_k
 from trendloom.operators.similarity import similarity_join
-from trendloom.operators.sizing import derive_once, lookup_join, skew_join
+from trendloom.operators.sizing import derive_once, fits_broadcast, lookup_join, skew_join
 from trendloom.session import cut_lineage
 
 POS = ("pos",)
@@ -68,10 +68,10 @@ def category_tags(trends: DataFrame, order_by: Sequence[str] = POS,
             .withColumn("floor", F.coalesce("floor", F.lit(0.0))))
 
 
-def _candidates(scores: DataFrame, tags: DataFrame) -> DataFrame:
-    meta = tags.select("category", "tag", "region", "tag_embedding_text")
-    return lookup_join(max_score(scores), meta, ["category", "tag"], "inner").select(
-        "product_id", "confidence", "tag", "region", "tag_embedding_text", "category")
+def _candidates(scores: DataFrame, tags: DataFrame, *more: str, fits: bool | None = None) -> DataFrame:
+    meta = tags.select("category", "tag", "region", "tag_embedding_text", *more)
+    return lookup_join(max_score(scores), meta, ["category", "tag"], "inner", fits=fits).select(
+        "product_id", "confidence", "tag", "region", "tag_embedding_text", "category", *more)
 
 
 def prefilter(items: DataFrame, trends: DataFrame, above: float = 0.0,
@@ -113,13 +113,17 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
     scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
     packed = scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores"))
+    small = fits_broadcast(tags)
     floors = tags.select("category", "floor").distinct()
-    packed = cut_lineage(lookup_join(packed, floors, ["category"]))
+    packed = cut_lineage(lookup_join(packed, floors, ["category"], fits=small))
     pairs = skew_join(rows, packed, key, "inner").select(
         "category", "product_id", "weight", "floor", F.inline("scores"))
-    scores = pairs.withColumn("score", stable(F.col("score") * F.col("weight"))).where(
-        (F.col("score") > 0) & (F.col("score") >= F.coalesce("floor", F.lit(0.0))))
-    return _candidates(scores, tags)
+    # rounding keeps the order, so it can wait for the maximum; the cut before
+    # it leaves room for what rounding adds
+    scores = pairs.withColumn("score", F.col("score") * F.col("weight")).where(
+        "score > 0 and score >= coalesce(floor, 0.0) - 1e-6")
+    found = _candidates(scores, tags, "floor", fits=small).withColumn("confidence", stable("confidence"))
+    return found.where("confidence > 0 and confidence >= coalesce(floor, 0.0)").drop("floor")
 
 
 def apply_thresholds(candidates: DataFrame, thresholds: DataFrame | None, trends: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from trendloom.functions.expr import literal_array
 from trendloom.functions.text import normalize_tag
 from trendloom.functions.vectors import l2_normalize
 from trendloom.operators.aggregates import mean_pool
+from trendloom.operators.sizing import spread_scan
 from trendloom.sources.readers import clean_thresholds
 
 DIM = 64
@@ -69,7 +70,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight attribute rows per part, one of them without a value at times."""
-    part = table(spark, sf_dir, "part")
+    part = spread_scan(table(spark, sf_dir, "part"))
     key, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
     sleeve = (F.when(size % 4 == 0, "Sleeveless").when(size % 4 == 1, "Half Sleeve")
               .when(size % 4 == 2, "3rd Sleeves & Cuffs"))
