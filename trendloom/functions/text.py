@@ -7,6 +7,7 @@ looks lemmas up in a dictionary table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -37,15 +38,26 @@ def apply_phrases(
     rules: Sequence[tuple[str, str]] = tuple(voc.PHRASES),
     word_boundary: bool = False,
 ) -> Column:
-    """Replace each phrase in turn. By default a phrase also matches inside a word."""
-    out = as_column(c)
-    for phrase, replacement in rules:
-        if word_boundary:
-            pattern = rf"(?<![\p{{L}}\p{{N}}])\Q{phrase}\E(?![\p{{L}}\p{{N}}])"
-            out = F.regexp_replace(out, pattern, replacement)
-        else:
-            out = F.replace(out, F.lit(phrase), F.lit(replacement))
-    return out
+    """Replace each phrase in turn. By default a phrase also matches inside a word.
+
+    Texts without the end of any phrase are passed on after one search.
+    """
+
+    def replaced(out: Column) -> Column:
+        for phrase, replacement in rules:
+            if word_boundary:
+                pattern = rf"(?<![\p{{L}}\p{{N}}])\Q{phrase}\E(?![\p{{L}}\p{{N}}])"
+                out = F.regexp_replace(out, pattern, replacement)
+            else:
+                out = F.replace(out, F.lit(phrase), F.lit(replacement))
+        return out
+
+    # a phrase starts a search at its first blank, which few positions pass
+    ends = dict.fromkeys(p[max(p.find(" "), 0):] for p, _ in rules)
+    any_end = "|".join(re.escape(e) for e in ends)
+    if all(e.startswith(" ") for e in ends):
+        any_end = " (?:" + "|".join(re.escape(e[1:]) for e in ends) + ")"
+    return let(as_column(c), lambda x: F.when(x.rlike(any_end), replaced(x)).otherwise(x))
 
 
 def number_to_word(c: Column | str) -> Column:
@@ -139,7 +151,9 @@ def normalize_text(c: Column | str, category_stop: Column | None = None,
         return F.transform(kept, lambda p: p["lemma"])
 
     def body(tokens: Column) -> Column:
-        return let(stop, lambda s: words(drop_trailing_conjunction(tokens), s))
+        # what becomes of a token depends on the token alone, so repeats can go first
+        once = F.array_distinct(drop_trailing_conjunction(tokens))
+        return let(stop, lambda s: words(once, s))
 
     return dedupe_tokens(let(tokenize(apply_phrases(clean_attribute_text(c))), body))
 

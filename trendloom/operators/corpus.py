@@ -10,14 +10,15 @@ from trendloom.functions import vocabulary as voc
 from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import (apply_phrases, clean_attribute_text, drop_trailing_conjunction,
                                       is_kept, is_number_like, number_to_word, rule_lemma, tokenize)
-from trendloom.functions.expr import literal_array
+from trendloom.functions.expr import let, literal_array
 from trendloom.operators.sizing import derive_once, lookup_join, work_partitions
 
 
 def explode_tokens(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """Rows (keys, pos, token) of the cleaned text without its trailing conjunction."""
+    """Rows (keys, pos, token): each token of the cleaned text once, no trailing conjunction."""
     cleaned = apply_phrases(clean_attribute_text(text))
-    return texts.select(*keys, F.posexplode(drop_trailing_conjunction(tokenize(cleaned))).alias("pos", "token"))
+    tokens = let(tokenize(cleaned), lambda t: F.array_distinct(drop_trailing_conjunction(t)))
+    return texts.select(*keys, F.posexplode(tokens).alias("pos", "token"))
 
 
 def lemmatize(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:

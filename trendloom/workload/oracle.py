@@ -321,7 +321,7 @@ ORACLE: dict[str, str] = {
       FROM (SELECT vec_id, list_transform(embedding, lambda x: x::double * 2) AS d FROM embeddings)""",
     "mean_pool_by_label": f"""
       SELECT label, (unnest(range(64)))::int AS place, round(unnest(v), 6) AS x
-      FROM ({centroid('label', 'mask').replace('SELECT *, label', 'SELECT *, (vec_id % 4 > 0)::int::double AS mask, label')})""",
+      FROM ({centroid('label', 'mask').replace('SELECT *, label', 'SELECT *, (embedding[1] > 0)::int::double AS mask, label')})""",
     "parse_vector": """SELECT vec_id, len(embedding)::int AS n,
       round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) AS length FROM embeddings""",
     "similarity_scores": sql("""

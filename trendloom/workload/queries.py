@@ -45,7 +45,8 @@ def l2_normalize(spark, sf):
 
 @query
 def mean_pool_by_label(spark, sf):
-    e = views.table(spark, sf, "embeddings").withColumn("mask", (F.col("vec_id") % 4 > 0).cast("int"))
+    e = views.table(spark, sf, "embeddings")
+    e = e.withColumn("mask", (F.get("embedding", F.lit(0)) > 0).cast("int"))
     pooled = agg.mean_pool(e, ["label"], "embedding", views.DIM, mask="mask")
     return pooled.select("label", F.posexplode("embedding").alias("place", "x")).select(
         "label", "place", r6("x"))
