@@ -34,8 +34,11 @@ def skewed(spark):
 
 
 def test_measure(spark):
-    df = spark.createDataFrame([("abc", [1.0, 2.0], 1), (None, None, 2)], "s string, v array<double>, i long")
-    assert sizing.measure(df) == (2, 3 + 16 + 8 + 8)
+    df = spark.createDataFrame(
+        [("abc", [1.0, 2.0], 1, [("x", 1.0), ("yz", None)], None), (None, None, 2, None, {"k": 1})],
+        "s string, v array<double>, i long, p array<struct<t: string, x: double>>, m map<string, int>")
+    assert sizing.measure(df.drop("m")) == (2, 3 + 16 + 8 + 8 + (1 + 8 + 2))
+    assert sizing.measure(df.select("m")) == (2, len('{"m":{"k":1}}'))
     assert sizing.measure(df.where("false")) == (0, 0)
 
 
@@ -80,6 +83,8 @@ def test_semi_by_ignores_missing_keys(skewed, monkeypatch):
     assert sizing.semi_by(left, right, "k").count() == expected
     monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *a, **k: False)
     assert sizing.semi_by(left, right, "k").count() == expected
+    keys = right.select("k").where("k is not null").distinct()
+    assert sizing.skew_join(left, keys, ["k"], "left_semi", hot_rows=100).count() == expected
 
 
 def test_derive_once(skewed, monkeypatch):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trendloom.operators.aggregates import distinct_values, ordered_concat
-from trendloom.operators.sizing import work_partitions
+from trendloom.operators.sizing import row_partitions
 
 
 def concat_description(df: DataFrame, key: str = "product_id",
@@ -18,7 +18,7 @@ def concat_description(df: DataFrame, key: str = "product_id",
     whatever is computed per product afterwards.
     """
     once = distinct_values(df, [key, type_], value, order_by)
-    once = once.repartition(work_partitions(df), key)
+    once = once.repartition(row_partitions(df), key)
     values = F.collect_list(F.struct("__pos", F.col(value).cast("string").alias("value")))
     per_type = once.groupBy(key, type_).agg(
         F.min("__pos").alias("__pos"), ordered_concat(values, ", ").alias("__list"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trendloom.operators.sizing import work_partitions
+from trendloom.operators.sizing import row_partitions
 
 _RANK = "__rank"
 _SALT = "__salt"
@@ -30,7 +30,7 @@ def top_k(df: DataFrame, by: Sequence[str] = ("tag", "category"), score: str = "
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
-    salts = salts or math.isqrt(work_partitions(df))
+    salts = salts or math.isqrt(row_partitions(df))
     for key in by:
         df = df.where(F.col(key).isNotNull())
     if salts > 1:

@@ -24,22 +24,31 @@ HOT_ROWS = 1_000_000
 _SALT = "__salt"
 
 
-def _bytes_of(name: str, kind: DataType) -> Column:
-    c = F.col(f"`{name}`")
+def _bytes_of(c: Column, kind: DataType) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
-        return F.octet_length(c)
-    if isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
-        return F.size(c) * 8
-    if isinstance(kind, (ArrayType, MapType, StructType)):
-        return F.octet_length(F.to_json(F.struct(c)))
-    return F.lit(8)
+        size = F.octet_length(c)
+    elif isinstance(kind, StructType):
+        size = _sum_of([_bytes_of(c[f.name], f.dataType) for f in kind.fields])
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
+        size = F.size(c) * 8
+    elif isinstance(kind, ArrayType):
+        size = F.aggregate(
+            F.transform(c, lambda x: _bytes_of(x, kind.elementType)), F.lit(0).cast("long"),
+            lambda total, x: total + x)
+    elif isinstance(kind, MapType):
+        size = F.octet_length(F.to_json(F.struct(c)))
+    else:
+        size = F.lit(8)
+    return F.when(c.isNull(), F.lit(0)).otherwise(size).cast("long")
+
+
+def _sum_of(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns, F.lit(0).cast("long"))
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
     """Rows and bytes of `df`, from one aggregate that returns a single row."""
-    per_row = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(_bytes_of(f.name, f.dataType), F.lit(0)).cast("long") for f in df.schema.fields])
+    per_row = _sum_of([_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(per_row).alias("bytes")).first()
     return row["rows"], row["bytes"] or 0
 
@@ -120,9 +129,12 @@ def semi_by(df: DataFrame, keys_df: DataFrame, on: str) -> DataFrame:
 
 def work_partitions(df: DataFrame) -> int:
     """Tasks for work that costs CPU rather than bytes."""
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * spark.sparkContext.defaultParallelism, shuffle)
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def row_partitions(df: DataFrame) -> int:
+    """Tasks for a shuffle of rows that must not be merged into fewer."""
+    return max(work_partitions(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
