@@ -130,6 +130,16 @@ def test_second_run_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_arriving_catalog_files_are_embedded_like_the_whole(spark, tmp_path, catalog):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    for part in ("product_id < 40", "product_id >= 40"):
+        catalog.where(part).write.mode("append").partitionBy("category").parquet(src)
+        incremental_embed(spark, src, out, log, lambda df: matching.embed_rows(df, ENCODER), catalog.schema)
+    columns = ["product_id", "category", "pos", "confidence", "embedding_text", "text_embedding"]
+    assert rows(spark.read.parquet(out).select(*columns)) == rows(
+        matching.embed_catalog(catalog, ENCODER).select(*columns))
+
+
 def test_checkpoint_folder_is_the_named_one(spark):
     root = session.checkpoint_root(spark)
     assert root == spark.sparkContext.getCheckpointDir()

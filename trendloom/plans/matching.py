@@ -51,6 +51,12 @@ def embed_catalog(catalog: DataFrame, encoder: Encoder, partitions: int | None =
     return derive_once(_with_raw_text(catalog), ["category", _RAW], derive, partitions).drop(_RAW)
 
 
+def embed_rows(catalog: DataFrame, encoder: Encoder) -> DataFrame:
+    """`embed_catalog` row by row, without joins, as a stream of arriving files needs it."""
+    rows = _normalized(_with_raw_text(catalog)).drop(_RAW)
+    return rows.withColumn("text_embedding", encoder(F.col("embedding_text")))
+
+
 def category_tags(trends: DataFrame, order_by: Sequence[str] = POS,
                   thresholds: DataFrame | None = None) -> DataFrame:
     """Tags to score per category, with the metadata their candidates will carry.
