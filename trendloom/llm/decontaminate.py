@@ -12,19 +12,17 @@ passes' results are merged per document.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from trendloom.llm.common import cut_lineage, map_texts, row_key
-from trendloom.llm.words import covered, normal_words, window_hashes, word_hashes
+from trendloom.llm.words import NORMAL_WORD, covered, cut_words, normal_words, window_hashes, word_hashes
 
 WINDOW = 10
 #: Bytes of item texts whose windows are broadcast at a time.
 BLOCK_BYTES = 16 << 20
 _FLAG_BITS = 20
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 _FOUND = "doc_id bigint, row bigint, n_words bigint, starts array<int>, lengths array<int>, items array<string>"
 
@@ -136,20 +134,6 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
                                     "items_sha256 string, contaminated boolean")
 
 
-def cut_words(data: bytes, hit: np.ndarray) -> bytes:
-    """The text without its hit words; the white space after a cut word goes with it."""
-    kept, at = [], 0
-    spans = [m.span() for m in _WORD.finditer(data)]
-    for (start, end), gone in zip(spans, hit.tolist(), strict=True):
-        if gone:
-            kept.append(data[at:start])
-            at = end
-            while at < len(data) and data[at] in b" \t\n\r\x0b\x0c":
-                at += 1
-    kept.append(data[at:])
-    return b"".join(kept)
-
-
 def remove_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                     text: str = "text", item_id: str = "item_id", item_text: str = "text",
                     block_bytes: int = BLOCK_BYTES, whole_documents: bool = False,
@@ -184,7 +168,7 @@ def _remove_block(docs: DataFrame, windows, text: str, whole: bool, n_chars: str
                 starts, lengths, _ = windows.value.find(words)
                 keep.append(not (whole and starts))
                 if starts and not whole:
-                    data = cut_words(data, covered(np.array(starts), np.array(lengths), len(words)))
+                    data = cut_words(data, covered(np.array(starts), np.array(lengths), len(words)), NORMAL_WORD)
                     changed[i] = len(data.decode())
                 new.append(data)
             if changed:

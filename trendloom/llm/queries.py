@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
+from trendloom.llm.simhash import near_duplicates
+from trendloom.llm.substring import repeated_words
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op10_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (
+    op2_simhash_near_dedup, op4_substring_dedup, op10_benchmark_decontamination,)}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
+SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+NORMAL_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(29)
@@ -65,6 +70,19 @@ def sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
 
 
+def cut_words(data: bytes, gone: np.ndarray, word: re.Pattern) -> bytes:
+    """The text without the words marked in `gone`; the white space after a cut word goes with it."""
+    kept, at = [], 0
+    for match, cut in zip(word.finditer(data), gone.tolist(), strict=True):
+        if cut:
+            kept.append(data[at:match.start()])
+            at = match.end()
+            while at < len(data) and data[at] in b" \t\n\r\x0b\x0c":
+                at += 1
+    kept.append(data[at:])
+    return b"".join(kept)
+
+
 def covered(starts: np.ndarray, lengths, n: int) -> np.ndarray:
     """Which of `n` words lie in a window; `lengths` is one number or one for each start."""
     steps = np.zeros(n + 1, np.int64)
