@@ -12,7 +12,7 @@ from trendloom.session import cut_lineage
 #: rows of numbers are gathered again on the Python side where that pays.
 ROWS_PER_BATCH = 512
 
-__all__ = ["ROWS_PER_BATCH", "cut_lineage", "map_arrays", "map_texts", "row_key", "small_batches", "table"]
+__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "row_key", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -79,6 +79,57 @@ def map_arrays(df: DataFrame, each: Callable[..., tuple], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def change_rows(df: DataFrame, text: str, change: Callable[[bytes | None], tuple[bool, bytes | None]],
+                n_chars: str | None = "n_chars") -> DataFrame:
+    """Rows of `df`, all columns, with each text kept, replaced or its row dropped.
+
+    `change` gets a text as UTF-8 bytes and gives (keep, text); a column
+    `n_chars`, if there, is counted anew for texts that change.
+    """
+    small_batches(df.sparkSession)
+    columns = df.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            place = columns.index(text)
+            old = batch.column(place).cast(pa.binary()).to_pylist()
+            keep, new = zip(*map(change, old), strict=True) if old else ((), ())
+            changed = [i for i, (a, b) in enumerate(zip(old, new, strict=True)) if a is not b and a != b]
+            if changed:
+                arrays = list(batch.columns)
+                arrays[place] = pa.array(new, pa.binary()).cast(arrays[place].type)
+                if n_chars in columns:
+                    at = columns.index(n_chars)
+                    counts = arrays[at].to_pylist()
+                    for i in changed:
+                        counts[i] = len(new[i].decode())
+                    arrays[at] = pa.array(counts, arrays[at].type)
+                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            yield batch if all(keep) else batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
+class Memo(dict):
+    """Results by key, of a bounded number of keys: beyond it the older half is forgotten."""
+
+    def __init__(self, compute: Callable, limit: int = 1 << 19) -> None:
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def arrow_schema(ddl: str):
     """The few types that the operators hand back, as an Arrow schema."""
     import pyarrow as pa

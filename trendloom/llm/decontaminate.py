@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.llm.common import cut_lineage, map_texts, row_key
+from trendloom.llm.common import change_rows, cut_lineage, map_texts, row_key
 from trendloom.llm.words import NORMAL_WORD, covered, cut_words, normal_words, window_hashes, word_hashes
 
 WINDOW = 10
@@ -147,40 +147,13 @@ def remove_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc
     sc = docs.sparkSession.sparkContext
     for block in blocks:
         windows = sc.broadcast(Windows([(r[0], r[1].encode()) for r in block.collect()], window))
-        docs = _remove_block(docs, windows, text, whole_documents, n_chars)
-    return docs
-
-
-def _remove_block(docs: DataFrame, windows, text: str, whole: bool, n_chars: str | None) -> DataFrame:
-    from trendloom.llm.common import small_batches
 
-    small_batches(docs.sparkSession)
-    columns = docs.columns
+        def change(data, windows=windows):
+            words = normal_words(data)
+            starts, lengths, _ = windows.value.find(words)
+            if whole_documents or not starts:
+                return not starts, data
+            return True, cut_words(data, covered(np.array(starts), np.array(lengths), len(words)), NORMAL_WORD)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(columns.index(text))
-            new, keep, changed = [], [], {}
-            for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
-                words = normal_words(data)
-                starts, lengths, _ = windows.value.find(words)
-                keep.append(not (whole and starts))
-                if starts and not whole:
-                    data = cut_words(data, covered(np.array(starts), np.array(lengths), len(words)), NORMAL_WORD)
-                    changed[i] = len(data.decode())
-                new.append(data)
-            if changed:
-                arrays = list(batch.columns)
-                arrays[columns.index(text)] = pa.array(new, pa.binary()).cast(texts.type)
-                if n_chars in columns:
-                    counts = arrays[columns.index(n_chars)]
-                    values = counts.to_pylist()
-                    for i, n in changed.items():
-                        values[i] = n
-                    arrays[columns.index(n_chars)] = pa.array(values, counts.type)
-                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-            yield batch if all(keep) else batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+        docs = change_rows(docs, text, change, n_chars)
+    return docs

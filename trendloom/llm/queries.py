@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendloom.llm.bpe import encoding_digests
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
+from trendloom.llm.language import held_out, identify, learn
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs.where(~held_out())))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,9 +32,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_dedup, op4_substring_dedup, op10_benchmark_decontamination,)}
+    op1_language_id, op2_simhash_near_dedup, op4_substring_dedup, op6_bpe, op10_benchmark_decontamination,)}
