@@ -12,7 +12,8 @@ from trendloom.session import cut_lineage
 #: rows of numbers are gathered again on the Python side where that pays.
 ROWS_PER_BATCH = 512
 
-__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "row_key", "small_batches", "table"]
+__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "row_key",
+           "rows_batch", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -130,6 +131,14 @@ class Memo(dict):
         return found
 
 
+def rows_batch(rows: list, kinds):
+    """Tuples, at least one, as an Arrow batch."""
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
 def arrow_schema(ddl: str):
     """The few types that the operators hand back, as an Arrow schema."""
     import pyarrow as pa

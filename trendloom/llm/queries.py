@@ -10,6 +10,8 @@ from trendloom.llm.decontaminate import contamination
 from trendloom.llm.language import held_out, identify, learn
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
+from trendloom.llm.tokenfile import token_digests
+from trendloom.llm.warc import read_archives, write_archives
 
 
 def tokenizer(name: str) -> str:
@@ -32,13 +34,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_simhash_near_dedup, op4_substring_dedup, op6_bpe, op10_benchmark_decontamination,)}
+    op1_language_id, op2_simhash_near_dedup, op4_substring_dedup, op5_warc, op6_bpe,
+    op8_token_files, op10_benchmark_decontamination,)}
