@@ -82,7 +82,8 @@ def _repeated_anchors(docs: DataFrame, window: int, run: int) -> DataFrame:
         return np.full(len(found), key, np.int64), found.view(np.int64)
 
     found = cut_lineage(map_arrays(docs.select("__key", "__text"), places, "k bigint, v bigint"), "anchors")
-    twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    # a table of its own, so that the join has plain shuffles on both sides and Spark can split a run found everywhere
+    twice = cut_lineage(found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"), "twice")
     shared = found.join(twice, "v", "left_semi").groupBy("k").agg(F.collect_set("v").alias("repeated"))
     return cut_lineage(shared.withColumnRenamed("k", "__k"), "repeated")
 
