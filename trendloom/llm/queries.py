@@ -11,9 +11,15 @@ from trendloom.llm.language import held_out, identify, learn
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
 from trendloom.llm.tokenfile import token_digests
+from trendloom.llm.urls import judge_urls
+from trendloom.llm.vectors import near_vectors
 from trendloom.llm.warc import read_archives, write_archives
 
 
+#: Host, path and verdict of the listed urls.
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
 def tokenizer(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
@@ -30,6 +36,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS r(host, path, verdict)"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"))
 
@@ -46,10 +57,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_simhash_near_dedup, op4_substring_dedup, op5_warc, op6_bpe,
-    op8_token_files, op10_benchmark_decontamination,)}
+    op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_substring_dedup, op5_warc, op6_bpe,
+    op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination)}
