@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.llm.common import Memo, map_texts
+from trendloom.llm.common import Memo, map_texts, small_batches
 
 #: Longer chunks of a text are encoded each time they occur.
 _MEMO_LENGTH = 48
@@ -148,6 +148,26 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     return map_texts(docs, run, "doc_id bigint, ids array<int>, decoded string")
 
 
+def token_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids: what goes on to training. A null text is empty; one row per input row."""
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = word_encoder(path)
+        for batch in batches:
+            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(ends), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
+
+
 def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what `encode_documents` gives, worked out on the spot.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom.llm.bpe import encoding_digests
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
+from trendloom.llm.html import extract_pages
 from trendloom.llm.language import held_out, identify, learn
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
@@ -53,6 +54,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -67,4 +72,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_substring_dedup, op5_warc, op6_bpe,
-    op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination)}
+    op7_html_extraction, op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination)}

@@ -13,9 +13,9 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trendloom.llm.common import cut_lineage, map_texts
+from trendloom.llm.common import cut_lineage, map_texts, row_key
 from trendloom.llm.components import Forest, connected_components
 from trendloom.operators.sizing import row_partitions
 
@@ -51,14 +51,15 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit number), one row per input row."""
+    """doc_id, row (a key of the row), fp (the fingerprint as a signed 64-bit number), one row per input row."""
     def run(rows):
-        for key, data in rows:
+        for key, row, data in rows:
             fp = fingerprint(data, shingle)
-            yield key, fp - (1 << 64) if fp >> 63 else fp
+            yield key, row, fp - (1 << 64) if fp >> 63 else fp
 
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(docs, run, "doc_id bigint, fp bigint")
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
+                       F.col(text).alias("text"))
+    return map_texts(docs, run, "doc_id bigint, row bigint, fp bigint")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -197,6 +198,15 @@ def _bucket_edges(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _classes(docs: DataFrame, radius: int, cell: int) -> DataFrame:
+    """key, component: for each distinct fingerprint the least one reachable."""
+    distinct = cut_lineage(docs.select("fp").distinct(), "distinct")
+    edges = _bucket_edges(in_cells(buckets(distinct, radius), cell), radius)
+    members = cut_lineage(connected_components(edges), "members")
+    return distinct.join(members, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("key"), F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id",
                     text: str = "text", cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per input row.
@@ -208,12 +218,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Repeated rows are rows of one component. Other columns are ignored.
     """
     docs = cut_lineage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = _bucket_edges(in_cells(buckets(distinct.select("fp"), radius), cell), radius)
-    members = cut_lineage(connected_components(edges), "members")
-    classes = distinct.join(members, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("key"), F.coalesce("component", "fp").alias("component"), "least")
-    ids = classes.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
+    least = docs.groupBy(F.col("fp").alias("f")).agg(F.min("doc_id").alias("least"))
+    classes = cut_lineage(_classes(docs, radius, cell).join(least, F.col("key") == F.col("f")).drop("f"), "classes")
+    ids = classes.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
     classes = classes.join(ids, F.col("component") == F.col("c")).select("key", "component_id")
     return docs.join(classes, F.col("fp") == F.col("key")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id",
+                     text: str = "text", cell: int = CELL) -> DataFrame:
+    """The row of the smallest doc_id of each group of near-duplicates, all columns as they are.
+
+    A null id is the largest here; of different texts of one id the one with
+    the least hash stays, of repeated rows any.
+    """
+    marks = cut_lineage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    classes = _classes(marks, radius, cell)
+    first = marks.groupBy(F.col("fp").alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    chosen = (classes.join(first, F.col("key") == F.col("f")).groupBy("component").agg(F.min("first").alias("first"))
+              .select(F.col("first.row").alias("__chosen")))
+    # of repeated rows one per task goes on, and one of those stays
+    once = Window.partitionBy("__row").orderBy("__row")
+    rows = docs.withColumn("__row", row_key(doc_id, text)).join(
+        cut_lineage(chosen, "chosen"), F.col("__row") == F.col("__chosen"), "left_semi")
+    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
