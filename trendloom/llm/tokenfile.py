@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trendloom.llm.bpe import byte_letters
 from trendloom.llm.common import Memo, arrow_schema, cut_lineage, rows_batch, small_batches
 from trendloom.llm.files import new_file, new_folder, open_input, open_output
 from trendloom.operators.sizing import row_partitions
@@ -59,40 +60,62 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, remembered for chunks between spaces.
+    """Ids of whole texts by the tokenizers library, remembered for words.
 
-    The library's own split never reaches across a lone space from one chunk to
-    the next, so ids of chunks, each with the space before it, make up those
-    of the text. Texts with other white space beside a space, or with the string of a special token,
-    go to the library as they are.
+    The library splits a text at a lone space or line end, and a word of plain
+    letters from the mark behind it, whatever stands around; so the ids of
+    such pieces, words with the space before them, make up those of the text.
+    Texts with more white space in a row, or with the string of a special
+    token, go to the library as they are.
     """
 
-    _TOGETHER = re.compile(r"\s | \s")
+    _TOGETHER = re.compile(r"\s\s")
+    _PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
+        if self.library.normalizer is not None or not isinstance(self.library.pre_tokenizer, ByteLevel):
+            raise ValueError("a tokenizer file of another kind")
+        self.model = self.library.model
+        self.letters = dict(enumerate(byte_letters()))
         self.library.no_truncation()
         self.library.no_padding()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks = Memo(lambda chunk: self._ids(" " + chunk))
+        self.starts = Memo(self._ids, 1 << 16)
+        self.words = Memo(self._word)
+        self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        found = self._PLAIN.fullmatch(word)
+        if not found:
+            return self._ids(" " + word)
+        if found[2]:
+            return self.words[found[1]] + self.starts[found[2]]
+        # nothing to split: straight to the library's model, in the letters that it has for bytes
+        letters = (" " + word).encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+
+    def _line(self, line: str) -> bytes:
+        first, *words = line.split(" ")
+        if len(max(words, key=len, default="")) <= _MEMO_LENGTH >= len(first):
+            return self.starts[first] + b"".join(map(self.words.__getitem__, words))
+        return self._ids(line)
+
     def encode(self, text: str) -> bytes:
         if self._TOGETHER.search(text) or self.special.search(text):
             return self._ids(text)
-        first, *chunks = text.split(" ")
-        find = self.chunks.__getitem__
-        return self._ids(first) + b"".join(
-            [find(c) if len(c) <= _MEMO_LENGTH else self._ids(" " + c) for c in chunks])
+        return self.line_end.join(map(self._line, text.split("\n")))
 
 
 @lru_cache(maxsize=1)
