@@ -247,6 +247,9 @@ def test_wide_and_back(spark):
     wide = reshape.scores_to_wide(long, ["sim_maxsim_fit", "b"])
     assert wide.columns == ["product_id", "sim_sim_maxsim_fit", "sim_b"]
     assert rows(reshape.melt_scores(wide)) == rows(long)
+    assert rows(reshape.melt_scores(reshape.scores_to_wide(long))) == rows(long)
+    with pytest.raises(Exception, match="no column is named"):
+        reshape.scores_to_wide(long, ["b"]).collect()
 
 
 def test_flatten_markets(spark):
@@ -259,6 +262,24 @@ def test_flatten_markets(spark):
         ("India", 0, "A"), ("Global", 0, "B"), ("Global", 1, "C")]
 
 
+def test_messy_trend_files(spark):
+    files = {
+        "cut": '{"trending_tags_india": [{"trend_name": "A"}',
+        "list": "[]", "none": None, "word": '"x"', "empty": "{}",
+        "mixed": '{"notes": "see", "gone": null, "trending_tags_global": [{"trend_name": "A", "confidence": "4.5", '
+                 '"supporting_hashtags": "#a, #b", "price": 3, "region": "India"}, "oops", '
+                 '{"trend_name": "B", "confidence": "high", "supporting_hashtags": []}], "trending_tags_india": []}'}
+    raw = spark.createDataFrame(list(files.items()), "category string, value string")
+    got = [tuple(r) for r in reshape.flatten_markets(raw).select(
+        "category", "trend_no", "trend_name", "confidence", "supporting_hashtags", "region", "extra").collect()]
+    assert sorted(got) == [("mixed", 0, "A", 4.5, ["#a", "#b"], "India", {"price": "3"}), ("mixed", 2, "B", None, [], None, None)]
+    rejects = reshape.market_rejects(raw).select("category", "market_key", "trend_no", "reject_reason")
+    assert rows(rejects) == sorted([
+        ("cut", None, None, "file is no object"), ("list", None, None, "file is no object"),
+        ("none", None, None, "file is no object"), ("word", None, None, "file is no object"),
+        ("mixed", "notes", None, "market is no list"), ("mixed", "trending_tags_global", 1, "trend is no object")], key=repr)
+
+
 def test_union_and_sets(spark):
     a, b = spark.createDataFrame([(1,)], "x long"), spark.createDataFrame([(2, "q")], "x long, y string")
     assert rows(reshape.union_all([a, b])) == [(1, None), (2, "q")]

@@ -12,7 +12,7 @@ from trendloom.functions.text import normalize_text
 from trendloom.operators import aggregates as agg, filters, joins, requests
 from trendloom.operators.similarity import similarity_join
 from trendloom.plans import matching, trends as trend_plans
-from trendloom.schemas import TRENDS_CSV
+from trendloom.schemas import TAGS_CSV
 from trendloom.sources import readers, writers
 from trendloom.streaming.incremental import incremental_embed, skip_done
 
@@ -30,9 +30,8 @@ def test_trend_files_by_name_and_by_folder(spark, tmp_path):
     (tmp_path / "Women - Jeans & Jeggings.json").write_text('{\n "trending_tags_india": []}')
     (tmp_path / "50%+ off.json").write_text("{}")
     (tmp_path / "notes.md").write_text("no")
-    sub = tmp_path / "category=Men - a%2Fb"
-    sub.mkdir()
-    (sub / "part-0.txt").write_text("[]")
+    (tmp_path / "Men - a%2Fb.json").write_text("[]")
+    (tmp_path / "x.txt").write_text("{}")
     got = {r["category"]: r["value"] for r in readers.read_trend_json(spark, str(tmp_path)).collect()}
     assert got == {"Women - Jeans & Jeggings": '{\n "trending_tags_india": []}', "50%+ off": "{}", "Men - a/b": "[]"}
 
@@ -42,13 +41,38 @@ def test_thresholds_file(spark, tmp_path):
     assert readers.read_thresholds(spark, str(path)) is None
     path.write_text("category,threshold,status\nMen - Tshirts, 0.20,done\nBad,x,done\n")
     assert rows(readers.read_thresholds(spark, str(path))) == [("Men - Tshirts", 0.2)]
+    other = tmp_path / "u.csv"
+    other.write_text("threshold,extra,category\n0.35,1,Men - Shorts\n")
+    assert rows(readers.read_thresholds(spark, str(other))) == [("Men - Shorts", 0.35)]
+    other = tmp_path / "v.csv"
+    other.write_text("threshold,name\n0.35,Men - Shorts\n")
+    with pytest.raises(ValueError, match="category"):
+        readers.read_thresholds(spark, str(other))
+
+
+def test_trend_files_are_replaced_one_by_one(spark, tmp_path):
+    folder = tmp_path / "trends"
+
+    def write(*pairs):
+        writers.write_trend_json(spark.createDataFrame(list(pairs), "category string, trends_json string"), str(folder))
+
+    write(("Men - a/b", '{"x": 1}'), ("50%+ off: é", "{}"))
+    write(("Men - a/b", '{"x": 2}'), ("New", "[]"))
+    spark.createDataFrame([], "category string, trends_json string").transform(lambda df: writers.write_trend_json(df, str(folder)) or df)
+    got = {r["category"]: r["value"].strip() for r in readers.read_trend_json(spark, str(folder)).collect()}
+    assert got == {"Men - a/b": '{"x": 2}', "50%+ off: é": "{}", "New": "[]"}
+    assert len([p for p in folder.iterdir() if p.suffix == ".json"]) == 3
+    for bad in ([("A", "{}"), ("A", "[]")], [(None, "{}")]):
+        with pytest.raises(ValueError):
+            write(*bad)
+    assert readers.read_trend_json(spark, str(folder)).count() == 3
 
 
 def test_trends_csv(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('tag,category,region,description,preprocessed_tag,tag_embedding_text,embedding\n'
                     'a_b,Men,india,"two\nlines ""q""",a b,a b,"[1.0, 2.0]"\n')
-    row = readers.read_trends_csv(spark, str(path)).first()
+    row = readers.read_trends_csv(spark, str(path), TAGS_CSV).first()
     assert row["description"] == 'two\nlines "q"' and row["embedding"] == [1.0, 2.0]
 
 
@@ -193,11 +217,11 @@ def test_answers_become_trends(spark, week):
         ("Men - Tshirts", "Global", "Blue Tops"), ("Men - Tshirts", "Global", "Red Dresses"),
         ("Women - Dresses", "Global", "Blue Tops"), ("Women - Dresses", "India", "Red Dresses")]
     assert flat.columns[:2] == ["category", "market"]
-    back = readers.read_trends_csv(spark, str(folder / "csv"), TRENDS_CSV)
+    back = readers.read_trends_csv(spark, str(folder / "csv"))
     assert rows(back.select("trend_name", "supporting_hashtags").distinct()) == [
         ("Blue Tops", None), ("Red Dresses", '["#r","#d"]')]
     assert rows(trends.select("tag", "preprocessed_tag", "region").distinct()) == [
-        ("blue_tops", "blue top", "global"), ("red_dresses", "red dress", "global"), ("red_dresses", "red dress", "india")]
+        ("blue_tops", "blue top", "global"), ("red_dresses", "red dress", "india")]
     assert trends.where("embedding is null").count() == 0
 
 
@@ -267,6 +291,6 @@ def test_tag_dimension(week, catalog):
 
     trends = week[3]
     dim = trend_plans.tag_dimension(trends)
-    assert dim.columns == ["tag_value", "category", "tag_type", "vector"]
-    mapping = trends.where("tag = 'red_dresses'").select(F.col("preprocessed_tag").alias("tag"))
+    assert dim.columns == ["tag_value", "category", "tag_type", "vector", "tag"]
+    mapping = trends.where("tag = 'red_dresses'").select("tag")
     assert {r["tag_value"] for r in tags_in_output(dim, mapping).collect()} == {"red dress"}

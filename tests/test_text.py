@@ -42,6 +42,17 @@ def test_category_words_are_dropped_unless_protected(value):
 @pytest.mark.parametrize("word, lemma", [
     ("dresses", "dress"), ("babies", "baby"), ("jeans", "jean"), ("dress", "dress"), ("plus", "plus"),
     ("boxes", "box"), ("women", "woman"), ("me", "me"), ("80s", "80s"), ("gas", "gas"), ("hoodies", "hoodie"),
+    ("sizes", "size"), ("prizes", "prize"), ("niches", "niche"), ("lens", "lens"), ("onesies", "onesie"), ("cookies", "cookie"),
+    ("bikinis", "bikini"), ("saris", "sari"), ("khakis", "khaki"), ("menus", "menu"), ("printed", "print"), ("striped", "stripe"),
+    ("watches", "watch"), ("brushes", "brush"), ("glasses", "glass"), ("sneakers", "sneaker"), ("tops", "top"), ("sarees", "saree"),
+    ("accessories", "accessory"), ("bodies", "body"), ("parties", "party"), ("scarves", "scarf"), ("shoes", "shoe"),
+    ("sleeves", "sleeve"), ("blouses", "blouse"), ("bras", "bra"), ("crocs", "croc"), ("leggings", "legging"),
+    ("shorts", "short"), ("trousers", "trouser"), ("tights", "tight"), ("socks", "sock"), ("gloves", "glove"), ("buzzes", "buzz"),
+    ("waltzes", "waltz"), ("clutches", "clutch"), ("patches", "patch"), ("beaches", "beach"), ("stitches", "stitch"),
+    ("sashes", "sash"), ("laces", "lace"), ("bangles", "bangle"), ("ties", "tie"), ("series", "series"), ("us", "us"),
+    ("kurtis", "kurti"), ("maxis", "maxi"), ("minis", "mini"), ("embroidered", "embroider"), ("quilted", "quilt"),
+    ("pleated", "pleat"), ("cropped", "crop"), ("hooded", "hood"), ("red", "red"), ("canvas", "canvas"), ("bias", "bias"),
+    ("gowns", "gown"), ("robes", "robe"), ("pies", "pie"), ("axes", "axe"), ("cargo", "cargo"), ("denim", "denim"),
 ])
 def test_rule_lemma(value, word, lemma):
     assert value(tx.rule_lemma(F.lit(word))) == lemma

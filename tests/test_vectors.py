@@ -55,7 +55,21 @@ def test_model_encoder_runs_on_distinct_texts(spark):
 
     rows = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "id long, t string")
     got = {r["id"]: r["v"] for r in embed_texts(rows, "t", model_encoder(make, 2), "v").collect()}
-    assert got == {1: [2, 2], 2: [1, 0], 3: [2, 2], 4: None}
+    unit = math.sqrt(0.5)
+    assert got[1] == got[3] == pytest.approx([unit, unit]) and got[2] == [1, 0] and got[4] is None
+
+
+def test_model_encoder_gets_no_null_and_may_cut(spark):
+    def make():
+        def predict(texts):
+            assert not any(t is None for t in texts)
+            return np.array([[3.0 * len(t), 4.0 * len(t)] if len(t) <= 3 else [1.0, 0.0] for t in texts], dtype="float32")
+        return predict
+
+    rows = spark.createDataFrame([(1, "abcdef"), (2, None), (3, "")], "id long, t string")
+    encode = model_encoder(make, max_chars=3)
+    got = {r["id"]: r["v"] for r in rows.select("id", encode(F.col("t")).alias("v")).collect()}
+    assert got == {1: pytest.approx([0.6, 0.8]), 2: None, 3: [0.0, 0.0]}
 
 
 def test_mean_pool_with_mask(spark):
@@ -63,6 +77,13 @@ def test_mean_pool_with_mask(spark):
                                   ("b", [5.0, 5.0], 0)], "k string, v array<double>, m int")
     got = {r["k"]: r["embedding"] for r in agg.mean_pool(rows, ["k"], "v", 2, "m").collect()}
     assert got == {"a": [2.0, 4.0], "b": [0.0, 0.0]}
+    uneven = rows.union(spark.createDataFrame([("a", [1.0, 2.0, 3.0], 1)], rows.schema))
+    for dim in (2, None):
+        with pytest.raises(Exception, match="differ in length"):
+            agg.mean_pool(uneven.coalesce(1), ["k"], "v", dim).collect()
+    two = agg.mean_pool(spark.createDataFrame([("x", None, [1.0]), ("x", 2, [3.0]), ("x", None, [5.0])],
+                                              "a string, b int, v array<double>"), ["a", "b"], "v")
+    assert {(r["a"], r["b"], tuple(r["embedding"])) for r in two.collect()} == {("x", None, (3.0,)), ("x", 2, (3.0,))}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from trendloom.functions.expr import let
 from trendloom.functions.vectors import l2_normalize
@@ -44,12 +44,34 @@ def hash_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
-def model_encoder(make_predict_fn: Callable, batch_size: int = 512) -> Encoder:
-    """Encoder around a model that maps a batch of texts to a matrix.
+def model_encoder(make_predict_fn: Callable, batch_size: int = 512, max_chars: int | None = None) -> Encoder:
+    """Encoder around a model that maps a batch of texts to a matrix, a row per text.
 
     `make_predict_fn` runs once per Python worker, loads the model there and
-    returns the function called with each batch.
+    returns the function called with each batch. Vectors come out at unit
+    length, whatever the model gives. The model never sees a null: it gets an
+    empty text instead, and the vector is null. A text goes to the model
+    whole, or cut at `max_chars` characters if the model takes no more.
     """
-    predict = predict_batch_udf(
-        make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return lambda text: predict(text)
+    def make_unit_predict():
+        import numpy as np
+
+        model = make_predict_fn()
+
+        def predict(texts):
+            rows = np.asarray(model(texts), np.float64)
+            if rows.ndim != 2 or len(rows) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave an array of shape {rows.shape}")
+            return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
+
+        return predict
+
+    predict = predict_batch_udf(make_unit_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+
+    def encode(text: Column) -> Column:
+        given = F.coalesce(text, F.lit(""))
+        if max_chars is not None:
+            given = F.substring(given, 1, max_chars)
+        return F.when(text.isNotNull(), predict(given))
+
+    return encode

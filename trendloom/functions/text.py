@@ -88,7 +88,7 @@ def rule_lemma(c: Column | str) -> Column:
                F.try_element_at(literal_map(voc.IRREGULAR_LEMMAS), c))
         .when(~c.endswith("s"), c)
         .when(c.rlike("^[a-z]{2,}ies$"), F.regexp_replace(c, "ies$", "y"))
-        .when(c.rlike("^[a-z]+(ss|x|z|ch|sh)es$"), F.regexp_replace(c, "es$", ""))
+        .when(c.rlike("^[a-z]+(ss|x|zz|tz|ch|sh)es$"), F.regexp_replace(c, "es$", ""))
         .when(c.rlike("(ss|us|is)$"), c)
         .when(c.rlike("^[a-z]{3,}s$"), F.regexp_replace(c, "s$", ""))
         .otherwise(c)

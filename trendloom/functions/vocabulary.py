@@ -126,4 +126,20 @@ IRREGULAR_LEMMAS = {
     "hoodies": "hoodie", "beanies": "beanie", "selfies": "selfie", "ties": "tie", "series": "series",
     "species": "species", "canvas": "canvas", "christmas": "christmas", "pyjamas": "pyjamas",
     "me": "me",
+    # words in -ie, -che, -us, -i and -s that the rules for plurals would cut elsewhere
+    "cookies": "cookie", "onesies": "onesie", "booties": "bootie", "pies": "pie", "zombies": "zombie",
+    "niches": "niche", "caches": "cache", "aches": "ache", "axes": "axe", "quizzes": "quiz", "lens": "lens",
+    "menus": "menu", "tutus": "tutu", "bikinis": "bikini", "tankinis": "tankini", "saris": "sari", "khakis": "khaki",
+    "kurtis": "kurti", "lungis": "lungi", "dhotis": "dhoti", "minis": "mini", "midis": "midi", "maxis": "maxi",
+    "safaris": "safari", "taxis": "taxi", "skis": "ski", "bindis": "bindi", "sherwanis": "sherwani",
+    "gas": "gas", "bus": "bus", "atlas": "atlas", "bias": "bias", "pajamas": "pajamas",
+    # regular verb forms of garment words
+    "printed": "print", "striped": "stripe", "checked": "check", "ribbed": "rib", "quilted": "quilt",
+    "washed": "wash", "faded": "fade", "ripped": "rip", "pleated": "pleat", "embroidered": "embroider",
+    "knitted": "knit", "cropped": "crop", "fitted": "fit", "padded": "pad", "lined": "line", "layered": "layer",
+    "ruffled": "ruffle", "belted": "belt", "hooded": "hood", "textured": "texture", "tapered": "taper",
+    "flared": "flare", "dyed": "dye", "brushed": "brush", "coated": "coat", "laced": "lace", "buttoned": "button",
+    "zipped": "zip", "draped": "drape", "gathered": "gather", "smocked": "smock", "tailored": "tailor",
+    "distressed": "distress", "collared": "collar", "embellished": "embellish", "sequined": "sequin",
+    "wearing": "wear", "styling": "style", "layering": "layer",
 }

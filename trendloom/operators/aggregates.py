@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from trendloom.functions.expr import drop_nan
 from trendloom.functions.text import is_blank
@@ -64,17 +65,53 @@ def filter_audit(df: DataFrame, predicate: Column, by: Sequence[str] = ()) -> Da
         F.count_if(~passes).alias("rows_dropped"))
 
 
-def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int, mask: str | None = None,
+def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int | None = None, mask: str | None = None,
               eps: float = 1e-9, out: str = "embedding") -> DataFrame:
-    """Masked mean of the vectors of each key.
+    """Masked mean of the vectors of each key; a null place counts as zero.
 
-    One sum per place keeps each vector in its row: partial sums are formed
-    before the shuffle and a key's state is `dim` numbers, however many rows
-    it has.
+    Each Arrow batch sums its vectors by key, so what is shuffled is a sum per
+    key and batch, however many rows a key has. A vector of another length
+    than `dim`, or than the others of its key, is an error.
     """
-    m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    v = F.col(vec)
-    sums = [F.sum(v.getItem(i).cast("double") * m).alias(f"__s{i}") for i in range(dim)]
-    pooled = df.where(v.isNotNull()).groupBy(*key).agg(F.sum(m).alias("__m"), *sums)
+    rows = df.where(F.col(vec).isNotNull()).select(
+        *key, F.col(vec).cast("array<double>").alias("__v"), (F.col(mask) if mask else F.lit(1.0)).cast("double").alias("__m"))
+    schema = StructType([*[rows.schema[k] for k in key], StructField("__m", DoubleType()),
+                         StructField("__s", ArrayType(DoubleType()))])
+    names = list(key)
+
+    def partial_sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("__v"))
+            size = dim if dim is not None else lengths[0].as_py() if len(lengths) else 0
+            if not pc.all(pc.equal(lengths, size)).as_py():
+                raise ValueError("vectors differ in length")
+            if not batch.num_rows:
+                continue
+            keys = pa.Table.from_batches([batch]).select(names).append_column(
+                "__row", pa.array(np.arange(batch.num_rows)))
+            firsts = keys.group_by(names).aggregate([("__row", "min")])["__row_min"].to_numpy() if names else np.zeros(1, np.int64)
+            codes = np.zeros(batch.num_rows, np.int64)
+            for name in names:
+                part = batch.column(name).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                codes = np.unique(codes * (part.max() + 1) + part, return_inverse=True)[1]
+            weights = batch.column("__m").fill_null(0.0).to_numpy(zero_copy_only=False)
+            values = batch.column("__v").flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+            sums = np.zeros((codes.max() + 1, size))
+            np.add.at(sums, codes, values.reshape(batch.num_rows, size) * weights[:, None])
+            total = np.bincount(codes, weights)
+            order = codes[firsts]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n).take(pa.array(firsts)) for n in names), pa.array(total[order]),
+                 pa.array(list(sums[order]), pa.list_(pa.float64()))], names=[*names, "__m", "__s"])
+
+    summed = rows.mapInArrow(partial_sums, schema)
+    places = summed.select(*key, "__m", F.posexplode("__s").alias("__place", "__x"))
+    places = places.groupBy(*key, "__place").agg(F.sum("__m").alias("__m"), F.sum("__x").alias("__x"))
     weight = F.greatest(F.col("__m"), F.lit(eps))
-    return pooled.select(*key, F.array(*[F.col(f"__s{i}") / weight for i in range(dim)]).alias(out))
+    pairs = F.array_sort(F.collect_list(F.struct("__place", (F.col("__x") / weight).alias("x"))))
+    pooled = places.groupBy(*key).agg(pairs.alias("__p"))
+    return pooled.select(*key, F.transform("__p", lambda p: p["x"]).alias(out))

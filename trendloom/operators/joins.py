@@ -24,8 +24,8 @@ def entry_per_key(trends: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 
 def tags_in_output(tag_dim: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Tag rows that occur in the mapping."""
-    return semi_by(tag_dim, mapping.select(F.col("tag").alias("tag_value")), "tag_value")
+    """Tag rows whose tag occurs in the mapping."""
+    return semi_by(tag_dim, mapping.select("tag"), "tag")
 
 
 def attach_product_vector(candidates: DataFrame, vectors: DataFrame,

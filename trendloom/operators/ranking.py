@@ -11,6 +11,7 @@ from trendloom.operators.sizing import row_partitions
 
 _RANK = "__rank"
 _SALT = "__salt"
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _keep(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -31,6 +32,10 @@ def top_k(df: DataFrame, by: Sequence[str] = ("tag", "category"), score: str = "
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
     salts = salts or math.isqrt(row_partitions(df))
+    # Spark cuts groups before a shuffle only up to this many rows
+    conf = df.sparkSession.conf
+    if int(conf.get(_LIMIT)) < k:
+        conf.set(_LIMIT, str(k))
     for key in by:
         df = df.where(F.col(key).isNotNull())
     if salts > 1:

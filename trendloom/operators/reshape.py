@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trendloom.functions.expr import let, strip
 from trendloom.functions.text import label_market
-from trendloom.schemas import MARKETS
-
-MAX_WIDE_TAGS = 10_000
+from trendloom.schemas import TREND
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -22,11 +21,19 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def scores_to_wide(scores: DataFrame, tags: Sequence[str], keys: Sequence[str] = ("product_id",),
+def scores_to_wide(scores: DataFrame, tags: Sequence[str] | None = None, keys: Sequence[str] = ("product_id",),
                    score: str = "confidence", prefix: str = "sim_") -> DataFrame:
-    """One column per tag, for export. The tags are named by the caller."""
-    if len(tags) > MAX_WIDE_TAGS:
-        raise ValueError("too many tags for one column each; keep the long form")
+    """One column per tag, for export: all tags there are, or those named.
+
+    Naming the tags spares a pass over the scores; a score of another tag is
+    then an error, as it would have no column.
+    """
+    if tags is None:
+        tags = sorted(r["tag"] for r in scores.select("tag").where("tag is not null").distinct().collect())
+    else:
+        stray = F.raise_error(F.concat(F.lit("no column is named for the tag "), F.col("tag")))
+        scores = scores.withColumn("tag", F.when(F.col("tag").isNull() | F.col("tag").isin(list(tags)), F.col("tag"))
+                                   .otherwise(stray))
     wide = scores.groupBy(*keys).pivot("tag", list(tags)).agg(F.max(score))
     return wide.withColumnsRenamed({t: f"{prefix}{t}" for t in tags})
 
@@ -36,14 +43,72 @@ def melt_scores(wide: DataFrame, keys: Sequence[str] = ("product_id",), prefix:
     """Back to one row per tag; only the leading prefix is taken off."""
     columns = [c for c in wide.columns if c.startswith(prefix)]
     long = wide.unpivot(list(keys), columns, "tag", score).where(F.col(score).isNotNull())
-    return long.withColumn("tag", F.substring("tag", len(prefix) + 1, 1_000_000))
+    return long.withColumn("tag", F.call_function("substring", F.col("tag"), F.lit(len(prefix) + 1)))
 
 
-def flatten_markets(raw: DataFrame, json: str | Column = "value") -> DataFrame:
-    """One row per trend out of `{market key: [trend, ...]}`, markets and trends in order."""
+_LIST_FIELDS = [f.name for f in TREND.fields if f.dataType.typeName() == "array"]
+
+
+def _markets(raw: DataFrame, json: str | Column) -> DataFrame:
+    """One row per market of each file; a file that is no JSON object is one row without a market."""
     json = F.col(json) if isinstance(json, str) else json
     others = [c for c in raw.columns if c != "value"]
-    markets = raw.select(*others, F.explode(F.from_json(json, MARKETS)).alias("market_key", "trends"))
-    rows = markets.select(*others, "market_key", F.posexplode("trends").alias("trend_no", "trend"))
-    return rows.select(*others, label_market("market_key").alias("market"), "market_key", "trend_no",
-                       "trend.*")
+    whole = F.from_json(json, "map<string,string>")
+    readable = F.try_parse_json(json).isNotNull() & whole.isNotNull()
+    return raw.select(*others, json.alias("__file"), F.explode_outer(F.when(readable, whole)).alias("market_key", "__market"))
+
+
+def _trends(markets: DataFrame) -> DataFrame:
+    """One row per entry of each market, in order; a market that is no list is one row without an entry."""
+    entries = F.from_json("__market", "array<string>")
+    listed = strip(F.col("__market")).startswith("[") & entries.isNotNull()
+    return markets.select("*", listed.alias("__listed"), F.posexplode_outer(F.when(listed, entries)).alias("trend_no", "__trend"))
+
+
+def _string_list(text: Column) -> Column:
+    """A JSON list as it is; another text as a list of what stands between its commas."""
+    parts = F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")
+    return F.when(strip(text).startswith("["), F.from_json(text, "array<string>")).otherwise(parts)
+
+
+def flatten_markets(raw: DataFrame, json: str | Column = "value") -> DataFrame:
+    """One row per trend out of `{market key: [trend, ...]}`, markets and trends in order.
+
+    Fields are brought to their types: numbers in quotes, and one text where a
+    list belongs. Keys that a trend has besides are kept as text in `extra`.
+    What cannot be a trend is in `market_rejects`.
+    """
+    others = [c for c in raw.columns if c != "value"]
+    rows = _trends(_markets(raw, json)).withColumn("__fields", F.from_json("__trend", "map<string,string>"))
+    rows = rows.where(strip(F.col("__trend")).startswith("{") & F.col("__fields").isNotNull())
+
+    def field(f) -> Column:
+        text = F.try_element_at("__fields", F.lit(f.name))
+        if f.name in _LIST_FIELDS:
+            return let(text, _string_list).alias(f.name)
+        return text.try_cast(f.dataType).alias(f.name)
+
+    known = [f.name for f in TREND.fields]
+    extra = F.map_filter("__fields", lambda k, v: ~k.isin(known))
+    return rows.select(
+        *others, label_market("market_key").alias("market"), "market_key", "trend_no",
+        *[field(f) for f in TREND.fields], F.when(F.size(extra) > 0, extra).alias("extra"))
+
+
+def market_rejects(raw: DataFrame, json: str | Column = "value") -> DataFrame:
+    """What `flatten_markets` leaves out: market_key, trend_no, reject_reason and the text that was refused.
+
+    An empty list of trends, and a market of null, hold nothing to refuse.
+    """
+    others = [c for c in raw.columns if c != "value"]
+    rows = _trends(_markets(raw, json))
+    trend = F.from_json("__trend", "map<string,string>")
+    whole = F.col("market_key").isNull()
+    no_object = F.try_parse_json("__file").isNull() | ~F.coalesce(strip(F.col("__file")).startswith("{"), F.lit(False))
+    reason = (F.when(whole, F.when(no_object, "file is no object"))
+              .when(F.col("__market").isNotNull() & ~F.col("__listed"), "market is no list")
+              .when(F.col("trend_no").isNotNull() & ~F.coalesce(
+                  strip(F.col("__trend")).startswith("{") & trend.isNotNull(), F.lit(False)), "trend is no object"))
+    text = F.when(whole, F.col("__file")).otherwise(F.coalesce("__trend", "__market"))
+    return rows.select(*others, "market_key", "trend_no", reason.alias("reject_reason"), text.alias("refused")).where(
+        "reject_reason is not null")

@@ -14,11 +14,13 @@ from trendloom.operators.aggregates import max_score
 from trendloom.operators.corpus import embed_texts
 from trendloom.operators.describe import concat_description
 from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
-                                       lookup_tag_vector, semi_by, tag_meta)
+                                       lookup_tag_vector, semi_by, tag_meta, tags_in_output)
 from trendloom.operators.ranking import top_k
 from trendloom.operators.similarity import similarity_join
 from trendloom.operators.sizing import derive_once, fits_broadcast, lookup_join, skew_join
+from trendloom.plans.trends import tag_dimension
 from trendloom.session import cut_lineage
+from trendloom.sources.writers import write_table
 
 POS = ("pos",)
 
@@ -145,6 +147,13 @@ def describe_products(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
     return concat_description(semi_by(rows, candidates, "product_id"))
 
 
+def publish(mapping: DataFrame, trends: DataFrame, mapping_path: str, tags_path: str) -> None:
+    """Write the mapping, and the rows of the tags that occur in it, as the two tables others read."""
+    write_table(mapping, mapping_path)
+    written = mapping.sparkSession.read.schema(mapping.schema).parquet(mapping_path)
+    write_table(tags_in_output(tag_dimension(trends), written), tags_path)
+
+
 def map_trends(candidates: DataFrame, catalog: DataFrame, trends: DataFrame, encoder: Encoder,
                start_date: str, end_date: str, first_k: int = 5000, final_k: int = 1000,
                order_by: Sequence[str] = POS) -> DataFrame:
@@ -155,8 +164,9 @@ def map_trends(candidates: DataFrame, catalog: DataFrame, trends: DataFrame, enc
     """
     best = cut_lineage(top_k(candidates, k=first_k))
     described = describe_products(catalog, best)
-    products = described.select(
-        "product_id", encoder(F.col("product_description")).cast("array<double>").alias("embeddings"))
+    # saved, as a filter on the vector would have the encoder run for itself
+    products = cut_lineage(described.where("product_id is not null and product_description is not null").select(
+        "product_id", encoder(F.col("product_description")).cast("array<double>").alias("embeddings")), "products")
     products = products.withColumn("__product_norm", norm("embeddings"))
     vec = to_doubles("embedding")
     tags = trends.withColumn("__tag", F.struct(vec.alias("vec"), norm(vec).alias("norm")))

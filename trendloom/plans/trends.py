@@ -11,7 +11,7 @@ from trendloom.operators.corpus import encode_distinct
 from trendloom.operators.filters import reorder_columns
 from trendloom.operators.joins import attach_tag_vector
 from trendloom.operators.requests import split_valid_json
-from trendloom.operators.reshape import flatten_markets
+from trendloom.operators.reshape import flatten_markets, market_rejects
 from trendloom.sources.readers import read_trend_json
 from trendloom.sources.writers import write_trend_json, write_trends_csv
 
@@ -26,6 +26,11 @@ def curate_trends(answers: DataFrame, folder: str, index: int = 1, by_type: bool
     return rejects
 
 
+def trend_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What the files of a folder hold that is no trend, with the reason."""
+    return market_rejects(read_trend_json(spark, folder))
+
+
 def flat_trends(spark: SparkSession, folder: str) -> DataFrame:
     """One row per trend of all files of a folder."""
     return reorder_columns(flatten_markets(read_trend_json(spark, folder)))
@@ -41,12 +46,14 @@ def consolidate_trends(spark: SparkSession, folder: str, csv_path: str) -> DataF
 def canonicalize_trends(flat: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """Tag, texts and, with an encoder, vectors for the flat trends.
 
-    Trends keep their order as (category, market_key, trend_no).
+    The region is the one that the trend names; the market it stands under
+    counts only where it names none. Trends keep their order as (category,
+    market_key, trend_no).
     """
     tag = F.replace(F.lower(strip(F.col("trend_name"))), F.lit(" "), F.lit("_"))
     trends = (
         flat.withColumn("tag", tag)
-        .withColumn("region", F.lower("market"))
+        .withColumn("region", F.lower(F.coalesce(F.nullif(strip(F.col("region")), F.lit("")), "market")))
         .withColumnRenamed("aesthetic_description", "description")
         .withColumn("preprocessed_tag", normalize_tag("tag"))
         .withColumn("tag_embedding_text", F.col("preprocessed_tag")))
@@ -61,7 +68,7 @@ def embed_trends(trends: DataFrame, encoder: Encoder) -> DataFrame:
 
 
 def tag_dimension(trends: DataFrame) -> DataFrame:
-    """Tag rows under the names of the published table."""
+    """Tag rows under the names of the published table, and the tag by which the mapping knows them."""
     return trends.select(
         F.col("preprocessed_tag").alias("tag_value"), "category",
-        F.col("region").alias("tag_type"), F.col("embedding").alias("vector"))
+        F.col("region").alias("tag_type"), F.col("embedding").alias("vector"), "tag")

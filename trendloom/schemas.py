@@ -1,6 +1,6 @@
 """Declared schemas of all files the library reads."""
 
-from pyspark.sql.types import (ArrayType, DoubleType, MapType, StringType, StructField, StructType)
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 
 def _strings(*names: str) -> list[StructField]:
@@ -16,7 +16,6 @@ TREND = StructType([
     StructField("common_product_types", ArrayType(StringType())),
     *_strings("best_use_in_ecommerce"),
 ])
-MARKETS = MapType(StringType(), ArrayType(TREND))
 TREND_FILE = StructType([
     StructField("trending_tags_india", ArrayType(TREND)),
     StructField("trending_tags_global", ArrayType(TREND)),
@@ -30,7 +29,7 @@ TAGS_CSV = StructType([
     *_strings("tag", "category", "region", "description", "preprocessed_tag",
               "tag_embedding_text", "embedding"),
 ])
-THRESHOLDS_CSV = StructType(_strings("category", "threshold", "status"))
+THRESHOLDS_CSV = StructType(_strings("category", "threshold"))
 LEDGER = StructType([
     *_strings("jsonl_file"),
     StructField("batch", StructType(_strings("id", "status", "output_file_id", "error_file_id"))),

@@ -12,9 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # rankings keep up to 5000 rows per group; the default only limits groups
-    # on the map side up to 1000
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

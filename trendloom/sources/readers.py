@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trendloom.functions.text import decoded_path, file_stem
 from trendloom.functions.vectors import parse_vector
-from trendloom.schemas import LEDGER, TAGS_CSV, THRESHOLDS_CSV
+from trendloom.schemas import LEDGER, THRESHOLDS_CSV, TRENDS_CSV
 
 
 def path_missing(error: AnalysisException) -> bool:
@@ -16,25 +16,32 @@ def path_missing(error: AnalysisException) -> bool:
 
 
 def read_trend_json(spark: SparkSession, folder: str) -> DataFrame:
-    """(category, value): one row per trend file, its whole JSON text in `value`.
+    """(category, value): one row per file `<category>.json`, its whole text in `value`.
 
-    The category is the file stem, or the `category=` folder a file lies in.
+    What a name cannot hold is percent-encoded in it, as `write_trend_json` does.
     """
-    files = spark.read.text(
-        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}")
-    path = decoded_path("_metadata.file_path")
-    partition = F.regexp_extract(path, r"/category=([^/]*)/[^/]*$", 1)
-    category = F.when(partition != "", decoded_path(partition)).otherwise(file_stem(path))
-    return files.select(category.alias("category"), "value")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    name = file_stem(decoded_path("_metadata.file_path"))
+    return files.select(decoded_path(F.regexp_replace(name, r"%(?![0-9A-Fa-f]{2})", "%25")).alias("category"), "value")
 
 
 def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
-
+    """The columns of `schema`, found by the names in the header, wherever they stand.
 
-def read_trends_csv(spark: SparkSession, path: str, schema: StructType = TAGS_CSV) -> DataFrame:
-    """Processed trends; a vector column in text form becomes an array."""
+    A missing column is an error, and so is a file whose header differs from that of the others.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = reader.csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}; there are {names}")
+    kinds = {f.name: f for f in schema.fields}
+    header = StructType([kinds.get(n, StructField(n, StringType())) for n in names])
+    return reader.schema(header).option("enforceSchema", False).csv(path).select(*schema.names)
+
+
+def read_trends_csv(spark: SparkSession, path: str, schema: StructType = TRENDS_CSV) -> DataFrame:
+    """Trends as `write_trends_csv` writes them, or with TAGS_CSV processed ones; a vector in text form becomes an array."""
     trends = _csv(spark, path, schema)
     if "embedding" in trends.columns:
         trends = trends.withColumn("embedding", parse_vector("embedding"))
@@ -72,7 +79,9 @@ def read_category_dirs(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.option("recursiveFileLookup", True).parquet(root)
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     path = decoded_path("_metadata.file_path")
-    relative = F.substring(path, F.locate(base, path) + F.lit(len(base)), F.lit(1_000_000))
+    inside = F.locate(base, path) > 0
+    relative = F.when(inside, F.call_function("substring", path, F.locate(base, path) + F.lit(len(base)))).otherwise(
+        F.raise_error(F.concat(path, F.lit(f" is not below {base}"))))
     category = F.when(relative.contains("/"), F.substring_index(relative, "/", 1)).otherwise("base_level")
     return rows.withColumn("category", F.regexp_replace(category, "^category=", ""))
 

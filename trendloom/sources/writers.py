@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, MapType
+
+from trendloom.session import cut_lineage, scratch_path
 
 
 def write_partitioned(df: DataFrame, root: str, by: str = "category", rebalance: bool = True) -> None:
@@ -22,16 +24,43 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_trends_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; array columns as JSON text."""
-    arrays = {f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
+    """CSV with a header; array and map columns as JSON text."""
+    arrays = {f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType))}
     (df.withColumns(arrays).write.mode("overwrite").option("header", True)
      .option("escape", '"').csv(path))
 
 
 def write_trend_json(df: DataFrame, folder: str, json: str = "trends_json") -> None:
-    """One file per category with its JSON text as it came; one row per category."""
-    (df.select("category", F.col(json).alias("value")).repartition("category")
-     .write.mode("overwrite").partitionBy("category").text(folder))
+    """A file `<category>.json` per row, with its JSON text as it came.
+
+    Files of other categories stay. A category that occurs twice, or is null,
+    is refused before anything is written. Characters that a file name cannot
+    hold are percent-encoded. Spark writes a part file per category beside the
+    folder; each is then moved to its name.
+    """
+    spark = df.sparkSession
+    df = cut_lineage(df.select("category", F.col(json).alias("value")), "trend-json")
+    bad = df.groupBy("category").count().where("count > 1 or category is null").select("category").take(1)
+    if bad:
+        raise ValueError(f"one row per category is expected; there are more, or no name, for {bad[0]['category']!r}")
+    staged = scratch_path(spark, "trend-json")
+    df.repartition("category").write.partitionBy("category").text(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.Path(folder)
+    there = target.getFileSystem(conf)
+    there.mkdirs(target)
+    source = hadoop.Path(staged)
+    files = source.getFileSystem(conf)
+    for place in files.listStatus(source):
+        name = place.getPath().getName()
+        if name.startswith("category="):
+            for part in files.listStatus(place.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    new = hadoop.Path(target, name.removeprefix("category=") + ".json")
+                    there.delete(new, False)
+                    hadoop.FileUtil.copy(files, part.getPath(), there, new, True, conf)
+    files.delete(source, True)
 
 
 def write_requests(df: DataFrame, path: str, request: str | Column = "request") -> None:

@@ -31,7 +31,7 @@ def case_of(x: str, entries: dict[str, str], default: str) -> str:
 def lemma(x: str) -> str:
     rules = (
         f"(CASE WHEN regexp_matches({x}, '^[a-z]{{2,}}ies$') THEN left({x}, length({x}) - 3) || 'y' "
-        f"WHEN regexp_matches({x}, '^[a-z]+(ss|x|z|ch|sh)es$') THEN left({x}, length({x}) - 2) "
+        f"WHEN regexp_matches({x}, '^[a-z]+(ss|x|zz|tz|ch|sh)es$') THEN left({x}, length({x}) - 2) "
         f"WHEN regexp_matches({x}, '(ss|us|is)$') THEN {x} "
         f"WHEN regexp_matches({x}, '^[a-z]{{3,}}s$') THEN left({x}, length({x}) - 1) ELSE {x} END)")
     return case_of(x, voc.IRREGULAR_LEMMAS, rules)
@@ -302,7 +302,7 @@ MAPPING = {
         ON d.tag_embedding_text = c.tag_embedding_text AND d.region IS NOT DISTINCT FROM c.region
         AND d.category = c.category
       WHERE c.confidence >= coalesce(threshold, 0.0) AND c.tag NOT IN {in_list(DENIED)}""",
-    "best": top("kept", "tag, category", "confidence", 40),
+    "best": top("kept", "tag, category", "confidence", 5000),
     "described": f"""SELECT * FROM cat WHERE type IN {ALLOWED} AND value IS NOT NULL
       AND product_id IN (SELECT product_id FROM best)""",
     "vec_of_desc": hashed("descriptions", "product_description"),
@@ -322,11 +322,11 @@ ORACLE: dict[str, str] = {
     "mean_pool_by_label": f"""
       SELECT label, (unnest(range(64)))::int AS place, round(unnest(v), 6) AS x
       FROM ({centroid('label', 'mask').replace('SELECT *, label', 'SELECT *, (embedding[1] > 0)::int::double AS mask, label')})""",
-    "parse_vector": """SELECT vec_id, len(embedding)::int AS n,
-      round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) AS length FROM embeddings""",
+    "parse_vector": """
+      SELECT vec_id, (unnest(range(64)))::int AS place, round(unnest(embedding)::varchar::double, 6) AS x FROM embeddings""",
     "similarity_scores": sql("""
       SELECT vec_id, tag, round(round(list_inner_product(i.vec, f.vec), 9), 6) AS score
-      FROM items i JOIN tag_first f ON round(list_inner_product(i.vec, f.vec), 9) > 0.2"""),
+      FROM items i JOIN tag_first f ON round(list_inner_product(i.vec, f.vec), 9) > 0"""),
     "similarity_in_category": sql("""
       SELECT vec_id, category, tag, round(round(cos, 9), 6) AS score FROM pairs WHERE round(cos, 9) > 0"""),
     "weighted_similarity": sql("""
@@ -343,11 +343,15 @@ ORACLE: dict[str, str] = {
       FROM (SELECT vec_id, {CATEGORIES}[vec_id % 16 + 1] AS category, 'tag_' || (vec_id % 40) AS tag FROM embeddings) e
       LEFT JOIN tag_meta m ON m.category = e.category AND m.tag = e.tag"""),
     "attach_tag_vector": sql("""
-      SELECT pos, tag, category, region, round(list_sum(vec), 6) AS total
-      FROM pt LEFT JOIN vec_of_tag v ON v.text = pt.tag_embedding_text"""),
+      SELECT pos, tag, category, region, place, round(x, 6) AS x FROM (
+        SELECT pos, tag, category, region, (unnest(range(64)))::int AS place, unnest(vec) AS x
+        FROM pt JOIN vec_of_tag v ON v.text = pt.tag_embedding_text)
+      WHERE x <> 0"""),
     "lookup_tag_vector": sql("""
-      SELECT c.product_id, c.pos, replace(c.value, ' ', '_') AS tag, l.pos AS last_entry FROM cat c
-      LEFT JOIN (SELECT tag, max(pos) AS pos FROM pt GROUP BY tag) l ON l.tag = replace(c.value, ' ', '_')"""),
+      SELECT c.product_id, c.pos, replace(c.value, ' ', '_') AS tag, l.place, round(l.x, 6) AS x FROM cat c
+      LEFT JOIN (SELECT * FROM (SELECT tag, (unnest(range(64)))::int AS place, unnest(vec) AS x
+                                FROM pt_last JOIN vec_of_tag v ON v.text = pt_last.text)) l
+      ON l.tag = replace(c.value, ' ', '_') WHERE l.x IS NULL OR l.x <> 0"""),
     "prefilter_topk": sql(f"""
       SELECT product_id, category, tag, region, round(confidence, 6) AS confidence
       FROM ({top('cand', 'tag, category', 'confidence', 10)})"""),
@@ -444,11 +448,13 @@ ORACLE: dict[str, str] = {
       SELECT product_id, category, tag, region, description, lower(split_part(category, ' - ', 1)) AS gender,
              date '2026-01-16' AS start_date, date '2026-01-23' AS end_date,
              round(confidence, 6) AS confidence, round(cosine_similarity, 6) AS cosine_similarity
-      FROM ({top('ranked', 'tag, category', 'cosine_similarity', 10)})""", **MAPPING),
+      FROM ({top('ranked', 'tag, category', 'cosine_similarity', 1000)})""", **MAPPING),
     "tag_dim": sql("""
-      SELECT preprocessed_tag AS tag_value, category, region AS tag_type FROM pt
-      WHERE preprocessed_tag IN (SELECT text FROM value_norm)""",
-        value_norm=normalized_tag("(SELECT value FROM cat WHERE value IS NOT NULL)", "value")),
+      SELECT preprocessed_tag AS tag_value, category, region AS tag_type, tag FROM pt
+      WHERE tag IN (SELECT replace(value, ' ', '_') FROM cat WHERE value IS NOT NULL)"""),
+    "mapping_tag_dim": sql(f"""
+      SELECT preprocessed_tag AS tag_value, category, region AS tag_type, tag FROM pt
+      WHERE tag IN (SELECT tag FROM ({top('ranked', 'tag, category', 'cosine_similarity', 1000)}))""", **MAPPING),
     "derive_gender": sql("""
       SELECT category, lower(split_part(category, ' - ', 1)) AS gender, date '2026-01-16' AS start_date,
              date '2026-01-23' AS end_date, count(*) AS rows FROM part_scores GROUP BY ALL"""),
@@ -470,6 +476,44 @@ ORACLE: dict[str, str] = {
     "rejected_answers": sql("""
       SELECT reject_reason, count(*) AS n FROM ans WHERE reject_reason IS NOT NULL GROUP BY reject_reason"""),
     "flatten_trends": sql("SELECT * FROM trends"),
+    "flatten_trends_messy": sql("""
+      SELECT category, market, trend_name, primary_hashtag, aesthetic_description, market_key,
+             (trend_no + (length(category) % 7 = 5)::int)::int AS trend_no, confidence,
+             CASE WHEN length(category) % 7 = 4 THEN '#x|#y' ELSE hashtags END AS hashtags,
+             CASE WHEN length(category) % 7 = 2 THEN '{"mood":"high"}' END AS extra
+      FROM trends WHERE length(category) % 7 <> 0"""),
+    "trend_file_rejects": sql("""
+      SELECT DISTINCT category, NULL::varchar AS market_key, NULL::int AS trend_no, 'file is no object' AS reject_reason, n
+      FROM (
+        SELECT category, (length('{"trending_tags_india":[') + length('],"trending_tags_global":[') + length(']}') - 3
+               + sum(length(to_json({'trend_name': trend_name, 'primary_hashtag': primary_hashtag,
+                   'supporting_hashtags': string_split(hashtags, '|'), 'aesthetic_description': aesthetic_description}))
+                 + length(',"confidence":') + length(CASE WHEN confidence = round(confidence) THEN confidence::bigint || '.0' ELSE confidence::varchar END))
+               + greatest(count(*) FILTER (market = 'India') - 1, 0) + greatest(count(*) FILTER (market = 'Global') - 1, 0))::int AS n
+        FROM trends WHERE length(category) % 7 = 0 GROUP BY category)
+      UNION ALL SELECT DISTINCT category, 'notes', NULL, 'market is no list', 9 FROM trends WHERE length(category) % 7 = 1
+      UNION ALL SELECT DISTINCT category, market_key, 0, 'trend is no object', 4 FROM trends WHERE length(category) % 7 = 5"""),
+    "curate_twice": sql("""
+      SELECT category, market, CASE WHEN category LIKE 'b%' THEN replace(trend_name, ' Look', ' Mood') ELSE trend_name END AS trend_name,
+             primary_hashtag, aesthetic_description, market_key, trend_no
+      FROM trends
+      WHERE length(category) % 3 = 1 OR (length(category) % 3 = 0 AND length(category) % 2 = 1)"""),
+    "thresholds_file": sql("SELECT category, threshold::double AS threshold FROM thr"),
+    "trends_csv_by_name": sql("""
+      SELECT tag, category, region, description, place, round(x, 6) AS x FROM (
+        SELECT tag, category, region, description, (unnest(range(64)))::int AS place, unnest(vec) AS x
+        FROM pt JOIN vec_of_tag v ON v.text = pt.tag_embedding_text)
+      WHERE x <> 0"""),
+    "column_defaults": """
+      SELECT p_partkey AS product_id, 'Men - ' || p_type AS category, 1.0::double AS confidence FROM part""",
+    "file_names": r"""
+      SELECT page_id, base, CASE WHEN regexp_matches(base, '^.+\.[^.]*$') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, safe
+      FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS base, replace(url, '/', '_') AS safe FROM pages)""",
+    "incremental_catalog": sql("""
+      SELECT category, product_id, pos, embedding_text, place, round(x, 6) AS x FROM (
+        SELECT c.category, c.product_id, c.pos, c.embedding_text, (unnest(range(64)))::int AS place, unnest(v.vec) AS x
+        FROM cat_text c JOIN vec_of_cat v ON v.text = c.embedding_text)
+      WHERE x <> 0"""),
     "consolidate_trends": sql("SELECT * EXCLUDE (market_key, trend_no) FROM trends"),
     "curate_trends": sql("""
       SELECT category, market, trend_name, primary_hashtag, aesthetic_description, market_key, trend_no
@@ -512,5 +556,6 @@ ORACLE: dict[str, str] = {
     "incremental_texts": sql("""
       SELECT d.doc_id, d.lang, md5(n.text) AS digest FROM documents d JOIN doc_plain n ON n.id = d.doc_id"""),
 }
+ORACLE["model_embed"] = ORACLE["hash_embed"]
 ORACLE["similarity_native_kernel"] = ORACLE["weighted_similarity"]
 ORACLE["catalog_candidates_by_row"] = ORACLE["catalog_candidates"]

@@ -13,7 +13,7 @@ from trendloom.operators.describe import concat_description
 from trendloom.operators.similarity import similarity_join
 from trendloom.operators.sizing import semi_by, spread_scan
 from trendloom.plans import matching, trends as trend_plans
-from trendloom.schemas import TRENDS_CSV
+from trendloom.schemas import TAGS_CSV
 from trendloom.session import cut_lineage, scratch_path
 from trendloom.sources import readers, writers
 from trendloom.streaming.incremental import incremental_embed, skip_done
@@ -47,7 +47,7 @@ def l2_normalize(spark, sf):
 def mean_pool_by_label(spark, sf):
     e = views.table(spark, sf, "embeddings")
     e = e.withColumn("mask", (F.get("embedding", F.lit(0)) > 0).cast("int"))
-    pooled = agg.mean_pool(e, ["label"], "embedding", views.DIM, mask="mask")
+    pooled = agg.mean_pool(e, ["label"], "embedding", mask="mask")
     return pooled.select("label", F.posexplode("embedding").alias("place", "x")).select(
         "label", "place", r6("x"))
 
@@ -57,14 +57,14 @@ def parse_vector(spark, sf):
     e = views.table(spark, sf, "embeddings")
     text = F.concat(F.lit("["), F.array_join(e["embedding"].cast("array<string>"), ", "), F.lit("]"))
     parsed = e.select("vec_id", vec.parse_vector(text).alias("v"))
-    return parsed.select("vec_id", F.size("v").alias("n"), F.round(vec.norm("v"), 6).alias("length"))
+    return parsed.select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", r6("x"))
 
 
 @query
 def similarity_scores(spark, sf):
-    """Items against all tags of all categories, close pairs only."""
+    """Items against all tags of all categories."""
     tags = joins.global_tag_vectors(views.tags(spark, sf))
-    pairs = similarity_join(views.items(spark, sf), tags, ["vec_id"], on=None, above=0.2)
+    pairs = similarity_join(views.items(spark, sf), tags, ["vec_id"], on=None)
     return pairs.select("vec_id", "tag", r6("score"))
 
 
@@ -126,17 +126,17 @@ def attach_tag_meta(spark, sf):
 def attach_tag_vector(spark, sf):
     trends = views.part_trends(spark, sf).drop("embedding")
     done = trend_plans.embed_trends(trends, views.ENCODER)
-    return done.select("pos", "tag", "category", "region",
-                       F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    places = done.select("pos", "tag", "category", "region", F.posexplode("embedding").alias("place", "x"))
+    return places.where("x != 0").withColumn("x", F.round("x", 6))
 
 
 @query
 def lookup_tag_vector(spark, sf):
     rows = views.catalog(spark, sf).select("product_id", "pos", F.replace(
         F.col("normalised_name"), F.lit(" "), F.lit("_")).alias("tag"))
-    found = joins.lookup_tag_vector(rows, views.part_trends(spark, sf).select(
-        "tag", F.array("pos").alias("embedding"), "pos"))
-    return found.select("product_id", "pos", "tag", F.get("embedding", F.lit(0)).alias("last_entry"))
+    found = joins.lookup_tag_vector(rows, views.part_trends(spark, sf))
+    places = found.select("product_id", "pos", "tag", F.posexplode_outer("embedding").alias("place", "x"))
+    return places.where("x is null or x != 0").withColumn("x", F.round("x", 6))
 
 
 @query
@@ -158,7 +158,7 @@ def cosine_rerank_top(spark, sf):
     """Items against the centroid of their label, not weighted, best 15 per category."""
     rows = views.items(spark, sf).join(
         views.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
-    centroids = agg.mean_pool(views.tag_groups(spark, sf), ["label"], "embedding", views.DIM, out="t_vec")
+    centroids = agg.mean_pool(views.tag_groups(spark, sf), ["label"], "embedding", out="t_vec")
     both = joins.lookup_join(rows, centroids, ["label"])
     scored = both.withColumn("cosine_similarity", vec.stable(
         vec.cosine(vec.to_doubles("text_embedding"), F.col("t_vec"))))
@@ -169,8 +169,7 @@ def cosine_rerank_top(spark, sf):
 @query
 def scores_wide_unpivot(spark, sf):
     scores = _candidates(spark, sf).select("category", "product_id", "tag", "confidence")
-    names = [f"tag_{i}" for i in range(50)]
-    wide = reshape.scores_to_wide(scores, names, ["category", "product_id"])
+    wide = reshape.scores_to_wide(scores, keys=["category", "product_id"])
     return reshape.melt_scores(wide, ["category", "product_id"]).select(
         "category", "product_id", "tag", r6("confidence"))
 
@@ -391,6 +390,15 @@ def hash_embed(spark, sf):
     return places.where("x != 0").select("embedding_text", "rows", "place", r6("x"))
 
 
+@query
+def model_embed(spark, sf):
+    """The vectors of `hash_embed` out of a model that does not bring them to unit length."""
+    rows = matching.catalog_texts(views.catalog(spark, sf)).groupBy("embedding_text").agg(F.count(F.lit(1)).alias("rows"))
+    texts = corpus.embed_texts(rows, "embedding_text", views.MODEL, "v")
+    places = texts.select("embedding_text", "rows", F.posexplode("v").alias("place", "x"))
+    return places.where("x != 0").select("embedding_text", "rows", "place", r6("x"))
+
+
 def _text_candidates(spark, sf):
     rows = matching.catalog_texts(views.catalog(spark, sf))
     return matching.prefilter_texts(rows, views.part_trends(spark, sf), views.ENCODER)
@@ -418,7 +426,7 @@ def _mapping(spark, sf):
     kept = matching.apply_thresholds(found, views.thresholds(spark), ranking.dedupe_first(
         trends, ["tag_embedding_text", "region", "category"], ["pos"]))
     return matching.map_trends(kept, views.catalog(spark, sf), trends, views.ENCODER,
-                               "2026-01-16", "2026-01-23", first_k=40, final_k=10), trends
+                               "2026-01-16", "2026-01-23"), trends
 
 
 @query
@@ -432,8 +440,18 @@ def trend_product_mapping(spark, sf):
 def tag_dim(spark, sf):
     """Tag rows whose name is also an attribute value somewhere in the catalog."""
     dim = trend_plans.tag_dimension(views.part_trends(spark, sf).withColumn("embedding", F.lit(None)))
-    used = views.catalog(spark, sf).select(tx.normalize_tag("normalised_name").alias("tag"))
-    return joins.tags_in_output(dim, used).select("tag_value", "category", "tag_type")
+    used = views.catalog(spark, sf).select(F.replace("normalised_name", F.lit(" "), F.lit("_")).alias("tag"))
+    return joins.tags_in_output(dim, used).select("tag_value", "category", "tag_type", "tag")
+
+
+@query
+def mapping_tag_dim(spark, sf):
+    """The tag table that is published with the mapping, read back."""
+    mapping, trends = _mapping(spark, sf)
+    folder = scratch_path(spark, "published")
+    matching.publish(mapping, trends, f"{folder}/mapping", f"{folder}/tags")
+    tags = spark.read.parquet(f"{folder}/tags")
+    return tags.select("tag_value", "category", "tag_type", "tag")
 
 
 @query
@@ -517,13 +535,60 @@ def flatten_trends(spark, sf):
                        F.array_join("supporting_hashtags", "|").alias("hashtags"))
 
 
+@query
+def flatten_trends_messy(spark, sf):
+    """Trends out of files of which six in seven have some defect."""
+    flat = reshape.flatten_markets(views.messy_trend_files(spark, sf))
+    return flat.select(*_TREND_COLUMNS, "market_key", "trend_no", "confidence",
+                       F.array_join("supporting_hashtags", "|").alias("hashtags"), F.to_json("extra").alias("extra"))
+
+
+@query
+def trend_file_rejects(spark, sf):
+    rejects = reshape.market_rejects(views.messy_trend_files(spark, sf))
+    return rejects.select("category", "market_key", "trend_no", "reject_reason", F.length("refused").alias("n"))
+
+
+@query
+def curate_twice(spark, sf):
+    """All answers curated, then some of them again, with other texts: the rest stays as it was."""
+    folder = scratch_path(spark, "curated")
+    answers = views.trend_answers(spark, sf)
+    trend_plans.curate_trends(answers, folder)
+    again = answers.where(F.col("category").startswith("b")).withColumn(
+        "response", F.replace("response", F.lit(" Look"), F.lit(" Mood")))
+    trend_plans.curate_trends(again, folder)
+    return trend_plans.flat_trends(spark, folder).select(*_TREND_COLUMNS, "market_key", "trend_no")
+
+
+@query
+def thresholds_file(spark, sf):
+    """Thresholds read from a file whose columns stand in another order."""
+    path = scratch_path(spark, "thresholds")
+    views.threshold_rows(spark).select("status", "threshold", "category").write.option("header", True).csv(path)
+    return readers.read_thresholds(spark, path)
+
+
+@query
+def trends_csv_by_name(spark, sf):
+    """Processed trends with vectors in text form, written in another order of columns."""
+    path = scratch_path(spark, "tags-csv")
+    trends = views.part_trends(spark, sf)
+    vector = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), " "), F.lit("]"))
+    trends.select(vector.alias("embedding"), "pos", *reversed([c for c in TAGS_CSV.names if c != "embedding"])).write.option(
+        "header", True).option("escape", '"').csv(path)
+    back = readers.read_trends_csv(spark, path, TAGS_CSV)
+    places = back.select("tag", "category", "region", "description", F.posexplode("embedding").alias("place", "x"))
+    return places.where("x != 0").withColumn("x", F.round("x", 6))
+
+
 @query
 def consolidate_trends(spark, sf):
     """Trend files written, read back, flattened, written as CSV and read back."""
     folder, csv = scratch_path(spark, "trend-json"), scratch_path(spark, "trend-csv")
     writers.write_trend_json(views.trend_files(spark, sf), folder, "value")
     trend_plans.consolidate_trends(spark, folder, csv)
-    back = readers.read_trends_csv(spark, csv, TRENDS_CSV)
+    back = readers.read_trends_csv(spark, csv)
     hashtags = F.array_join(F.from_json("supporting_hashtags", "array<string>"), "|")
     return back.select(*_TREND_COLUMNS, F.col("confidence").try_cast("double").alias("confidence"),
                        hashtags.alias("hashtags"))
@@ -653,6 +718,37 @@ def skip_done_categories(spark, sf):
     return skip_done(scores, root).groupBy("category").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def column_defaults(spark, sf):
+    """Scores without category and confidence get both."""
+    bare = views.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), "p_type")
+    done = filters.add_missing_category(bare, F.concat(F.lit("Men - "), F.col("p_type")))
+    done = filters.default_confidence(done)
+    return filters.require_columns(done, "category", "confidence").select("product_id", "category", "confidence")
+
+
+@query
+def file_names(spark, sf):
+    """Base names, stems and safe names of the pages' addresses."""
+    url = F.col("url")
+    return views.table(spark, sf, "pages").select(
+        "page_id", tx.base_name(url).alias("base"), tx.file_stem(url).alias("stem"),
+        tx.safe_name(F.replace(url, F.lit("/"), F.lit(" "))).alias("safe"))
+
+
+@query
+def incremental_catalog(spark, sf):
+    """Catalog files arriving twice, read, embedded row by row and written by category."""
+    src, out, log = (scratch_path(spark, n) for n in ("arrivals", "embedded", "progress"))
+    catalog = views.catalog(spark, sf)
+    for part in (0, 1):
+        catalog.where(F.col("product_id") % 2 == part).write.mode("append").partitionBy("category").parquet(src)
+        incremental_embed(spark, src, out, log, lambda df: matching.embed_rows(df, views.MODEL), catalog.schema)
+    places = readers.read_catalog(spark, out).select(
+        "category", "product_id", "pos", "embedding_text", F.posexplode("text_embedding").alias("place", "x"))
+    return places.where("x != 0").withColumn("x", F.round("x", 6))
+
+
 @query
 def incremental_texts(spark, sf):
     """Documents arriving as files, each processed once over two runs."""
@@ -663,7 +759,7 @@ def incremental_texts(spark, sf):
     def transform(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "lang", F.md5(tx.normalize_text("text")).alias("digest"))
 
-    for languages in (["en", "fr"], ["de", "es"]):
-        docs.where(F.col("lang").isin(languages)).write.mode("append").parquet(src)
+    for part in (0, 1):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).write.mode("append").parquet(src)
         incremental_embed(spark, src, out, log, transform, docs.schema, partition_by="lang")
     return spark.read.parquet(out).select("doc_id", "lang", "digest")

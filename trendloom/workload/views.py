@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trendloom.functions import vocabulary as voc
-from trendloom.functions.encoders import hash_encoder
+from trendloom.functions.encoders import hash_encoder, model_encoder
 from trendloom.functions.expr import literal_array
 from trendloom.functions.text import normalize_tag
 from trendloom.functions.vectors import l2_normalize
@@ -29,9 +29,32 @@ def region_of(n: Column) -> Column:
     return F.when(n % 5 == 0, F.lit(None)).when(n % 2 == 0, "india").otherwise("global")
 
 
+def threshold_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(voc.THRESHOLDS, "category string, threshold string, status string")
+
+
 def thresholds(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(voc.THRESHOLDS, "category string, threshold string, status string")
-    return clean_thresholds(rows)
+    return clean_thresholds(threshold_rows(spark))
+
+
+def _hash_model():
+    """The sums of `hash_encoder` in numpy, not brought to unit length."""
+    import hashlib
+
+    import numpy as np
+
+    def predict(texts):
+        out = np.zeros((len(texts), DIM), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            for word in text.split():
+                digest = hashlib.md5(word.encode()).hexdigest()
+                row[int(digest[:4], 16) % DIM] += 1 - 2 * (int(digest[4], 16) % 2)
+        return out
+
+    return predict
+
+
+MODEL = model_encoder(_hash_model)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +79,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     Tags recur across categories and within one, regions and descriptions
     are partly missing.
     """
-    pooled = mean_pool(tag_groups(spark, sf_dir), ["pos", "label"], "embedding", DIM)
+    pooled = mean_pool(tag_groups(spark, sf_dir), ["pos", "label"], "embedding")
     n = F.col("pos")
     number = F.when(n % 10 == 3, n - 1).otherwise(n % 40)
     tag = F.concat(F.lit("tag_"), number.cast("string"))
@@ -168,6 +191,19 @@ def trend_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(category.alias("category"), value.alias("value"))
 
 
+def messy_trend_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`trend_files` as models write them: by the length of the category's name, one of six defects or none."""
+    value, which = F.col("value"), F.length("category") % 7
+    number, tags = r'"confidence":([0-9.E]+)', r'"supporting_hashtags":\[[^\]]*\]'
+    messy = (F.when(which == 0, F.expr("left(value, length(value) - 3)"))
+             .when(which == 1, F.concat(F.lit('{"notes":"see below",'), F.expr("substring(value, 2)")))
+             .when(which == 2, F.replace(value, F.lit('"confidence":'), F.lit('"mood":"high","confidence":')))
+             .when(which == 3, F.regexp_replace(value, number, '"confidence":"$1"'))
+             .when(which == 4, F.regexp_replace(value, tags, '"supporting_hashtags":"#x, #y"'))
+             .when(which == 5, F.replace(value, F.lit("[{"), F.lit('["oops",{'))).otherwise(value))
+    return trend_files(spark, sf_dir).select("category", messy.alias("value"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One submitted batch per event."""
     statuses = {"signup": "validating", "view": "in_progress", "click": "completed",
