@@ -60,8 +60,8 @@ def compare(spark, con, name: str, query, oracle: str, sf_dir: str) -> str | Non
     if not expected:
         return "no rows expected"
     if actual != expected:
-        extra = [r for r in actual if r not in set(expected)][:3] if len(actual) < 200_000 else []
-        lacking = [r for r in expected if r not in set(actual)][:3] if len(actual) < 200_000 else []
+        here, there = set(actual), set(expected)
+        extra, lacking = [r for r in actual if r not in there][:3], [r for r in expected if r not in here][:3]
         return f"{len(actual)} rows against {len(expected)}; extra {extra}; lacking {lacking}"
     return None
 

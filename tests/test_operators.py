@@ -47,7 +47,7 @@ def test_measure(spark):
 def test_lookup_join_same_beyond_the_bound(skewed, how, null_safe):
     left, right = skewed
     small = sizing.lookup_join(left, right, ["k"], how, null_safe)
-    salted = sizing.lookup_join(left, right, ["k"], how, null_safe, rows=2, salts=7)
+    salted = sizing.lookup_join(left, right, ["k"], how, null_safe, salts=7)
     assert salted.columns == small.columns
     assert rows(salted) == rows(small)
     null_matches = small.where("k is null and v is not null").count()
@@ -61,28 +61,25 @@ def test_salted_join_spreads_a_hot_key(skewed):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_skew_join_equals_join(skewed, how, monkeypatch):
+def test_skew_join_equals_join(skewed, how):
     left, right = skewed
     plain = rows(left.join(right, ["k"], how).select("id", "k", "v"))
     assert rows(sizing.skew_join(left, right, ["k"], how)) == plain
-    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *a, **k: False)
     assert rows(sizing.skew_join(left, right, ["k"], how, hot_rows=100)) == plain
     assert rows(sizing.skew_join(left, right, ["k"], how, hot_rows=10**9)) == plain
 
 
 def test_small_sides_are_broadcast(skewed, capsys):
     left, right = skewed
-    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"]), capsys)
-    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"], null_safe=True), capsys)
-    assert "__salt" in plan(sizing.lookup_join(left, right, ["k"], rows=1), capsys)
+    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"], fits=True), capsys)
+    assert "BroadcastHashJoin" in plan(sizing.lookup_join(left, right, ["k"], null_safe=True, fits=True), capsys)
+    assert "__salt" in plan(sizing.lookup_join(left, right, ["k"], salts=3), capsys)
 
 
-def test_semi_by_ignores_missing_keys(skewed, monkeypatch):
+def test_semi_by_ignores_missing_keys(skewed):
     left, right = skewed
     expected = left.where("k in ('hot', 'a')").count()
     assert sizing.semi_by(left, right, "k").count() == expected
-    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, *a, **k: False)
-    assert sizing.semi_by(left, right, "k").count() == expected
     keys = right.select("k").where("k is not null").distinct()
     assert sizing.skew_join(left, keys, ["k"], "left_semi", hot_rows=100).count() == expected
 

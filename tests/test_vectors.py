@@ -133,13 +133,23 @@ def test_kernels_against_brute_force(sides, kernel, weighted, above, floor, on,
     assert all(math.isclose(got[k], expected[k], abs_tol=2e-9) for k in got)
 
 
-def test_too_many_tags_use_the_native_kernel(sides, monkeypatch):
+@pytest.mark.parametrize("bound", [40, 39, 10, 1])
+def test_tags_beyond_the_bound_are_taken_in_blocks(sides, monkeypatch, bound):
     items, tags, item_rows, tag_rows = sides
-    monkeypatch.setattr(similarity, "MAX_TAGS", 10)
-    got = similarity_join(items, tags, ["id"])
-    assert {(r["id"], r["tag"]) for r in got.collect()} == brute(item_rows, tag_rows, False, 0.0, False).keys()
+    monkeypatch.setattr(similarity, "BLOCK_TAGS", bound)
+    got = similarity_join(items, tags, ["id"], weight="confidence", floor="floor")
+    assert {(r["id"], r["tag"]): r["score"] for r in got.collect()} == {
+        k: pytest.approx(v, abs=2e-9) for k, v in brute(item_rows, tag_rows, True, 0.0, True).items()}
+
+
+@pytest.mark.parametrize("kernel", ["arrow", "native"])
+def test_vectors_of_different_lengths_are_refused(sides, kernel):
+    items, tags, _, _ = sides
+    short = tags.withColumn("embedding", F.slice("embedding", 1, 7))
+    with pytest.raises(Exception, match="differ in length"):
+        similarity_join(items, short, ["id"], kernel=kernel).collect()
     with pytest.raises(ValueError):
-        similarity_join(items, tags, ["id"], kernel="arrow")
+        similarity_join(items, tags, ["id"], kernel="other")
 
 
 def test_no_tags_no_scores(sides):

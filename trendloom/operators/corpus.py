@@ -11,7 +11,7 @@ from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import (apply_phrases, clean_attribute_text, drop_trailing_conjunction,
                                       is_kept, is_number_like, number_to_word, rule_lemma, tokenize)
 from trendloom.functions.expr import let, literal_array
-from trendloom.operators.sizing import derive_once, lookup_join, work_partitions
+from trendloom.operators.sizing import derive_once, lookup_join, row_partitions
 
 
 def explode_tokens(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def encode_distinct(df: DataFrame, text: str, encoder: Encoder, out: str = "text
                     partitions: int | None = None) -> DataFrame:
     """Vector of each distinct text, missing texts left out."""
     texts = df.select(text).where(F.col(text).isNotNull()).distinct()
-    texts = texts.repartition(partitions or work_partitions(df), text)
+    texts = texts.repartition(partitions or row_partitions(df), text)
     return texts.select(text, encoder(F.col(text)).alias(out))
 
 

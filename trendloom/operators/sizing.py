@@ -1,8 +1,8 @@
-"""Joins that look before they broadcast, and work shared by equal keys.
+"""Joins to tables of any size, and work shared by equal keys.
 
-Every small side is measured. Within the bound it is broadcast; beyond it the
-same rows come out of a salted shuffle join, so a key that holds a third of
-the rows is spread over many tasks either way.
+Spark picks the join from the real sizes of its stages: a small side is
+broadcast, the large partitions of a hot key are split. Only tables that a
+kernel takes to the driver are measured before.
 """
 
 from __future__ import annotations
@@ -16,10 +16,6 @@ from pyspark.sql.types import (ArrayType, BinaryType, DataType, MapType, Numeric
 
 from trendloom.session import cut_lineage
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
-SALTS = 32
-HOT_ROWS = 1_000_000
 
 _SALT = "__salt"
 
@@ -53,11 +49,6 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return row["rows"], row["bytes"] or 0
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
-    n, size = measure(df)
-    return n <= rows and size <= bytes_
-
-
 def _spread(df: DataFrame, salts: Column) -> Column:
     """Salt of a row. Copies of one row differ by the partition they sit in."""
     plain = [f.name for f in df.schema.fields
@@ -79,33 +70,32 @@ def _equal_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
 
 
 def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                null_safe: bool = False, rows: int = BROADCAST_ROWS,
-                bytes_: int = BROADCAST_BYTES, salts: int = SALTS,
-                fits: bool | None = None) -> DataFrame:
-    """Join a fact table to a dimension: broadcast if it is small, salted if not.
+                null_safe: bool = False, salts: int | None = None, fits: bool | None = None) -> DataFrame:
+    """Join a fact table to a dimension.
 
-    `fits` passes on a measurement of a table that `small` is a part of.
+    Spark broadcasts `small` if it turns out small, and splits hot keys
+    otherwise. `fits` says that the caller has measured it to be small;
+    `salts` copies it so many times and spreads each key of `df` over the
+    copies, for a join whose output must stay partitioned as it is.
     """
-    if fits is None:
-        fits = fits_broadcast(small, rows, bytes_)
-    if fits:
-        return _equal_join(df, small, on, how, null_safe, hint_broadcast=True)
+    if salts is None or fits:
+        return _equal_join(df, small, on, how, null_safe, hint_broadcast=bool(fits))
     salted = df.withColumn(_SALT, _spread(df, F.lit(salts)))
     copies = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return _equal_join(salted, copies, [*on, _SALT], how, null_safe).drop(_SALT)
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int | None = None) -> DataFrame:
     """Join two tables on a key that a large part of `left` may share.
 
-    A `right` within the bound is broadcast. Else keys with more than `hot_rows` rows are counted first; only those are
-    salted on the left and copied on the right. There are at most
-    rows / hot_rows of them.
+    Spark splits what it finds skewed. With `hot_rows`, keys of more rows are
+    counted first, which costs a pass over the keys; only those, at most rows
+    / hot_rows of them, are salted on the left and copied on the right.
     """
     on = list(on)
-    if fits_broadcast(right):
-        return _equal_join(left, right, on, how, hint_broadcast=True)
+    if hot_rows is None:
+        return _equal_join(left, right, on, how)
     present = left.select(*on).na.drop()
     hot = cut_lineage(
         present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
@@ -156,5 +146,5 @@ def derive_once(df: DataFrame, keys: Sequence[str], derive: Callable[[DataFrame]
     no values.
     """
     distinct = df.select(*keys).na.drop().distinct()
-    distinct = distinct.repartition(partitions or work_partitions(df), *keys)
+    distinct = distinct.repartition(partitions or row_partitions(df), *keys)
     return skew_join(df, cut_lineage(derive(distinct)), keys)

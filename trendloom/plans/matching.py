@@ -17,7 +17,7 @@ from trendloom.operators.joins import (attach_description, attach_product_vector
                                        lookup_tag_vector, semi_by, tag_meta, tags_in_output)
 from trendloom.operators.ranking import top_k
 from trendloom.operators.similarity import similarity_join
-from trendloom.operators.sizing import derive_once, fits_broadcast, lookup_join, skew_join
+from trendloom.operators.sizing import derive_once, lookup_join, skew_join
 from trendloom.plans.trends import tag_dimension
 from trendloom.session import cut_lineage
 from trendloom.sources.writers import write_table
@@ -76,15 +76,15 @@ def category_tags(trends: DataFrame, order_by: Sequence[str] = POS,
             .withColumn("floor", F.coalesce("floor", F.lit(0.0))))
 
 
-def _candidates(scores: DataFrame, tags: DataFrame, *more: str, fits: bool | None = None) -> DataFrame:
+def _candidates(scores: DataFrame, tags: DataFrame, *more: str) -> DataFrame:
     meta = tags.select("category", "tag", "region", "tag_embedding_text", *more)
-    return lookup_join(max_score(scores), meta, ["category", "tag"], "inner", fits=fits).select(
+    return lookup_join(max_score(scores), meta, ["category", "tag"], "inner").select(
         "product_id", "confidence", "tag", "region", "tag_embedding_text", "category", *more)
 
 
 def prefilter(items: DataFrame, trends: DataFrame, above: float = 0.0,
               order_by: Sequence[str] = POS, thresholds: DataFrame | None = None,
-              kernel: str = "auto") -> DataFrame:
+              kernel: str = "arrow") -> DataFrame:
     """Best weighted score per product and tag out of catalog rows with vectors.
 
     Only tags of the row's own category are scored. Cutting at `above`, and
@@ -101,7 +101,7 @@ def prefilter(items: DataFrame, trends: DataFrame, above: float = 0.0,
 
 def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
                     order_by: Sequence[str] = POS, thresholds: DataFrame | None = None,
-                    partitions: int | None = None, kernel: str = "auto") -> DataFrame:
+                    partitions: int | None = None, kernel: str = "arrow") -> DataFrame:
     """The candidates of `prefilter`, without a vector per catalog row.
 
     Each distinct text of a category is encoded and scored once; catalog rows
@@ -110,27 +110,27 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
     """
     key = ["category", "embedding_text", "sign"]
     weight = F.col("confidence").cast("double")
-    rows = (
+    # the catalog with its texts is worked out once; what follows reads four columns of it
+    rows = cut_lineage(
         filters.default_confidence(catalog)
         .where(F.col("product_id").isNotNull() & F.col("embedding_text").isNotNull() & (weight != 0))
         .select("category", "embedding_text", F.signum(weight).alias("sign"), "product_id",
-                F.abs(weight).alias("weight")))
+                F.abs(weight).alias("weight")), "texts")
     tags = cut_lineage(category_tags(trends, order_by, thresholds))
     texts = embed_texts(rows.select(*key).distinct(), "embedding_text", encoder, partitions=partitions)
     texts = texts.withColumn(
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
     scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
     packed = scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores"))
-    small = fits_broadcast(tags)
     floors = tags.select("category", "floor").distinct()
-    packed = cut_lineage(lookup_join(packed, floors, ["category"], fits=small))
+    packed = lookup_join(packed, floors, ["category"])
     pairs = skew_join(rows, packed, key, "inner").select(
         "category", "product_id", "weight", "floor", F.inline("scores"))
     # rounding keeps the order, so it can wait for the maximum; the cut before
     # it leaves room for what rounding adds
     scores = pairs.withColumn("score", F.col("score") * F.col("weight")).where(
         "score > 0 and score >= coalesce(floor, 0.0) - 1e-6")
-    found = _candidates(scores, tags, "floor", fits=small).withColumn("confidence", stable("confidence"))
+    found = _candidates(scores, tags, "floor").withColumn("confidence", stable("confidence"))
     return found.where("confidence > 0 and confidence >= coalesce(floor, 0.0)").drop("floor")
 
 

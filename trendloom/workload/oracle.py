@@ -323,7 +323,7 @@ ORACLE: dict[str, str] = {
       SELECT label, (unnest(range(64)))::int AS place, round(unnest(v), 6) AS x
       FROM ({centroid('label', 'mask').replace('SELECT *, label', 'SELECT *, (embedding[1] > 0)::int::double AS mask, label')})""",
     "parse_vector": """
-      SELECT vec_id, (unnest(range(64)))::int AS place, round(unnest(embedding)::varchar::double, 6) AS x FROM embeddings""",
+      SELECT vec_id, (unnest(range(64)))::int AS place, unnest(embedding) AS x FROM embeddings""",
     "similarity_scores": sql("""
       SELECT vec_id, tag, round(round(list_inner_product(i.vec, f.vec), 9), 6) AS score
       FROM items i JOIN tag_first f ON round(list_inner_product(i.vec, f.vec), 9) > 0"""),

@@ -57,7 +57,8 @@ def parse_vector(spark, sf):
     e = views.table(spark, sf, "embeddings")
     text = F.concat(F.lit("["), F.array_join(e["embedding"].cast("array<string>"), ", "), F.lit("]"))
     parsed = e.select("vec_id", vec.parse_vector(text).alias("v"))
-    return parsed.select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", r6("x"))
+    places = parsed.select("vec_id", F.posexplode("v").alias("place", "x"))
+    return places.withColumn("x", F.col("x").cast("float"))
 
 
 @query
