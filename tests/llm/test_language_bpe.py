@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tests.llm.conftest import ODD
-from trendloom.llm.bpe import WordEncoder, encode_documents, encoding_digests, merge_symbols
+from trendloom.llm.bpe import WordEncoder, encode_documents, encoding_digests, merge_symbols, pair
 from trendloom.llm.language import held_out, identify, keep_identified, learn
 from trendloom.llm.queries import tokenizer
 
@@ -51,8 +51,8 @@ def test_texts_as_the_library(encoder, library, text):
 
 
 def test_merges_skip_stale_entries():
-    merges = {(0, 1): (0, 3), (1, 2): (1, 4), (3, 2): (2, 5)}
-    assert merge_symbols([0, 1, 2, 1, 2], dict(merges)) == [5, 4]
+    merges = {pair(0, 1): pair(0, 3), pair(1, 2): pair(1, 4), pair(3, 2): pair(2, 5)}
+    assert merge_symbols([0, 1, 2, 1, 2], merges) == [5, 4]
     assert merge_symbols([0], merges) == [0] and merge_symbols([], merges) == []
 
 

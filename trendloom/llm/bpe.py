@@ -31,33 +31,45 @@ def byte_letters() -> str:
     return "".join(letters[b] for b in range(256))
 
 
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+_SHIFT = 21
+
+
+def pair(left: int, right: int) -> int:
+    """Two symbols, or a rank and a symbol, as one number."""
+    return left << _SHIFT | right
+
+
+def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Apply merges, least rank first and leftmost among equals, until none is left.
 
-    merges: (left, right) to (rank, merged).
+    merges: pair(left, right) to pair(rank, merged).
     """
     size = len(symbols)
     after = [*range(1, size), -1]
     before = list(range(-1, size - 1))
-    queue = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] >= 0 and (found := merges.get((symbols[i], symbols[after[i]]))):
-            heapq.heappush(queue, (found[0], i, found[1]))
-
-    for i in range(size - 1):
-        offer(i)
+    find, push = merges.get, heapq.heappush
+    # an entry is the rank and the place of the left symbol
+    queue = [found >> _SHIFT << 40 | i for i in range(size - 1)
+             if (found := find(symbols[i] << _SHIFT | symbols[i + 1])) is not None]
+    heapq.heapify(queue)
     while queue:
-        _, i, merged = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        i = entry & (1 << 40) - 1
         right = after[i]
-        if symbols[i] < 0 or right < 0 or merges.get((symbols[i], symbols[right]), (0, -1))[1] != merged:
+        if symbols[i] < 0 or right < 0:
             continue
-        symbols[i], symbols[right] = merged, -1
-        after[i] = after[right]
-        if after[i] >= 0:
-            before[after[i]] = i
-        offer(before[i])
-        offer(i)
+        found = find(symbols[i] << _SHIFT | symbols[right])
+        if found is None or found >> _SHIFT != entry >> 40:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[right] = found & (1 << _SHIFT) - 1, -1
+        after[i] = right = after[right]
+        if right >= 0:
+            before[right] = i
+            if (found := find(symbols[i] << _SHIFT | symbols[right])) is not None:
+                push(queue, found >> _SHIFT << 40 | i)
+        left = before[i]
+        if left >= 0 and (found := find(symbols[left] << _SHIFT | symbols[i])) is not None:
+            push(queue, found >> _SHIFT << 40 | left)
     return [s for s in symbols if s >= 0]
 
 
@@ -83,7 +95,7 @@ class WordEncoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {pair(self.vocab[a], self.vocab[b]): pair(rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         names = {i: t for t, i in (self.vocab | self.added).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.kind = np.dtype("<u2" if len(self.names) <= 1 << 16 else "<u4")
@@ -94,20 +106,19 @@ class WordEncoder:
         self.spaces = re.compile(r"[\t-\r]")
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.letters = byte_letters()
-        self.words = Memo(self._word, 1 << 17)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, 1 << 18)
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         letters = [self.letters[b] for b in word.encode()]
         letters[-1] += self.suffix
-        return tuple(merge_symbols([self.vocab[c] for c in letters if c in self.vocab], self.merges))
+        ids = merge_symbols([self.vocab[c] for c in letters if c in self.vocab], self.merges)
+        return np.array(ids, self.kind).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
         words = self.pattern.findall(chunk) if chunk.isascii() else [w for w, _ in self.split.pre_tokenize_str(chunk)]
-        for word in words:
-            ids += self.words[word] if len(word) <= _MEMO_LENGTH else self._word(word)
-        return np.array(ids, self.kind).tobytes()
+        if len(words) == 1 and words[0] == chunk:
+            return self._word(chunk)
+        return b"".join([self.chunks[w] if len(w) <= _MEMO_LENGTH else self._word(w) for w in words])
 
     def _plain(self, text: str) -> bytes:
         plain = self.spaces.sub(" ", text.lower()) if text.isascii() else self.normalizer.normalize_str(text)

@@ -10,7 +10,7 @@ from trendloom.session import cut_lineage
 
 #: Rows of a text table that are handed to Python at a time. Texts may be long;
 #: rows of numbers are gathered again on the Python side where that pays.
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 256
 
 __all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "row_key",
            "rows_batch", "small_batches", "table"]
