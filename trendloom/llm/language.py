@@ -47,12 +47,13 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     order = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").collect()]
     number = F.xxhash64("id")
-    first = Window.partitionBy("lang").orderBy(number, "id", "text")
     place = F.pmod(number, F.greatest(F.char_length("text") - characters, F.lit(1))).cast("int") + 1
-    slices = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= documents)
+    slices = rows.select("lang", number.alias("number"), "id", F.substring("text", place, F.lit(characters)).alias("slice"))
+    # Spark keeps the first rows of a language in each task, so no more than those are shuffled
+    first = Window.partitionBy("lang").orderBy("number", "id", "slice")
+    picked = slices.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= documents)
     content: dict[str, list[bytes]] = {}
-    picked = slices.select("lang", "rank", F.substring("text", place, F.lit(characters)).alias("slice"))
-    for r in picked.orderBy("lang", "rank").collect():
+    for r in picked.select("lang", "rank", "slice").orderBy("lang", "rank").collect():
         content.setdefault(r["lang"], []).append(r["slice"].lower().encode())
     return {name: b"\n".join(content[name]) for name in order}
 
