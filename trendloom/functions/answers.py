@@ -6,14 +6,21 @@ from pyspark.sql import Column, functions as F
 
 from trendloom.functions.expr import as_column, let, strip
 
-FENCE_PATTERN = r"```(?:json)?\s*([\s\S]*?)\s*```"
+FENCE, LANGUAGE = "```", "json"
 _OUTPUT = "array<struct<type:string,content:array<struct<text:string>>>>"
 
 
 def strip_code_fence(c: Column | str) -> Column:
     """Inside of the first fenced block, or the whole text where there is none."""
-    return let(as_column(c), lambda x: strip(
-        F.when(x.rlike(FENCE_PATTERN), F.regexp_extract(x, FENCE_PATTERN, 1)).otherwise(x)))
+
+    def inside(parts: Column) -> Column:
+        block = F.get(parts, F.lit(1))
+        named = F.call_function("startswith", block, F.lit(LANGUAGE))
+        return F.when(named, F.call_function("substring", block, F.lit(len(LANGUAGE) + 1))).otherwise(block)
+
+    # before the first fence, inside of it, and all the rest
+    return let(as_column(c), lambda x: let(F.split(x, FENCE, 3), lambda parts: strip(
+        F.when(F.size(parts) == 3, inside(parts)).otherwise(x))))
 
 
 def extract_answer_text(c: Column | str, index: int = 1, by_type: bool = False) -> Column:

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # work on long texts takes smaller batches and says so itself
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
