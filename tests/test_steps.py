@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom import session
-from trendloom.functions.encoders import hash_encoder
+from trendloom.functions.encoders import hash_encoder, model_encoder
 from trendloom.functions.text import normalize_text
 from trendloom.operators import aggregates as agg, filters, joins, requests
 from trendloom.operators.similarity import similarity_join
@@ -286,6 +286,36 @@ def test_python_runs_only_in_encoders_and_the_arrow_kernel(week, catalog, capsys
         assert node not in plan
 
 
+def test_mapping_encodes_each_product_once(spark, week, catalog, capsys):
+    trends = week[3]
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        import numpy as np
+
+        def predict(texts):
+            seen.add(len(texts))
+            return np.array([[len(t), 1.0] + [0.0] * 30 for t in texts])
+        return predict
+
+    found = matching.prefilter_texts(matching.catalog_texts(catalog), trends, ENCODER, ORDER)
+    mapping = matching.map_trends(found, catalog, trends, model_encoder(make), "2026-01-16", "2026-01-23", order_by=ORDER)
+    mapping.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out  # the vectors are a table by then
+    assert mapping.count() > 0
+    # a worker that runs several tasks keeps its model, and counts for the first of them only
+    assert 0 < seen.value <= matching.describe_products(catalog, found).count()
+
+
+def test_published_tables(spark, week, catalog, tmp_path):
+    trends = week[3]
+    found = matching.prefilter_texts(matching.catalog_texts(catalog), trends, ENCODER, ORDER)
+    mapping = matching.map_trends(found, catalog, trends, ENCODER, "2026-01-16", "2026-01-23", order_by=ORDER)
+    matching.publish(mapping, trends, str(tmp_path / "mapping"), str(tmp_path / "tags"))
+    tags = {r["tag"] for r in spark.read.parquet(str(tmp_path / "mapping")).collect()}
+    assert tags and {r["tag"] for r in spark.read.parquet(str(tmp_path / "tags")).collect()} == tags
+
+
 def test_tag_dimension(week, catalog):
     from trendloom.operators.joins import tags_in_output
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from trendloom.functions.vectors import SCORE_DIGITS, dot, to_doubles, weighted
 from trendloom.operators.sizing import lookup_join, measure
+from trendloom.session import cut_lineage
 
 #: Tags that are broadcast at a time. More are taken in blocks, each in a pass of its own over the items.
 BLOCK_TAGS = 50_000
@@ -51,6 +52,7 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
     if kernel == "native":
         scored = _native_scores(items, tags, keep, group)
     elif kernel == "arrow":
+        tags = cut_lineage(tags, "tags")  # worked out once, then measured and read
         rows, size = measure(tags)
         blocks = max(1, -(-rows // BLOCK_TAGS), -(-size // BLOCK_BYTES))
         number = F.pmod(F.xxhash64(group, "tag", "__tag_vec"), F.lit(blocks))

@@ -423,8 +423,9 @@ def catalog_candidates_by_row(spark, sf):
 def _mapping(spark, sf):
     rows = matching.catalog_texts(views.catalog(spark, sf))
     trends = cut_lineage(views.part_trends(spark, sf))
-    found = matching.prefilter_texts(rows, trends, views.ENCODER, thresholds=views.thresholds(spark))
-    kept = matching.apply_thresholds(found, views.thresholds(spark), ranking.dedupe_first(
+    thresholds = views.thresholds(spark)
+    found = matching.prefilter_texts(rows, trends, views.ENCODER, thresholds=thresholds)
+    kept = matching.apply_thresholds(found, thresholds, ranking.dedupe_first(
         trends, ["tag_embedding_text", "region", "category"], ["pos"]))
     return matching.map_trends(kept, views.catalog(spark, sf), trends, views.ENCODER,
                                "2026-01-16", "2026-01-23"), trends
