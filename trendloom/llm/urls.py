@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trendloom.llm.common import cut_lineage
+
 #: Bits of the filter per entry; a block has four words of 64 bits, and an entry sets two bits in each.
 BITS_PER_ENTRY = 16
 _WORDS = 4
@@ -100,6 +102,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     hits = passed.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, F.col("key") == F.col("entry"))
     decided = hits.groupBy(F.col("host").alias("h"), F.col("head").alias("p")).agg(
         F.max(F.struct(F.char_length("key").alias("size"), "key", "decided")).alias("best"))
+    # saved, so that Spark knows its size: a small table is broadcast and no url moves, with a
+    # larger one the partitions of a frequent host can be split
+    decided = cut_lineage(decided, "decided")
     joined = rows.withColumn("head", head).join(decided, (F.col("host") == F.col("h")) & (F.col("head") == F.col("p")), "left")
     return joined.select("page_id", "host", "path", F.col("best.key").alias("rule"),
                          F.coalesce("best.decided", F.lit(default)).alias("verdict"))
