@@ -43,7 +43,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(table(spark, sf_dir, "documents"))
+    return repeated_words(table(spark, sf_dir, "documents")).drop("starts", "lengths")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
