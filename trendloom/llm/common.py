@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from trendloom.session import cut_lineage
 #: rows of numbers are gathered again on the Python side where that pays.
 ROWS_PER_BATCH = 256
 
-__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "row_key",
+__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "release_finished", "row_key",
            "rows_batch", "small_batches", "table"]
 
 
@@ -21,6 +22,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+def release_finished(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are saved by now.
+
+    It does so once their plans are garbage, which the driver else collects at
+    some later time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendloom.llm.bpe import byte_letters
-from trendloom.llm.common import Memo, arrow_schema, cut_lineage, rows_batch, small_batches
+from trendloom.llm.common import Memo, arrow_schema, cut_lineage, release_finished, rows_batch, small_batches
 from trendloom.llm.files import new_file, new_folder, open_input, open_output
 from trendloom.operators.sizing import row_partitions
 
@@ -303,6 +303,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID, doc_id: str =
     an id come first; repeated ids lie next to each other, a row each.
     """
     encoded = encode_sorted(docs, path, end_id, doc_id, text)
+    release_finished(docs.sparkSession)
     return write_tokens(encoded, id_ranks(encoded, path), path, chunk_ids)
 
 
