@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.llm.common import cut_lineage, map_arrays, map_texts, row_key, small_batches
+from trendloom.llm.common import cut_lineage, map_arrays, map_texts, release_finished, row_key, small_batches
 from trendloom.llm.words import (SPACE_WORD, covered, cut_words, sliding_minimum, space_words,
                                  window_hashes, word_hashes)
 
@@ -94,6 +94,7 @@ def _with_first_places(docs: DataFrame, window: int, run: int) -> DataFrame:
     Both joins take the rows from one shuffle.
     """
     repeated = _repeated_anchors(docs, window, run)
+    release_finished(docs.sparkSession)
 
     def look_up(key, doc, data, _, known):
         words = space_words(data)
