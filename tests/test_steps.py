@@ -286,6 +286,20 @@ def test_python_runs_only_in_encoders_and_the_arrow_kernel(week, catalog, capsys
         assert node not in plan
 
 
+def test_own_lemmas_and_stop_words_reach_the_catalog(spark):
+    catalog = spark.createDataFrame(
+        [(1, "Men - Coats", "title", "Worn red gizmos for him", 1.0, 1), (2, "Men - Coats", "title", None, 1.0, 2)],
+        "product_id long, category string, standardize_type_updated string, normalised_name string, confidence double, pos long")
+    lemmas = spark.createDataFrame([("worn", "wear"), ("gizmos", "gadget")], "token string, lemma string")
+    plain = matching.catalog_texts(catalog).first()["embedding_text"].split()
+    own = matching.catalog_texts(catalog, lemmas=lemmas, stop_words=("red", "for")).first()["embedding_text"].split()
+    assert "gizmo" in plain and "red" in plain
+    assert own[:2] == ["wear", "gadget"] and "red" not in own and "him" in own
+    assert matching.catalog_texts(catalog, stop_words=("red",)).first()["embedding_text"].split()[1] == "gizmo"
+    vectors = matching.embed_catalog(catalog, ENCODER, lemmas=lemmas, stop_words=("red", "for"))
+    assert vectors.first()["embedding_text"].split() == own
+
+
 def test_mapping_encodes_each_product_once(spark, week, catalog, capsys):
     trends = week[3]
     seen = spark.sparkContext.accumulator(0)

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from trendloom.functions import vocabulary as voc
 from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import category_stop_words, embedding_text_raw, normalize_text
 from trendloom.functions.vectors import cosine_from_norms, norm, stable, to_doubles
 from trendloom.operators import filters
 from trendloom.operators.aggregates import max_score
-from trendloom.operators.corpus import embed_texts
+from trendloom.operators.corpus import embed_texts, normalize_with_dictionary
 from trendloom.operators.describe import concat_description
 from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
                                        lookup_tag_vector, semi_by, tag_meta, tags_in_output)
@@ -35,20 +36,32 @@ def _with_raw_text(catalog: DataFrame) -> DataFrame:
     return rows.withColumn(_RAW, embedding_text_raw("normalised_name", "standardize_type_updated"))
 
 
-def _normalized(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("embedding_text", normalize_text(_RAW, category_stop_words("category")))
+def _normalized(texts: DataFrame, lemmas: DataFrame | None = None,
+                stop_words: Sequence[str] = tuple(voc.STOP_WORDS)) -> DataFrame:
+    stop = category_stop_words("category")
+    if lemmas is None:
+        return texts.withColumn("embedding_text", normalize_text(_RAW, stop, stop_words))
+    texts = texts.withColumn("__stop", stop)
+    return normalize_with_dictionary(texts, _RAW, ["category", _RAW], lemmas, stop_words, "__stop")
 
 
-def catalog_texts(catalog: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add the normalised text of each attribute row, worked out once per text and category."""
-    return derive_once(_with_raw_text(catalog), ["category", _RAW], _normalized, partitions).drop(_RAW)
+def catalog_texts(catalog: DataFrame, partitions: int | None = None, lemmas: DataFrame | None = None,
+                  stop_words: Sequence[str] = tuple(voc.STOP_WORDS)) -> DataFrame:
+    """Add the normalised text of each attribute row, worked out once per text and category.
+
+    `lemmas(token, lemma)` goes before the rules for plurals and verb forms.
+    """
+    return derive_once(_with_raw_text(catalog), ["category", _RAW],
+                       lambda texts: _normalized(texts, lemmas, stop_words), partitions).drop(_RAW)
 
 
-def embed_catalog(catalog: DataFrame, encoder: Encoder, partitions: int | None = None) -> DataFrame:
+def embed_catalog(catalog: DataFrame, encoder: Encoder, partitions: int | None = None,
+                  lemmas: DataFrame | None = None, stop_words: Sequence[str] = tuple(voc.STOP_WORDS)) -> DataFrame:
     """Catalog rows with their text and its vector, both joined back in one go."""
 
     def derive(texts: DataFrame) -> DataFrame:
-        return embed_texts(cut_lineage(_normalized(texts)), "embedding_text", encoder, partitions=partitions)
+        texts = cut_lineage(_normalized(texts, lemmas, stop_words))
+        return embed_texts(texts, "embedding_text", encoder, partitions=partitions)
 
     return derive_once(_with_raw_text(catalog), ["category", _RAW], derive, partitions).drop(_RAW)
 
