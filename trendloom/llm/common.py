@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,10 +27,13 @@ def release_finished(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that are saved by now.
 
     It does so once their plans are garbage, which the driver else collects at
-    some later time.
+    some later time. Python's handles of them go first, in the background; so
+    the JVM is asked twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
