@@ -234,7 +234,11 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     the least hash stays, of repeated rows any.
     """
     marks = cut_lineage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    classes = _classes(marks, radius, cell)
+    return first_of_each(docs, marks, _classes(marks, radius, cell), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, marks: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The row of the smallest doc_id of each component; `marks` has the rows' fp, `classes` the component of each."""
     first = marks.groupBy(F.col("fp").alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     chosen = (classes.join(first, F.col("key") == F.col("f")).groupBy("component").agg(F.min("first").alias("first"))
               .select(F.col("first.row").alias("__chosen")))
