@@ -133,3 +133,17 @@ def test_remove_passages(spark, documents):
     assert rows[2].text == "clean a b c" and rows[2].n_chars == 0 and rows[3].text is None
     whole = remove_passages(docs, items, whole_documents=True)
     assert {r.doc_id for r in whole.collect()} == {2, 3} and whole.columns == docs.columns
+
+
+def test_remove_passages_takes_all_blocks_at_once(spark, documents):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words[5:20])), (2, " ".join(words[15:28])), (3, " ".join(words[28:38]))],
+                                  "item_id bigint, text string")
+    joined = " ".join(words[:5] + words[5:10] + words[28:33])  # a cut may not make a window
+    docs = documents([(1, " ".join(words)), (1, " ".join(words)), (2, joined), (3, None), (4, "Clean, this.")])
+    one, many = (remove_passages(docs, items, block_bytes=size) for size in (1 << 20, 20))
+    assert many.schema == docs.schema and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert [r.text for r in many.where("doc_id = 1").collect()] == [" ".join(words[:5] + words[38:])] * 2
+    assert {r.n_chars for r in many.where("doc_id = 1").collect()} == {len(" ".join(words[:5] + words[38:]))}
+    whole = remove_passages(docs, items, block_bytes=20, whole_documents=True)
+    assert sorted(r.doc_id for r in whole.collect()) == [2, 3, 4]

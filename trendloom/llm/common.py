@@ -95,15 +95,17 @@ def map_arrays(df: DataFrame, each: Callable[..., tuple], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def change_rows(df: DataFrame, text: str, change: Callable[[bytes | None], tuple[bool, bytes | None]],
-                n_chars: str | None = "n_chars") -> DataFrame:
+def change_rows(df: DataFrame, text: str, change: Callable[..., tuple[bool, bytes | None]],
+                n_chars: str | None = "n_chars", given: tuple[str, ...] = ()) -> DataFrame:
     """Rows of `df`, all columns, with each text kept, replaced or its row dropped.
 
     `change` gets a text as UTF-8 bytes and gives (keep, text); a column
-    `n_chars`, if there, is counted anew for texts that change.
+    `n_chars`, if there, is counted anew for texts that change. Columns
+    `given` are handed to `change` too, and left out of the result.
     """
     small_batches(df.sparkSession)
     columns = df.columns
+    schema = df.drop(*given).schema
 
     def run(batches):
         import pyarrow as pa
@@ -111,7 +113,8 @@ def change_rows(df: DataFrame, text: str, change: Callable[[bytes | None], tuple
         for batch in batches:
             place = columns.index(text)
             old = batch.column(place).cast(pa.binary()).to_pylist()
-            keep, new = zip(*map(change, old), strict=True) if old else ((), ())
+            more = [batch.column(columns.index(c)).to_pylist() for c in given]
+            keep, new = zip(*map(change, old, *more), strict=True) if old else ((), ())
             changed = [i for i, (a, b) in enumerate(zip(old, new, strict=True)) if a is not b and a != b]
             if changed:
                 arrays = list(batch.columns)
@@ -123,9 +126,11 @@ def change_rows(df: DataFrame, text: str, change: Callable[[bytes | None], tuple
                         counts[i] = len(new[i].decode())
                     arrays[at] = pa.array(counts, arrays[at].type)
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            if given:
+                batch = batch.select([i for i, c in enumerate(columns) if c not in given])
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 class Memo(dict):

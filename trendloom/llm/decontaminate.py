@@ -89,7 +89,11 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
                        F.col(text).alias("text"))
-    blocks = _blocks(items, item_id, item_text, block_bytes)
+    return _found(docs, _blocks(items, item_id, item_text, block_bytes), window)
+
+
+def _found(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """Windows of all blocks in the rows of `docs` (doc_id, row, text), the text as it stands for each block."""
     sc = docs.sparkSession.sparkContext
     found = []
     for block in blocks:
@@ -144,16 +148,27 @@ def remove_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc
     change. A text of which nothing but punctuation is left becomes that.
     """
     blocks = _blocks(items, item_id, item_text, block_bytes)
-    sc = docs.sparkSession.sparkContext
-    for block in blocks:
-        windows = sc.broadcast(Windows([(r[0], r[1].encode()) for r in block.collect()], window))
 
-        def change(data, windows=windows):
+    def cut(data, words, starts, lengths):
+        if whole_documents or not starts:
+            return not starts, data
+        return True, cut_words(data, covered(np.array(starts), np.array(lengths), len(words)), NORMAL_WORD)
+
+    if len(blocks) == 1:
+        windows = docs.sparkSession.sparkContext.broadcast(
+            Windows([(r[0], r[1].encode()) for r in blocks[0].collect()], window))
+
+        def change(data):
             words = normal_words(data)
             starts, lengths, _ = windows.value.find(words)
-            if whole_documents or not starts:
-                return not starts, data
-            return True, cut_words(data, covered(np.array(starts), np.array(lengths), len(words)), NORMAL_WORD)
+            return cut(data, words, starts, lengths)
+
+        return change_rows(docs, text, change, n_chars)
 
-        docs = change_rows(docs, text, change, n_chars)
-    return docs
+    # a cut breaks windows and makes others, so the hits of all blocks are gathered before it
+    texts = docs.select(F.lit(None).cast("bigint").alias("doc_id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = _found(texts, blocks, window).where(F.size("starts") > 0).select(
+        F.col("row").alias("__hit"), F.col("starts").alias("__starts"), F.col("lengths").alias("__lengths"))
+    rows = docs.withColumn("__row", row_key(text)).join(cut_lineage(found, "hits"), F.col("__row") == F.col("__hit"), "left")
+    return change_rows(rows.drop("__row", "__hit"), text, lambda data, starts, lengths: cut(
+        data, normal_words(data), starts, lengths), n_chars, ("__starts", "__lengths"))
