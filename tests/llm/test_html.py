@@ -46,6 +46,19 @@ def test_parts_that_are_no_article(part, frame):
         assert main_text(f"<html><body>{frame.format(inside)}</body></html>") == expected
 
 
+@pytest.mark.parametrize("page, parts", [
+    ('<div class="content"><section>{}</section><section>{}</section></div>', (8, 2)),
+    ('<div class="content"><section>{}</section><section>{}</section></div>', (2, 8)),
+    ('<div class="intro">{}</div><div class="body">{}</div>', (1, 6)), ('<div>{}<div>{}</div>{}</div>', (1, 10, 1)),
+    ('<div><div><section>{}</section></div></div><div>{}</div>', (9, 1)), ("{}<div>{}</div>", (1, 5))])
+def test_articles_in_several_containers(page, parts):
+    texts = [[f"Part {i}, paragraph {k}. {LONG}" for k in range(n)] for i, n in enumerate(parts)]
+    expected = " ".join(" ".join(sum(texts, [])).split())
+    page = page.format(*("".join(f"<p>{t}</p>" for t in part) for part in texts))
+    assert main_text(page) == expected
+    assert main_text(f'<html><body><nav><a>Home</a></nav>{page}<div class="ad">Buy now.</div></body></html>') == expected
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("   ", ""), ("just text", "just text"), ("<p>a</p><p>b</p>", "a b"), ("<p>wo<b>r</b>d", "word"),
     ("<p>a<br>b\n\t c&nbsp;d</p>", "a b c d"), ("<p>x &lt; y &amp; z &#233; &eacute;&copy</p>", "x < y & z é é©"),

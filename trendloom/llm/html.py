@@ -2,9 +2,10 @@
 
 Block elements cut a page into lines. Each line has a ratio of its text to
 its tags; the ratios are smoothed with a Gaussian and lines above a threshold
-are content. The element that holds the content lines is the article: all its
-lines, short ones too, are the text, but for parts that a page itself marks as
-something else (menus, forms, adverts, comments and so on).
+are content. The innermost element that holds all content lines is the article,
+if none is marked as one: all its lines, short ones too, are the text, but for
+parts that a page itself marks as something else (menus, forms, adverts,
+comments and so on).
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from trendloom.llm.common import map_texts
 SIGMA, REACH = 1.0, 3
 #: Content lines have a smoothed ratio of at least this share of its standard deviation.
 THRESHOLD = 0.5
-#: The innermost element with so much of the content lines' text is the article, if none is marked as one.
-SHARE = 0.75
 #: List items in a row, all of them links, that make a menu.
 MENU = 3
 
@@ -184,20 +183,12 @@ def main_text(html: str | None) -> str:
     content = level >= THRESHOLD * level.std()
     if not content.any():
         content[:] = True
-    weight: dict[int, int] = {}
-    marked: set[int] = set()
-    for line, chosen in zip(lines, content.tolist(), strict=True):
-        for number, name in line[4].items():
-            if chosen:
-                weight[number] = weight.get(number, 0) + len(line[0])
-            if name in ARTICLES:
-                marked.add(number)
-    total = sum(len(line[0]) for line, chosen in zip(lines, content.tolist(), strict=True) if chosen)
-    articles = {n for n in marked if weight.get(n)}
+    chosen = [line[4] for line, c in zip(lines, content.tolist(), strict=True) if c]
+    articles = {n for around in chosen for n, name in around.items() if name in ARTICLES}
     if not articles:
-        # numbers grow inwards, so the greatest of those with enough text is the innermost
-        enough = [n for n, w in weight.items() if w >= SHARE * total]
-        articles = {max(enough)} if enough else set()
+        # numbers grow inwards, so the greatest of those around all content lines is the innermost
+        shared = set(chosen[0]).intersection(*chosen[1:])
+        articles = {max(shared)} if shared else set()
     kept = [line[0] for line in lines if not articles or articles & line[4].keys()]
     return " ".join(kept)
 
