@@ -147,3 +147,10 @@ def test_remove_passages_takes_all_blocks_at_once(spark, documents):
     assert {r.n_chars for r in many.where("doc_id = 1").collect()} == {len(" ".join(words[:5] + words[38:]))}
     whole = remove_passages(docs, items, block_bytes=20, whole_documents=True)
     assert sorted(r.doc_id for r in whole.collect()) == [2, 3, 4]
+
+
+def test_each_row_has_a_result_with_any_number_of_blocks(spark, documents):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")], "item_id bigint, text string")
+    rows = [(1, "a b c d e f g h i j x"), (1, "a b c d e f g h i j x"), (2, None), (2, None), (None, "k l"), (None, "k l"), (3, "y")]
+    one, many = (contamination(documents(rows), items, block_bytes=size).collect() for size in (1 << 20, 10))
+    assert len(one) == len(rows) and sorted(map(str, one)) == sorted(map(str, many))

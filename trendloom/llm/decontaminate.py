@@ -82,18 +82,28 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Windows of items in each document: doc_id, row, n_words, starts, lengths, items.
 
-    One row per input row with one block, one per distinct row with more.
-    A null text has no words; an item of fewer words than the window is one
-    window; an item without words occurs nowhere; an item without id counts
-    under an empty id. Other columns are ignored, whatever their names.
+    One row per input row, whatever the number of blocks. A null text has no
+    words; an item of fewer words than the window is one window; an item
+    without words occurs nowhere; an item without id counts under an empty id.
+    Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
                        F.col(text).alias("text"))
-    return _found(docs, _blocks(items, item_id, item_text, block_bytes), window)
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    found = _found(docs, blocks, window)
+    if len(blocks) == 1:
+        return found
+    # repeated rows were scanned once
+    found = cut_lineage(found.drop("doc_id").withColumnRenamed("row", "__row"), "merged")
+    return docs.select("doc_id", "row").join(found, F.col("row") == F.col("__row")).select(
+        "doc_id", "row", "n_words", "starts", "lengths", "items")
 
 
 def _found(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
-    """Windows of all blocks in the rows of `docs` (doc_id, row, text), the text as it stands for each block."""
+    """Windows of all blocks in `docs` (doc_id, row, text), each looked for in the text as it stands.
+
+    One row per input row with one block, one per distinct row with more.
+    """
     sc = docs.sparkSession.sparkContext
     found = []
     for block in blocks:
