@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
+"""Substring dedup by an index of all word windows, in place of a relative Lempel-Ziv parse.
 
-The reference is the corpus itself: an index from each word window to the
-place where it starts first, cut in blocks by the window's hash. Documents are
-factored greedily against all blocks: a factor goes on as long as the next
-window is found in the index at an earlier place, whichever block holds it.
-A factor that reaches the minimum length is a duplicate span. Windows that
-lie across the boundary of two factors are looked up like the others, so none
-is missed there.
+The index, cut in blocks by the window's hash, has the place where each window
+starts first. Windows that are found at an earlier place are duplicates, and
+runs of them are the duplicate spans. No source is carried: neighbouring
+windows of a span may come from different documents, nothing is parsed
+greedily, and no span is a copy from one place. Every window is looked up, so
+the spans are exact but for collisions of 64-bit hashes.
 
 Only windows that can repeat are looked up. Each window has a minimiser, the
 least hash of its short word runs; equal windows have equal minimisers, so
@@ -58,10 +57,10 @@ def candidates(words: list[bytes], repeated, window: int = WINDOW, run: int = RU
 
 
 def factors(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans (start, length in words) of greedy factors, given the starts of windows found earlier.
+    """Spans (start, length in words) of windows in a row, given the starts of windows found earlier.
 
-    A factor is as long as windows follow one another; two factors may overlap
-    by less than a window where the windows across their boundary occur nowhere earlier.
+    A span is as long as windows follow one another; two spans may overlap by
+    less than a window where the windows across their boundary occur nowhere earlier.
     """
     if not len(starts):
         return []
@@ -132,7 +131,7 @@ def _gone(words: list[bytes], spans: list[tuple[int, int]]) -> np.ndarray:
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, run: int = RUN, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, starts, lengths (the factors), one row per input row.
+    """doc_id, n_words, n_removed, kept_sha256, starts, lengths (the spans), one row per input row.
 
     A word goes if a window of `window` words around it also starts earlier: in
     a document of smaller id, or earlier in the same one. A null text has no
