@@ -95,6 +95,31 @@ def test_language_of_odd_texts(spark, documents, sample):
     assert nothing == {} and {r.lang_pred for r in identify(documents(ODD), nothing).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark, documents, sample):
+    found = identify(documents([(1, "½ ² ①"), (2, "Ⅻ"), (3, "½ the and of"), (4, "_9")]), learn(sample)).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {1: "und", 2: "und", 3: "en", 4: "und"}
+
+
+def test_languages_as_plain_compression(sample):
+    """Each piece by itself, with a compressor made anew from the dictionary's bytes."""
+    import zstandard
+
+    known = learn(sample.where(~held_out()))
+    found = {r.doc_id: r for r in identify(sample, known).collect()}
+    for row in sample.limit(60).collect():
+        lower = row.text.lower().encode()
+        sizes = {}
+        for name, content in known.items():
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[name] = sum(
+                len(zstandard.ZstdCompressor(level=6, dict_data=words, write_content_size=False, write_checksum=False,
+                                             write_dict_id=False).compress(lower[i:i + 512] + bytes(64)))
+                for i in range(0, len(lower), 512))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[found[row.doc_id].lang_pred] == best
+        assert found[row.doc_id].score == (second - best) / second
+
+
 def test_keep_identified(documents, sample):
     kept = keep_identified(sample, learn(sample))
     assert kept.schema == sample.schema and kept.count() >= 0.99 * sample.count()

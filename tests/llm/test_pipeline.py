@@ -63,6 +63,20 @@ def test_odd_rows_go_through(spark, documents):
             assert docs.schema == before.schema
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
+def test_columns_of_any_name(spark, sample, stage):
+    """Names of our own, with dots, and a twin in capitals come through as they are."""
+    odd = ["a.b", "row", "n", "hit", "c0", "DOC_ID", "Text"]
+    rows = [(*r, "x.y", 7, 8, 9, "z", "twin", "Twin") for r in sample.limit(60).collect()]
+    rows += [rows[3], rows[3], (None, None, None, None, None, *rows[0][5:])]
+    docs = spark.createDataFrame(rows, sample.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") +
+                                 ", `a.b` string, row int, n int, hit int, c0 string, DOC_ID string, Text string")
+    out = stage(spark, docs, TABLES)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and {tuple(r)[5:] for r in found} == {("x.y", 7, 8, 9, "z", "twin", "Twin")}
+
+
 def test_one_of_each(spark, documents):
     docs = documents([(5, "a b c d"), (3, "A B C D"), (3, "A B C D"), (None, "a b c d"), (9, None), (8, ""), (7, "x y z w v")])
     kept = simhash.keep_one_of_each(docs)

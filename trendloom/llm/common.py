@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from trendloom.session import cut_lineage
 
@@ -14,8 +15,8 @@ from trendloom.session import cut_lineage
 #: rows of numbers are gathered again on the Python side where that pays.
 ROWS_PER_BATCH = 256
 
-__all__ = ["ROWS_PER_BATCH", "Memo", "change_rows", "cut_lineage", "map_arrays", "map_texts", "release_finished", "row_key",
-           "rows_batch", "small_batches", "table"]
+__all__ = ["ROWS_PER_BATCH", "Memo", "by_place", "change_rows", "cut_lineage", "map_arrays", "map_texts", "place_of",
+           "release_finished", "row_key", "rows_batch", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -40,8 +41,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Place of the column called `name`: as it is spelt, else in any case. Dots have no meaning."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [
+        i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name} among {df.columns}")
+    return found[0]
+
+
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`df` with its columns called c0, c1, ..., and what those of `names` are called there.
+
+    So no name in the input can be taken for one of ours, whatever dots or capitals it has.
+    """
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{place_of(df, n)}" for n in names]
+
+
 def row_key(*columns: str) -> Column:
-    """64 bits that tell rows apart: equal rows share it, nulls have their own."""
+    """64 bits that tell rows apart: equal rows share it, nulls have their own.
+
+    Of n different rows about n * n / 2**65 pairs share a key too (one in 10^10 rows).
+    """
     parts: list[Column] = []
     for c in columns:
         parts += [F.col(f"`{c}`").isNull(), F.col(f"`{c}`")]
@@ -105,13 +126,15 @@ def change_rows(df: DataFrame, text: str, change: Callable[..., tuple[bool, byte
     """
     small_batches(df.sparkSession)
     columns = df.columns
-    schema = df.drop(*given).schema
+    place, rest = place_of(df, text), [i for i, c in enumerate(columns) if c not in given]
+    at = columns.index(n_chars) if n_chars in columns else None
+    placed, _ = by_place(df)
+    schema = StructType([placed.schema.fields[i] for i in rest])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            place = columns.index(text)
             old = batch.column(place).cast(pa.binary()).to_pylist()
             more = [batch.column(columns.index(c)).to_pylist() for c in given]
             keep, new = zip(*map(change, old, *more), strict=True) if old else ((), ())
@@ -119,18 +142,17 @@ def change_rows(df: DataFrame, text: str, change: Callable[..., tuple[bool, byte
             if changed:
                 arrays = list(batch.columns)
                 arrays[place] = pa.array(new, pa.binary()).cast(arrays[place].type)
-                if n_chars in columns:
-                    at = columns.index(n_chars)
+                if at is not None:
                     counts = arrays[at].to_pylist()
                     for i in changed:
                         counts[i] = len(new[i].decode())
                     arrays[at] = pa.array(counts, arrays[at].type)
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             if given:
-                batch = batch.select([i for i, c in enumerate(columns) if c not in given])
+                batch = batch.select(rest)
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
-    return df.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema).toDF(*(columns[i] for i in rest))
 
 
 class Memo(dict):

@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.llm.common import change_rows, cut_lineage, map_texts, row_key
+from trendloom.llm.common import by_place, change_rows, cut_lineage, map_texts, row_key
 from trendloom.llm.words import NORMAL_WORD, covered, cut_words, normal_words, window_hashes, word_hashes
 
 WINDOW = 10
@@ -69,6 +69,7 @@ class Windows:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """Items with a text, in parts of about `block_bytes` bytes, split by the hash of the text."""
+    items, (id_col, text_col) = by_place(items, id_col, text_col)
     items = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // block_bytes) or 1
@@ -87,6 +88,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     without words occurs nowhere; an item without id counts under an empty id.
     Other columns are ignored, whatever their names.
     """
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
                        F.col(text).alias("text"))
     blocks = _blocks(items, item_id, item_text, block_bytes)
@@ -105,6 +107,8 @@ def _found(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
     One row per input row with one block, one per distinct row with more.
     """
     sc = docs.sparkSession.sparkContext
+    if len(blocks) > 1:
+        docs = cut_lineage(docs.dropDuplicates(["row"]), "distinct")
     found = []
     for block in blocks:
         windows = sc.broadcast(Windows([(r[0], r[1].encode()) for r in block.collect()], window))
@@ -115,7 +119,7 @@ def _found(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
                 starts, lengths, names = windows.value.find(words)
                 yield key, row, len(words), starts, lengths, sorted(names)
 
-        part = map_texts(docs if len(blocks) == 1 else docs.dropDuplicates(["row"]), scan, _FOUND)
+        part = map_texts(docs, scan, _FOUND)
         found.append(part if len(blocks) == 1 else cut_lineage(part, "passages"))
     if len(found) == 1:
         return found[0]
@@ -176,9 +180,11 @@ def remove_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc
         return change_rows(docs, text, change, n_chars)
 
     # a cut breaks windows and makes others, so the hits of all blocks are gathered before it
-    texts = docs.select(F.lit(None).cast("bigint").alias("doc_id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("text"))
-    found = _found(texts, blocks, window).where(F.size("starts") > 0).select(
-        F.col("row").alias("__hit"), F.col("starts").alias("__starts"), F.col("lengths").alias("__lengths"))
-    rows = docs.withColumn("__row", row_key(text)).join(cut_lineage(found, "hits"), F.col("__row") == F.col("__hit"), "left")
-    return change_rows(rows.drop("__row", "__hit"), text, lambda data, starts, lengths: cut(
-        data, normal_words(data), starts, lengths), n_chars, ("__starts", "__lengths"))
+    rows, (body,) = by_place(docs, text)
+    texts = rows.select(F.lit(None).cast("bigint").alias("doc_id"), row_key(body).alias("row"), F.col(body).alias("text"))
+    found = _found(texts, blocks, window).where(F.size("starts") > 0).select(F.col("row").alias("hit"), "starts", "lengths")
+    rows = rows.withColumn("row", row_key(body)).join(cut_lineage(found, "hits"), F.col("row") == F.col("hit"), "left")
+    count = f"c{docs.columns.index(n_chars)}" if n_chars in docs.columns else None
+    changed = change_rows(rows.drop("row", "hit"), body, lambda data, starts, lengths: cut(
+        data, normal_words(data), starts, lengths), count, ("starts", "lengths"))
+    return changed.toDF(*docs.columns)

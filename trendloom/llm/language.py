@@ -7,12 +7,11 @@ it smallest; where the second comes too near, the guess is marked as rejected.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trendloom.llm.common import change_rows, map_texts
+from trendloom.llm.common import by_place, change_rows, map_texts
 
 #: The sample: slices of so many characters from so many documents of each language.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 240, 400
@@ -26,8 +25,6 @@ LEVEL = 6
 #: Least margin of the best over the second, as a share of the second, of an accepted guess.
 MARGIN = 0.002
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents whose id, as text, has a CRC-32 of 2 modulo 4. A null id is not held out."""
@@ -35,13 +32,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> dict[str, bytes]:
+          documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS,
+          but_held_out: bool = False) -> dict[str, bytes]:
     """Dictionary content for each language, the most frequent language first.
 
     The sample holds, for each language, the documents whose ids have the
     least hashes, and of each a slice at a place that the hash names. Rows
-    without text, language or id teach nothing.
+    without text, language or id teach nothing, nor do held-out ones if `but_held_out`.
     """
+    labelled, (doc_id, text, lang) = by_place(labelled, doc_id, text, lang)
+    if but_held_out:
+        labelled = labelled.where(~held_out(doc_id))
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).na.drop()
     rows = rows.where(rows.text.rlike(r"\p{L}"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -76,7 +77,7 @@ class Classifier:
     def guess(self, data: bytes | None) -> tuple[str, float]:
         """Language and margin; `und` and zero without text, letters or languages."""
         text = data.decode() if data else ""
-        if not self.names or not _LETTER.search(text):
+        if not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0
         lower = text.lower().encode()
         pieces = [lower[i:i + self.piece] + CARRIER for i in range(0, len(lower), self.piece)]
@@ -110,6 +111,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc
             name, score = classifier.guess(data)
             yield key, held, name, score, name != "und" and score >= margin
 
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"),
                        F.col(text).alias("text"))
     return map_texts(docs, run, "doc_id bigint, held_out boolean, lang_pred string, score double, accepted boolean")

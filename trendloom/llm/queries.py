@@ -8,7 +8,7 @@ from trendloom.llm.bpe import encoding_digests
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
 from trendloom.llm.html import extract_pages
-from trendloom.llm.language import held_out, identify, learn
+from trendloom.llm.language import identify, learn
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
 from trendloom.llm.tokenfile import token_digests
@@ -30,7 +30,7 @@ def tokenizer(name: str) -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, learn(docs.where(~held_out())))
+    return identify(docs, learn(docs, but_held_out=True))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trendloom.llm.common import cut_lineage, map_texts, row_key
+from trendloom.llm.common import by_place, cut_lineage, map_texts, row_key
 from trendloom.llm.components import Forest, connected_components
 from trendloom.operators.sizing import row_partitions
 
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
             fp = fingerprint(data, shingle)
             yield key, row, fp - (1 << 64) if fp >> 63 else fp
 
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
                        F.col(text).alias("text"))
     return map_texts(docs, run, "doc_id bigint, row bigint, fp bigint")
@@ -231,19 +232,22 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     """The row of the smallest doc_id of each group of near-duplicates, all columns as they are.
 
     A null id is the largest here; of different texts of one id the one with
-    the least hash stays, of repeated rows any.
+    the least hash stays, of repeated rows (equal id and text) any. Rows are
+    told apart by `row_key`. Texts move once, to the keys of those that stay.
     """
-    marks = cut_lineage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    return first_of_each(docs, marks, _classes(marks, radius, cell), doc_id, text)
-
-
-def first_of_each(docs: DataFrame, marks: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The row of the smallest doc_id of each component; `marks` has the rows' fp, `classes` the component of each."""
+    rows, (key, body) = by_place(docs, doc_id, text)
+    marks = cut_lineage(fingerprints(rows, shingle, key, body), "fingerprints")
     first = marks.groupBy(F.col("fp").alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    chosen = (classes.join(first, F.col("key") == F.col("f")).groupBy("component").agg(F.min("first").alias("first"))
-              .select(F.col("first.row").alias("__chosen")))
-    # of repeated rows one per task goes on, and one of those stays
-    once = Window.partitionBy("__row").orderBy("__row")
-    rows = docs.withColumn("__row", row_key(doc_id, text)).join(
-        cut_lineage(chosen, "chosen"), F.col("__row") == F.col("__chosen"), "left_semi")
-    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    chosen = cut_lineage(
+        _classes(marks, radius, cell).join(first, F.col("key") == F.col("f")).groupBy("component")
+        .agg(F.min("first").alias("first")).select(F.col("first.row").alias("chosen")), "chosen")
+    rows = rows.withColumn("row", row_key(key, body))
+    stay = rows.join(chosen, F.col("row") == F.col("chosen"), "left_semi")
+    repeated = cut_lineage(
+        marks.groupBy(F.col("row").alias("r")).agg(F.count("*").alias("n")).where("n > 1").select("r"), "repeated")
+    if not repeated.isEmpty():
+        # of repeated rows one per task goes on, and one of those stays
+        once = Window.partitionBy("row").orderBy("row")
+        many = stay.join(repeated, F.col("row") == F.col("r"), "left_semi").withColumn("n", F.row_number().over(once))
+        stay = stay.join(repeated, F.col("row") == F.col("r"), "left_anti").unionByName(many.where("n = 1").drop("n"))
+    return stay.drop("row").toDF(*docs.columns)

@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trendloom.llm.common import cut_lineage, map_arrays, map_texts, release_finished, row_key, small_batches
+from trendloom.llm.common import by_place, cut_lineage, map_arrays, map_texts, release_finished, row_key, small_batches
 from trendloom.llm.words import (SPACE_WORD, covered, cut_words, sliding_minimum, space_words,
                                  window_hashes, word_hashes)
 
@@ -148,7 +148,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, run: int = RUN, doc_id
             yield (doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
                    [s[0] for s in spans], [s[1] for s in spans])
 
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = _with_first_places(_keyed(docs, "doc_id", "text").withColumn("__row", F.lit(None).cast("int")), window, run)
     return map_texts(found.select("__id", "__text", "repeated", "firsts"), parse,
                      "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
@@ -158,6 +159,9 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, run: int = RUN, doc_id
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, doc_id: str = "doc_id",
                    text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """`docs` without the words of duplicate spans; `n_chars`, if there, is counted anew for changed texts."""
+    names = docs.columns
+    counted = f"c{names.index(n_chars)}" if n_chars in names else None
+    docs, (doc_id, text) = by_place(docs, doc_id, text)
     found = _with_first_places(_keyed(docs, doc_id, text), window, run)
 
     def parse(rows):
@@ -187,7 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, doc_id
         old = F.col("__row").getField(c)
         if c == text:
             old = F.coalesce("__new", old)
-        elif c == n_chars:
+        elif c == counted:
             old = F.when(changed, F.char_length("__new").cast(docs.schema[c].dataType)).otherwise(old)
         out.append(old.alias(c))
-    return cut.select(*out)
+    return cut.select(*out).toDF(*names)
