@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom.llm.bpe import token_ids
 from trendloom.llm.common import cut_lineage, table
 from trendloom.llm.decontaminate import remove_passages
-from trendloom.llm.language import held_out, keep_identified, learn
+from trendloom.llm.language import keep_identified, learn
 from trendloom.llm.queries import tokenizer
-from trendloom.llm.similar import keep_one_of_similar
+from trendloom.llm.simhash import RADIUS, SHINGLE, keep_one_of_each
 from trendloom.llm.substring import remove_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart from all others stay."""
-    return keep_identified(docs, learn(docs.where(~held_out())))
+    return keep_identified(docs, learn(docs, but_held_out=True))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose runs of five words are similar by 0.8 or more."""
-    return keep_one_of_similar(docs)
+    """One document of each group stays whose fingerprints of three-word shingles differ by three bits at most."""
+    return keep_one_of_each(docs, SHINGLE, RADIUS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
