@@ -86,7 +86,7 @@ def test_one_of_each(spark, documents):
 
 def test_registered():
     names = [q.split("_")[0] for q in queries.QUERIES]
-    assert names == [f"op{i}" for i in range(1, 11)]
+    assert names == [f"op{i}" for i in range(1, 14)]
     assert set(entry.queries()) >= {*queries.QUERIES, "pipeline"} and set(entry.oracle_sql()) >= set(oracle.ORACLE)
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
 

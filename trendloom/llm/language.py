@@ -74,14 +74,17 @@ class Classifier:
             self.encoders.append(zstandard.ZstdCompressor(
                 level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
 
+    def sizes(self, data: bytes) -> list[int]:
+        """Compressed bytes with each dictionary, of a text as it stands."""
+        pieces = [data[i:i + self.piece] + CARRIER for i in range(0, len(data), self.piece)]
+        return [sum(map(len, map(encoder.compress, pieces))) for encoder in self.encoders]
+
     def guess(self, data: bytes | None) -> tuple[str, float]:
         """Language and margin; `und` and zero without text, letters or languages."""
         text = data.decode() if data else ""
         if not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0
-        lower = text.lower().encode()
-        pieces = [lower[i:i + self.piece] + CARRIER for i in range(0, len(lower), self.piece)]
-        sizes = [sum(map(len, map(encoder.compress, pieces))) for encoder in self.encoders]
+        sizes = self.sizes(text.lower().encode())
         best = min(sizes)
         if len(sizes) == 1:
             return self.names[0], 1.0

@@ -9,6 +9,7 @@ from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
 from trendloom.llm.html import extract_pages
 from trendloom.llm.language import identify, learn
+from trendloom.llm.quality import learn_quality, score_quality
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
 from trendloom.llm.tokenfile import token_digests
@@ -70,6 +71,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels"), but_held_out=True))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_substring_dedup, op5_warc, op6_bpe,
-    op7_html_extraction, op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination)}
+    op7_html_extraction, op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination,
+    op11_quality_classifier)}
