@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendloom.llm.align import align_documents
 from trendloom.llm.bpe import encoding_digests
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contamination
@@ -76,7 +77,11 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels"), but_held_out=True))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_substring_dedup, op5_warc, op6_bpe,
     op7_html_extraction, op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination,
-    op11_quality_classifier)}
+    op11_quality_classifier, op12_cross_tokenizer)}
