@@ -67,7 +67,7 @@ class Windows:
         return starts, lengths, found
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """Items with a text, in parts of about `block_bytes` bytes, split by the hash of the text."""
     items, (id_col, text_col) = by_place(items, id_col, text_col)
     items = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
@@ -91,7 +91,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     docs, (doc_id, text) = by_place(docs, doc_id, text)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row"),
                        F.col(text).alias("text"))
-    blocks = _blocks(items, item_id, item_text, block_bytes)
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
     found = _found(docs, blocks, window)
     if len(blocks) == 1:
         return found
@@ -161,7 +161,7 @@ def remove_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc
     All columns stay; `n_chars`, if there, is counted anew for texts that
     change. A text of which nothing but punctuation is left becomes that.
     """
-    blocks = _blocks(items, item_id, item_text, block_bytes)
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
 
     def cut(data, words, starts, lengths):
         if whole_documents or not starts:

@@ -11,6 +11,7 @@ from trendloom.llm.decontaminate import contamination
 from trendloom.llm.html import extract_pages
 from trendloom.llm.language import identify, learn
 from trendloom.llm.quality import learn_quality, score_quality
+from trendloom.llm.search import rank_documents
 from trendloom.llm.simhash import near_duplicates
 from trendloom.llm.substring import repeated_words
 from trendloom.llm.tokenfile import token_digests
@@ -81,7 +82,11 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_substring_dedup, op5_warc, op6_bpe,
     op7_html_extraction, op8_token_files, op9_embedding_near_dedup, op10_benchmark_decontamination,
-    op11_quality_classifier, op12_cross_tokenizer)}
+    op11_quality_classifier, op12_cross_tokenizer, op13_ranked_search)}
