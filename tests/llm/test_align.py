@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 
 from tests.llm.conftest import ODD, TABLES
 from trendloom.llm import align, queries
-from trendloom.llm.align import align_documents, align_texts, groups_of, links_of, pair_counts
+from trendloom.llm.align import align_documents, align_texts, pair_counts
 from trendloom.llm.queries import tokenizer
 
 A, B = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
@@ -94,12 +94,12 @@ def expected(libraries, rows):
 
 
 def same(aligner, libraries, text):
-    chunks, wanted = aligner.align(text), plain(libraries, text)
+    (chunks,), wanted = aligner.align([text]), plain(libraries, text)
     if wanted is None:
         assert chunks is None
         return
     assert ";".join(c.groups for c in chunks) == ";".join(wanted[2]), text
-    codes = sorted(code for c in chunks for code in c.codes.tolist())
+    codes = sorted(code for c in chunks for code in np.frombuffer(c.codes, np.int64).tolist())
     assert codes == sorted(a * aligner.width + b for a, b in wanted[3])
     assert (sum(c.n_a for c in chunks), sum(c.n_b for c in chunks)) == (len(wanted[0]), len(wanted[1]))
 
@@ -123,18 +123,29 @@ def test_given_texts(aligner, libraries, text):
     same(aligner, libraries, text)
 
 
-def test_groups_and_links():
-    a, b = np.array([2, 4, 7]), np.array([3, 4, 5, 7])
-    assert [x.tolist() for x in groups_of(a, b)] == [[2, 3], [2, 4]]
-    assert list(zip(*(x.tolist() for x in links_of(a, b)))) == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)]
+def test_walk():
+    size_a, size_b = [2, 2, 3], [3, 1, 1, 2]
+    chunk = align.align_tokens([0, 1, 2], [0, 1, 2, 3], size_a, size_b, 10)
+    assert chunk[:4] == (3, 4, 2, "0,1|0,1;2|2,3")
+    assert np.frombuffer(chunk.codes, np.int64).tolist() == [0, 10, 11, 22, 23]
+
+
+@given(st.text(alphabet=[chr(i) for i in [*range(32, 127), *range(0xC0, 0x100)]], max_size=50))
+@settings(max_examples=400, deadline=None)
+def test_plain_letters(aligner, libraries, text):
+    assert aligner.quick
+    same(aligner, libraries, text)
 
 
 def test_forgets(libraries, monkeypatch):
     monkeypatch.setattr(align, "_MEMO_CHUNKS", 3)
+    monkeypatch.setattr(align, "_MEMO_LENGTH", 4)
     small = align.Aligner(A, B)
-    for text in ("a b c d e f g a b c", "c b a the of the"):
+    for text in ("a b c", "longer words", "d e f g a b c", "c b a the of the"):
         same(small, libraries, text)
-        assert len(small.known) <= 3
+        assert "longer" not in small.known
+    same(small, libraries, "x")
+    assert set(small.known) == {"x"}
 
 
 def test_sample_against_brute_force(spark, sample, libraries):

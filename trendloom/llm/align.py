@@ -10,9 +10,12 @@ and the measures of the texts to the documents.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,58 +25,60 @@ from trendloom.llm.common import by_place, cut_lineage, small_batches
 
 #: Longer chunks of a text are aligned each time they occur.
 _MEMO_LENGTH = 48
-_MEMO_CHUNKS = 1 << 17
+_MEMO_CHUNKS = 1 << 18
 #: Different id pairs of a corpus up to which their counts are broadcast (about 32 bytes each); more are shuffled.
 BROADCAST_PAIRS = 1 << 20
 
 _BORDER = re.compile(r"(?<=[^ ])(?= \S)")
 _ODD_SPACE = re.compile(r" \s")
+_LATIN = re.compile("[\n!-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
+# fixed value: how byte-level vocabularies of this kind split a text
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of A tokens, and of B tokens, up to the end of each group.
+class Chunk(NamedTuple):
+    """Alignment of a piece of a text that both tokenizers treat by itself; `codes`: 64-bit numbers of the linked pairs."""
 
-    Groups are cut at the byte offsets where tokens of both end. A token
-    without bytes belongs to the group that ends where it does.
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    codes: bytes
+
+
+def align_tokens(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int], width: int) -> Chunk:
+    """Walk through the tokens of both, which cover the same bytes and are none empty.
+
+    Tokens are linked where their bytes overlap, and a group ends where a token of each does.
     """
-    cuts = np.intersect1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
-
-
-def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the A and the B tokens of all pairs whose byte ranges overlap."""
-    starts_a = np.append(0, ends_a[:-1])
-    # B tokens from the first that ends after an A token's start to the last that starts before its end
-    first = np.searchsorted(ends_b, starts_a, "right")
-    starts_b = np.append(0, ends_b[:-1])
-    last = np.searchsorted(starts_b, ends_a, "left")
-    n = np.where(ends_a > starts_a, np.maximum(last - first, 0), 0)
-    left = np.repeat(np.arange(len(ends_a)), n)
-    right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    solid = ends_b[right] > starts_b[right]
-    return left[solid], right[solid]
-
-
-class Chunk:
-    """Alignment of a piece of a text that both tokenizers treat by itself."""
-
-    __slots__ = ("codes", "groups", "n_a", "n_b", "n_groups")
-
-    def __init__(self, ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: list[bytes], width: int) -> None:
-        ends_a, ends_b = (np.cumsum([len(t) for t in tokens], dtype=np.int64) for tokens in (bytes_a, bytes_b))
-        self.n_a, self.n_b = len(ids_a), len(ids_b)
-        if self.n_a and self.n_b:
-            left, right = links_of(ends_a, ends_b)
-            self.codes = np.array(ids_a, np.int64)[left] * width + np.array(ids_b, np.int64)[right]
-            upto = [x.tolist() for x in groups_of(ends_a, ends_b)]
-        else:
-            self.codes, upto = np.zeros(0, np.int64), ([], [])
-        names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-        parts, i, j = [], 0, 0
-        for a, b in zip(*upto, strict=True):
-            parts.append(",".join(names_a[i:a]) + "|" + ",".join(names_b[j:b]))
-            i, j = a, b
-        self.n_groups, self.groups = len(parts), ";".join(parts)
+    codes = []
+    rest_b = iter(ids_b)
+    b = next(rest_b)
+    left = size_b[b]  # bytes of b that no token of A has covered yet
+    groups = ""
+    behind = f"|{b}"  # the group's tokens of B, and before it those of A
+    mark = ""
+    for a in ids_a:
+        row, need = a * width, size_a[a]
+        groups += f"{mark}{a}"
+        mark = ","
+        codes.append(row + b)
+        while need > left:
+            need -= left
+            b = next(rest_b)
+            left = size_b[b]
+            behind += f",{b}"
+            codes.append(row + b)
+        left -= need
+        if not left:
+            groups += behind
+            b = next(rest_b, None)
+            if b is None:
+                break
+            left = size_b[b]
+            behind = f"|{b}"
+            mark = ";"
+    return Chunk(len(ids_a), len(ids_b), groups.count("|"), groups, array("q", codes).tobytes())
 
 
 class Aligner:
@@ -104,44 +109,59 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         if any(" " in p.lstrip(" ") for p in (x.decode(errors="replace") for x in self.bytes_b)):
             raise ValueError("pieces go on behind a space, so texts have no borders at spaces")
+        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.width = len(pieces)
+        self.quick = self._quick(path_a, added)
         self.known: dict[str, Chunk | None] = {}
 
-    def _chunk(self, chunk: str) -> Chunk | None:
-        ids_a = self.a.encode(" " + chunk, add_special_tokens=False).ids
-        ids_b = self.b.encode(chunk)
-        bytes_a, bytes_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        whole = (" " + chunk).encode()
-        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return None
-        return Chunk(ids_a, ids_b, bytes_a, bytes_b, self.width)
+    def _quick(self, path: str, added: set[str]):
+        """The same vocabulary in a library that is faster on single words, if its ids are in order of the merges."""
+        import tiktoken
 
-    def _find(self, chunk: str) -> Chunk | None:
-        if len(chunk) > _MEMO_LENGTH:
-            return self._chunk(chunk)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        ranks = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if spec["pre_tokenizer"] != spec["pre_tokenizer"] | {"type": "ByteLevel", "use_regex": True} or ranks != sorted(ranks):
+            return None
+        ids = {t: i for i, t in enumerate(self.bytes_a) if t and t.decode(errors="replace") not in added}
+        return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ids, special_tokens={}).encode_ordinary
+
+    def _chunk(self, chunk: str, ids_b: list[int]) -> Chunk | None:
+        text = " " + chunk
+        whole = text.encode()
+        if self.quick and _LATIN.fullmatch(chunk):
+            ids_a = self.quick(text)
+        else:
+            ids_a = self.a.encode(text, add_special_tokens=False).ids
+            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole:
+                return None
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
+            return None
+        return align_tokens(ids_a, ids_b, self.size_a, self.size_b, self.width)
+
+    def align(self, texts: list[str | None]) -> list[list[Chunk] | None]:
+        """The chunks of each text, in order; None if it is null, empty, or either tokenizer alters its bytes."""
+        split: list[list[str]] = []
+        for text in texts:
+            chunks = text.split(" ") if text else []
+            if "" in chunks or chunks and _ODD_SPACE.search(text):
+                chunks = _BORDER.split(text)
+                chunks[1:] = [c[1:] for c in chunks[1:]]
+            split.append(chunks)
         if len(self.known) >= _MEMO_CHUNKS:
             self.known.clear()
-        found = self.known[chunk] = self._chunk(chunk)
-        return found
-
-    def align(self, text: str) -> list[Chunk] | None:
-        """The chunks of a text, in order; None if it is empty or either tokenizer alters its bytes."""
-        if not text:
-            return None
-        chunks = text.split(" ")
-        if "" in chunks or _ODD_SPACE.search(text):
-            chunks = _BORDER.split(text)
-            chunks[1:] = [c[1:] for c in chunks[1:]]
         known = self.known
-        found = []
-        for c in chunks:
-            chunk = known.get(c, 0)
-            if chunk == 0:
-                chunk = self._find(c)
-            if chunk is None:
-                return None
-            found.append(chunk)
-        return found
+        new = list({c: None for chunks in split for c in chunks if c not in known})
+        known.update(zip(new, map(self._chunk, new, self.b.encode(new, num_threads=1)), strict=True))
+        out = []
+        for chunks in split:
+            found = list(map(known.__getitem__, chunks))
+            out.append(None if not found or None in found else found)
+        for c in new:
+            if len(c) > _MEMO_LENGTH:
+                del known[c]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -156,11 +176,11 @@ def _measured(chunks: list[Chunk] | None) -> tuple:
     """Counts, digest, and the different codes of linked ids with their numbers."""
     if chunks is None:
         return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.concatenate([c.codes for c in chunks])
-    different, counts = np.unique(codes, return_counts=True)
-    digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest()
-    return (sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks), len(codes), digest,
-            different, counts)
+    n_a, n_b, n_groups, groups, codes = zip(*chunks, strict=True)
+    links = np.frombuffer(b"".join(codes), np.int64)
+    different, counts = np.unique(links, return_counts=True)
+    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    return sum(n_a), sum(n_b), sum(n_groups), len(links), digest, different, counts
 
 
 def _key(text: Column) -> Column:
@@ -188,7 +208,7 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
 
         known = aligner(path_a, path_b)
         for batch in batches:
-            rows = [_measured(known.align(t)) for t in batch.column(2).to_pylist()]
+            rows = list(map(_measured, known.align(batch.column(2).to_pylist())))
             sizes = list(zip(*(r[:5] for r in rows), strict=True)) or [()] * 5
             ends = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)])))
