@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trendloom.llm.common import by_place, cut_lineage, map_texts
 from trendloom.llm.language import Classifier, held_out
+from trendloom.operators.ranking import top_k
 
 #: Of each label, documents whose slices make its dictionary, and the length of a slice in characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 400, 1000
@@ -117,8 +118,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         known, texts = known.where(~held_out("id")), texts.where(~held_out("id"))
     number = F.xxhash64("id")
     first = Window.partitionBy("label").orderBy("number", "id")
-    least = (known.join(texts.select("id").distinct(), "id", "left_semi").withColumn("number", number)
-             .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= documents + curve_documents))
+    least = known.join(texts.select("id").distinct(), "id", "left_semi").withColumn("number", number)
+    # each task sends no more of a label than are wanted
+    least = top_k(least.withColumn("least", F.bitwise_not("number")), ["label"], "least", documents + curve_documents, "id")
+    least = least.withColumn("rank", F.row_number().over(first))
     # every third one is for the curve, so that few labels are shared out too
     taught = (F.col("rank") % 3 != 0) & (F.col("rank") <= documents + documents // 2)
     # a bounded number of ids: a small table that the texts are looked up in, wherever they lie
