@@ -86,6 +86,20 @@ def test_mean_pool_with_mask(spark):
     assert {(r["a"], r["b"], tuple(r["embedding"])) for r in two.collect()} == {("x", None, (3.0,)), ("x", 2, (3.0,))}
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_mean_pool_checks_lengths_by_key(spark, partitions):
+    """Whatever lies together: one key with two lengths fails, keys with lengths of their own do not."""
+    kinds = "k string, v array<double>"
+    uneven = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])] * 5 + [("a", [1.0, 2.0, 3.0])], kinds)
+    with pytest.raises(Exception, match="differ in length"):
+        agg.mean_pool(uneven.repartition(partitions), ["k"], "v").collect()
+    own = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0]), ("a", [3.0, None]), ("c", []), ("d", None)] * 3, kinds)
+    got = {r["k"]: r["embedding"] for r in agg.mean_pool(own.repartition(partitions), ["k"], "v").collect()}
+    assert got == {"a": [2.0, 1.0], "b": [4.0], "c": []}
+    with pytest.raises(Exception, match="differ in length"):
+        agg.mean_pool(own.where("k <> 'd'").repartition(partitions), ["k"], "v", 2).collect()
+
+
 @pytest.fixture(scope="module")
 def sides(spark):
     rng = random.Random(7)

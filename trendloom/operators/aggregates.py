@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from trendloom.functions.expr import drop_nan
 from trendloom.functions.text import is_blank
@@ -71,12 +71,13 @@ def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int | None = Non
 
     Each Arrow batch sums its vectors by key, so what is shuffled is a sum per
     key and batch, however many rows a key has. A vector of another length
-    than `dim`, or than the others of its key, is an error.
+    than `dim`, or than the others of its key, is an error, wherever the two
+    lie; keys may have vectors of lengths of their own.
     """
     rows = df.where(F.col(vec).isNotNull()).select(
         *key, F.col(vec).cast("array<double>").alias("__v"), (F.col(mask) if mask else F.lit(1.0)).cast("double").alias("__m"))
     schema = StructType([*[rows.schema[k] for k in key], StructField("__m", DoubleType()),
-                         StructField("__s", ArrayType(DoubleType()))])
+                         StructField("__s", ArrayType(DoubleType())), StructField("__n", IntegerType())])
     names = list(key)
 
     def partial_sums(batches):
@@ -84,13 +85,14 @@ def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int | None = Non
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
-            lengths = pc.list_value_length(batch.column("__v"))
-            size = dim if dim is not None else lengths[0].as_py() if len(lengths) else 0
-            if not pc.all(pc.equal(lengths, size)).as_py():
-                raise ValueError("vectors differ in length")
-            if not batch.num_rows:
-                continue
+        def of_one_length(whole):
+            lengths = pc.list_value_length(whole.column("__v"))
+            for size in pc.unique(lengths).to_pylist():
+                if dim is not None and size != dim:
+                    raise ValueError("vectors differ in length")
+                yield size, whole.filter(pc.equal(lengths, size))
+
+        for size, batch in (part for whole in batches for part in of_one_length(whole)):
             keys = pa.Table.from_batches([batch]).select(names).append_column(
                 "__row", pa.array(np.arange(batch.num_rows)))
             firsts = keys.group_by(names).aggregate([("__row", "min")])["__row_min"].to_numpy() if names else np.zeros(1, np.int64)
@@ -106,12 +108,17 @@ def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int | None = Non
             order = codes[firsts]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n).take(pa.array(firsts)) for n in names), pa.array(total[order]),
-                 pa.array(list(sums[order]), pa.list_(pa.float64()))], names=[*names, "__m", "__s"])
+                 pa.array(list(sums[order]), pa.list_(pa.float64())), pa.repeat(pa.scalar(size, pa.int32()), len(order))],
+                names=[*names, "__m", "__s", "__n"])
 
     summed = rows.mapInArrow(partial_sums, schema)
-    places = summed.select(*key, "__m", F.posexplode("__s").alias("__place", "__x"))
-    places = places.groupBy(*key, "__place").agg(F.sum("__m").alias("__m"), F.sum("__x").alias("__x"))
+    places = summed.select(*key, "__m", "__n", F.posexplode_outer("__s").alias("__place", "__x"))
+    places = places.groupBy(*key, "__place").agg(
+        F.sum("__m").alias("__m"), F.sum("__x").alias("__x"), F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))
     weight = F.greatest(F.col("__m"), F.lit(eps))
-    pairs = F.array_sort(F.collect_list(F.struct("__place", (F.col("__x") / weight).alias("x"))))
-    pooled = places.groupBy(*key).agg(pairs.alias("__p"))
+    pairs = F.array_sort(F.collect_list(F.when(
+        F.col("__place").isNotNull(), F.struct("__place", (F.col("__x") / weight).alias("x")))))
+    pooled = places.groupBy(*key).agg(pairs.alias("__p"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    differ = F.raise_error(F.lit("vectors of one key differ in length")).cast(pooled.schema["__p"].dataType)
+    pooled = pooled.withColumn("__p", F.when(F.col("__lo") == F.col("__hi"), F.col("__p")).otherwise(differ))
     return pooled.select(*key, F.transform("__p", lambda p: p["x"]).alias(out))

@@ -43,20 +43,14 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
     if on is None:
         items, tags = items.withColumn(_ANY, F.lit("")), tags.withColumn(_ANY, F.lit(""))
     keep = [c for c in keep if c != group]
-    items = items.where(F.col(item_vec).isNotNull() & F.col(group).isNotNull()).select(
-        *keep, F.col(group), F.col(item_vec).alias("__vec"),
-        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__weight"))
-    tags = tags.where(F.col(tag_vec).isNotNull() & F.col(group).isNotNull()).select(
-        F.col(group), F.col("tag").cast("string").alias("tag"), to_doubles(tag_vec).alias("__tag_vec"),
-        (F.col(floor) if floor else F.lit(None)).cast("double").alias("__floor"))
+    items = prepared_items(items, keep, group, item_vec, weight)
+    tags = prepared_tags(tags, group, tag_vec, floor)
     if kernel == "native":
         scored = _native_scores(items, tags, keep, group)
     elif kernel == "arrow":
-        tags = cut_lineage(tags, "tags")  # worked out once, then measured and read
-        rows, size = measure(tags)
-        blocks = max(1, -(-rows // BLOCK_TAGS), -(-size // BLOCK_BYTES))
-        number = F.pmod(F.xxhash64(group, "tag", "__tag_vec"), F.lit(blocks))
-        parts = [tags.where(number == i) for i in range(blocks)] if blocks > 1 else [tags]
+        parts = tag_blocks(tags, group)
+        if len(parts) > 1:
+            items = cut_lineage(items, "items")  # read once per block, worked out once
         scored = reduce(DataFrame.unionByName, [_arrow_scores(items, p.toArrow(), keep, group, above, digits) for p in parts])
     else:
         raise ValueError(f"no kernel {kernel!r}")
@@ -67,9 +61,32 @@ def similarity_join(items: DataFrame, tags: DataFrame, keep: Sequence[str],
     return scored.where("__floor is null or score >= __floor").drop("__floor", _ANY)
 
 
-def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
-                  above: float | None, digits: int | None) -> DataFrame:
-    """Scores with the tags at hand; what rounding cannot bring to the bounds is left out already."""
+def prepared_items(items: DataFrame, keep: Sequence[str], group: str, item_vec: str, weight: str | None) -> DataFrame:
+    """Rows with a vector and a group: `keep`, group, __vec, __weight."""
+    keep = [c for c in keep if c != group]
+    return items.where(F.col(item_vec).isNotNull() & F.col(group).isNotNull()).select(
+        *keep, F.col(group), F.col(item_vec).alias("__vec"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__weight"))
+
+
+def prepared_tags(tags: DataFrame, group: str, tag_vec: str, floor: str | None) -> DataFrame:
+    """Tags with a vector and a group: group, tag, __tag_vec, __floor."""
+    return tags.where(F.col(tag_vec).isNotNull() & F.col(group).isNotNull()).select(
+        F.col(group), F.col("tag").cast("string").alias("tag"), to_doubles(tag_vec).alias("__tag_vec"),
+        (F.col(floor) if floor else F.lit(None)).cast("double").alias("__floor"))
+
+
+def tag_blocks(tags: DataFrame, group: str, most: int | None = None) -> list[DataFrame]:
+    """Prepared tags, worked out once, in blocks of bounded bytes and rows (`most`, if that is less)."""
+    tags = cut_lineage(tags, "tags")
+    rows, size = measure(tags)
+    blocks = max(1, -(-rows // max(1, min(BLOCK_TAGS, most or BLOCK_TAGS))), -(-size // BLOCK_BYTES))
+    number = F.pmod(F.xxhash64(group, "tag", "__tag_vec"), F.lit(blocks))
+    return [tags.where(number == i) for i in range(blocks)] if blocks > 1 else [tags]
+
+
+def tag_matrices(held, group: str) -> dict:
+    """By group: names, vectors as the columns of a matrix, floors (NaN where there is none)."""
     import numpy as np
     import pyarrow as pa
 
@@ -87,6 +104,13 @@ def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
             raise ValueError(f"tag vectors of {name!r} differ in length")
         matrix = flat.reshape(len(places), -1).T.copy()
         by_group[name] = (names.take(pa.array(places)), matrix, floors[places])
+    return by_group
+
+
+def _arrow_scores(items: DataFrame, held, keep: Sequence[str], group: str,
+                  above: float | None, digits: int | None) -> DataFrame:
+    """Scores with the tags at hand; what rounding cannot bring to the bounds is left out already."""
+    by_group = tag_matrices(held, group)
     shared = items.sparkSession.sparkContext.broadcast(by_group)
     schema = StructType([*[items.schema[c] for c in [*keep, group]],
                          StructField("tag", StringType()), StructField("score", DoubleType()),

@@ -12,6 +12,7 @@ from trendloom.functions.text import category_stop_words, embedding_text_raw, no
 from trendloom.functions.vectors import cosine_from_norms, norm, stable, to_doubles
 from trendloom.operators import filters
 from trendloom.operators.aggregates import max_score
+from trendloom.operators.best import best_of_texts, best_pairs
 from trendloom.operators.corpus import embed_texts, normalize_with_dictionary
 from trendloom.operators.describe import concat_description
 from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
@@ -97,24 +98,28 @@ def _candidates(scores: DataFrame, tags: DataFrame, *more: str) -> DataFrame:
 
 def prefilter(items: DataFrame, trends: DataFrame, above: float = 0.0,
               order_by: Sequence[str] = POS, thresholds: DataFrame | None = None,
-              kernel: str = "arrow") -> DataFrame:
+              kernel: str = "arrow", k: int | None = None) -> DataFrame:
     """Best weighted score per product and tag out of catalog rows with vectors.
 
     Only tags of the row's own category are scored. Cutting at `above`, and
     at the thresholds where they are given, before the maximum is taken
-    leaves the same candidates as cutting after it.
+    leaves the same candidates as cutting after it. With `k` the arrow kernel
+    leaves out what is not among the k best products of a tag in its category,
+    so `top_k` with no more than k gives the same as without.
     """
     filters.require_columns(items, "product_id", "category", "text_embedding")
     tags = cut_lineage(category_tags(trends, order_by, thresholds))
-    scores = similarity_join(
-        filters.default_confidence(items), tags, ["product_id"], weight="confidence",
-        above=above, floor="floor", kernel=kernel)
+    items = filters.default_confidence(items)
+    if kernel == "arrow":
+        scores = best_pairs(items, tags, weight="confidence", above=above, floor="floor", k=k)
+    else:
+        scores = similarity_join(items, tags, ["product_id"], weight="confidence", above=above, floor="floor", kernel=kernel)
     return _candidates(scores, tags)
 
 
 def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
                     order_by: Sequence[str] = POS, thresholds: DataFrame | None = None,
-                    partitions: int | None = None, kernel: str = "arrow") -> DataFrame:
+                    partitions: int | None = None, kernel: str = "arrow", k: int | None = None) -> DataFrame:
     """The candidates of `prefilter`, without a vector per catalog row.
 
     Each distinct text of a category is encoded and scored once; catalog rows
@@ -133,6 +138,10 @@ def prefilter_texts(catalog: DataFrame, trends: DataFrame, encoder: Encoder,
     texts = embed_texts(rows.select(*key).distinct(), "embedding_text", encoder, partitions=partitions)
     texts = texts.withColumn(
         "text_embedding", F.transform(to_doubles("text_embedding"), lambda x: x * F.col("sign")))
+    if kernel == "arrow":
+        bounded = tags.withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        return _candidates(best_of_texts(rows, texts, bounded, key, floor="floor", k=k,
+                                         join=lambda a, b, on: skew_join(a, b, on, "inner")), tags)
     scored = similarity_join(texts, tags, key, above=0.0, kernel=kernel, digits=None)
     packed = scored.groupBy(*key).agg(F.collect_list(F.struct("tag", "score")).alias("scores"))
     floors = tags.select("category", "floor").distinct()

@@ -354,10 +354,10 @@ ORACLE: dict[str, str] = {
       ON l.tag = replace(c.value, ' ', '_') WHERE l.x IS NULL OR l.x <> 0"""),
     "prefilter_topk": sql(f"""
       SELECT product_id, category, tag, region, round(confidence, 6) AS confidence
-      FROM ({top('cand', 'tag, category', 'confidence', 10)})"""),
+      FROM ({top('cand', 'tag, category', 'confidence', 5000)})"""),
     "top_candidates": sql(f"""
       SELECT product_id, category, tag, round(confidence, 6) AS confidence
-      FROM ({top('cat_cand', 'tag, category', 'confidence', 20)})"""),
+      FROM ({top('cat_cand', 'tag, category', 'confidence', 5000)})"""),
     "cosine_rerank_top": sql(f"""
       SELECT vec_id, product_id, category, round(cosine_similarity, 6) AS cosine_similarity
       FROM ({top('cosines', 'category', 'cosine_similarity', 15, 'vec_id')})""",

@@ -105,8 +105,8 @@ def min_score_filter(spark, sf):
     return kept.select("category", "product_id", "tag", r6("confidence"))
 
 
-def _candidates(spark, sf):
-    return matching.prefilter(views.items(spark, sf), views.tags(spark, sf))
+def _candidates(spark, sf, k=None):
+    return matching.prefilter(views.items(spark, sf), views.tags(spark, sf), k=k)
 
 
 @query
@@ -142,15 +142,15 @@ def lookup_tag_vector(spark, sf):
 
 @query
 def prefilter_topk(spark, sf):
-    best = ranking.top_k(_candidates(spark, sf), k=10)
+    best = ranking.top_k(_candidates(spark, sf, 5000), k=5000)
     return ranking.sort_mapping(best.select("product_id", "category", "tag", "region", "confidence"),
                                 "confidence").withColumn("confidence", F.round("confidence", 6))
 
 
 @query
 def top_candidates(spark, sf):
-    """Best 20 products per tag and category of the whole catalog, by text."""
-    best = ranking.top_k(_text_candidates(spark, sf), k=20)
+    """Best 5000 products per tag and category of the whole catalog, by text."""
+    best = ranking.top_k(_text_candidates(spark, sf, 5000), k=5000)
     return best.select("product_id", "category", "tag", r6("confidence"))
 
 
@@ -400,9 +400,9 @@ def model_embed(spark, sf):
     return places.where("x != 0").select("embedding_text", "rows", "place", r6("x"))
 
 
-def _text_candidates(spark, sf):
+def _text_candidates(spark, sf, k=None):
     rows = matching.catalog_texts(views.catalog(spark, sf))
-    return matching.prefilter_texts(rows, views.part_trends(spark, sf), views.ENCODER)
+    return matching.prefilter_texts(rows, views.part_trends(spark, sf), views.ENCODER, k=k)
 
 
 @query
@@ -424,7 +424,7 @@ def _mapping(spark, sf):
     rows = matching.catalog_texts(views.catalog(spark, sf))
     trends = cut_lineage(views.part_trends(spark, sf))
     thresholds = views.thresholds(spark)
-    found = matching.prefilter_texts(rows, trends, views.ENCODER, thresholds=thresholds)
+    found = matching.prefilter_texts(rows, trends, views.ENCODER, thresholds=thresholds, k=5000)
     kept = matching.apply_thresholds(found, thresholds, ranking.dedupe_first(
         trends, ["tag_embedding_text", "region", "category"], ["pos"]))
     return matching.map_trends(kept, views.catalog(spark, sf), trends, views.ENCODER,
