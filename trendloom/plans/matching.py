@@ -162,11 +162,14 @@ def apply_thresholds(candidates: DataFrame, thresholds: DataFrame | None, trends
     return attach_description(filters.filter_denylist(kept), trends)
 
 
-def describe_products(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Description of each candidate product out of the allowed attribute types."""
+def describe_products(catalog: DataFrame, candidates: DataFrame, together: bool = False) -> DataFrame:
+    """Description of each candidate product out of the allowed attribute types.
+
+    `together`: the catalog is a table bucketed by product (`write_bucketed`); it is not shuffled then.
+    """
     rows = filters.filter_attribute_types(catalog).select(
         "product_id", "standardize_type_updated", "normalised_name", "pos")
-    return concat_description(semi_by(rows, candidates, "product_id"))
+    return concat_description(semi_by(rows, candidates, "product_id"), together=together)
 
 
 def publish(mapping: DataFrame, trends: DataFrame, mapping_path: str, tags_path: str) -> None:
@@ -178,14 +181,14 @@ def publish(mapping: DataFrame, trends: DataFrame, mapping_path: str, tags_path:
 
 def map_trends(candidates: DataFrame, catalog: DataFrame, trends: DataFrame, encoder: Encoder,
                start_date: str, end_date: str, first_k: int = 5000, final_k: int = 1000,
-               order_by: Sequence[str] = POS) -> DataFrame:
+               order_by: Sequence[str] = POS, together: bool = False) -> DataFrame:
     """The best products per tag and category, ranked by description against tag.
 
-    Pass filtered candidates to have thresholds and denied tags reach the
+    `together`: the catalog is bucketed by product, see `describe_products`. Pass filtered candidates to have thresholds and denied tags reach the
     mapping, or all of them to leave both out.
     """
     best = cut_lineage(top_k(candidates, k=first_k))
-    described = describe_products(catalog, best)
+    described = describe_products(catalog, best, together)
     # saved, as a filter on the vector would have the encoder run for itself
     products = cut_lineage(described.where("product_id is not null and product_description is not null").select(
         "product_id", encoder(F.col("product_description")).cast("array<double>").alias("embeddings")), "products")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType
 
-from trendloom.session import cut_lineage, scratch_path
+from trendloom.session import cut_lineage
+from trendloom.sources.named_files import write_named_files
 
 
 def write_partitioned(df: DataFrame, root: str, by: str = "category", rebalance: bool = True) -> None:
@@ -33,34 +34,35 @@ def write_trends_csv(df: DataFrame, path: str) -> None:
 def write_trend_json(df: DataFrame, folder: str, json: str = "trends_json") -> None:
     """A file `<category>.json` per row, with its JSON text as it came.
 
-    Files of other categories stay. A category that occurs twice, or is null,
-    is refused before anything is written. Characters that a file name cannot
-    hold are percent-encoded. Spark writes a part file per category beside the
-    folder; each is then moved to its name.
+    Files of other categories stay. A category that occurs twice, or is null or
+    empty, is refused before anything is written. Tasks write the files; they
+    get their names once all are written, so a run that fails changes nothing.
+    Characters that a file name cannot hold are percent-encoded.
     """
-    spark = df.sparkSession
-    df = cut_lineage(df.select("category", F.col(json).alias("value")), "trend-json")
-    bad = df.groupBy("category").count().where("count > 1 or category is null").select("category").take(1)
+    rows = cut_lineage(df.select(F.col("category").cast("string").alias("name"), F.col(json).cast("string").alias("value")),
+                       "trend-json")
+    bad = rows.groupBy("name").count().where("count > 1 or name is null or name = ''").select("name").take(1)
     if bad:
-        raise ValueError(f"one row per category is expected; there are more, or no name, for {bad[0]['category']!r}")
-    staged = scratch_path(spark, "trend-json")
-    df.repartition("category").write.partitionBy("category").text(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = hadoop.Path(folder)
-    there = target.getFileSystem(conf)
-    there.mkdirs(target)
-    source = hadoop.Path(staged)
-    files = source.getFileSystem(conf)
-    for place in files.listStatus(source):
-        name = place.getPath().getName()
-        if name.startswith("category="):
-            for part in files.listStatus(place.getPath()):
-                if part.getPath().getName().startswith("part-"):
-                    new = hadoop.Path(target, name.removeprefix("category=") + ".json")
-                    there.delete(new, False)
-                    hadoop.FileUtil.copy(files, part.getPath(), there, new, True, conf)
-    files.delete(source, True)
+        raise ValueError(f"one row per category is expected; there are more, or no name, for {bad[0]['name']!r}")
+    write_named_files(rows, folder, ".json")
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, by: str = "product_id", buckets: int = 64,
+                   hot_rows: int = 1 << 20) -> bool:
+    """A table whose rows lie together by `by`, so that joins and groups on it need no shuffle of the table.
+
+    One task writes each bucket, in order of the key. A key of over `hot_rows`
+    rows would make a bucket that one task has to read; then the table is
+    written without buckets, False is returned, and joins shuffle, where Spark
+    splits such a key.
+    """
+    hot = not df.groupBy(by).count().where(F.col("count") > hot_rows).isEmpty()
+    rows = df if hot else df.repartition(buckets, by)
+    writer = rows.write.mode("overwrite").option("path", path)
+    if not hot:
+        writer = writer.bucketBy(buckets, by).sortBy(by)
+    writer.saveAsTable(table)
+    return not hot
 
 
 def write_requests(df: DataFrame, path: str, request: str | Column = "request") -> None:

@@ -558,4 +558,5 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["model_embed"] = ORACLE["hash_embed"]
 ORACLE["similarity_native_kernel"] = ORACLE["weighted_similarity"]
+ORACLE["bucketed_description"] = ORACLE["catalog_description"]
 ORACLE["catalog_candidates_by_row"] = ORACLE["catalog_candidates"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -276,6 +277,15 @@ def catalog_description(spark, sf):
     return matching.describe_products(views.catalog(spark, sf), cheap)
 
 
+@query
+def bucketed_description(spark, sf):
+    """The descriptions out of a catalog table bucketed by product, which is read without a shuffle."""
+    name = f"catalog_{uuid.uuid4().hex}"
+    together = writers.write_bucketed(views.catalog(spark, sf), name, scratch_path(spark, name), buckets=16)
+    cheap = _part_scores(spark, sf).where("confidence >= 0.2")
+    return matching.describe_products(spark.table(name), cheap, together)
+
+
 @query
 def catalog_for_candidates(spark, sf):
     discounted = views.table(spark, sf, "lineitem").where("l_discount >= 0.1").select(
