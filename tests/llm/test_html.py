@@ -87,3 +87,38 @@ def test_smoothing():
     assert np.allclose(smoothed(np.ones(7)), 1) and len(smoothed(np.arange(1.0))) == 1
     peak = smoothed(np.array([0, 0, 0, 9.0, 0, 0, 0]))
     assert np.argmax(peak) == 3 and peak[2] == peak[4] > peak[1]
+
+
+STORY = "<p>The story goes on for a while, with many words in it, and then it ends here again.</p>"
+
+
+@pytest.mark.parametrize("before, behind", [
+    ("<p>Posted by Bob</p>", '<div class="x2"><a>Older post</a> <a>Newer post</a></div>'),
+    ("", "<p>Call us</p><p>Terms</p><p>Imprint</p>"), ("<div><b>Menu</b></div><p>Skip to text</p>", "<table><tr><td>1</td><td>2</td></tr></table>"),
+    ("<article><p>A teaser.</p></article>", "<article><p>Another teaser</p></article>")])
+def test_short_lines_and_links_beside_a_story(before, behind):
+    for frame in ("{}", "<div>{}</div>", "<div><h1>Head</h1>{}<p>So it was.</p></div>"):
+        story = frame.format(STORY * 4)
+        expected = " ".join(re.sub("<[^>]*>", " ", story).split())
+        assert main_text(f"<html><body>{before}{story}{behind}</body></html>") == expected
+
+
+def test_pages_without_article_elements(spark):
+    """The ratios find the article of at least 98 of 100 given pages when nothing marks it."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(article|main)\b", r"<\1div", page) for page in pages]
+    assert sum(main_text(a) == main_text(b) for a, b in zip(pages, bare)) >= 0.98 * len(pages)
+
+
+def test_ratios_decide(monkeypatch):
+    page = f"<body><p>Posted by Bob</p><div><p>{LONG}</p><p>{LONG}</p></div><p>Terms</p><p>Imprint</p><p>Call us</p></body>"
+    with_ratios = main_text(page)
+    monkeypatch.setattr("trendloom.llm.html.clusters", lambda ratios: ([(0, len(ratios))], 0.0))
+    monkeypatch.setattr("trendloom.llm.html.WEAK", 0.0)
+    assert with_ratios == " ".join(f"{LONG} {LONG}".split()) != main_text(page)
+
+
+def test_a_second_cluster_of_some_size_stays():
+    ads = "".join(f"<li><a>Link number {i}</a> x</li>" for i in range(9))
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><ul>{ads}</ul><div><p>{LONG}</p></div></body>"
+    assert main_text(page) == " ".join(f"{LONG} {LONG} {LONG}".split())

@@ -1,11 +1,13 @@
 """Main text of web pages from a stream of parser events.
 
-Block elements cut a page into lines. Each line has a ratio of its text to
-its tags; the ratios are smoothed with a Gaussian and lines above a threshold
-are content. The innermost element that holds all content lines is the article,
-if none is marked as one: all its lines, short ones too, are the text, but for
-parts that a page itself marks as something else (menus, forms, adverts,
-comments and so on).
+Block elements cut a page into lines. Each line has a ratio of its text, links
+not counted, to its tags; the ratios are smoothed with a Gaussian, and runs of
+lines above a threshold are clusters. The cluster of most text, and others that
+come near it, are the article; lines at their edges that are neither dense nor
+a sentence nor a heading are cut off. What a page says by its elements adds to
+that: an article element that holds most of the clusters' text is taken whole,
+and parts marked as something else (menus, forms, adverts, comments and so on)
+are left out before.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from trendloom.llm.common import map_texts
 SIGMA, REACH = 1.0, 3
 #: Content lines have a smoothed ratio of at least this share of its standard deviation.
 THRESHOLD = 0.5
+#: Clusters of at least this share of the largest one's text are kept too, as are those of its innermost element.
+SHARE = 0.25
+#: Lines at an edge are weak below this share of the page's ratio, each line weighted by its text.
+WEAK = 0.2
 #: List items in a row, all of them links, that make a menu.
 MENU = 3
 
@@ -42,6 +48,8 @@ SKIPPED_WORDS = frozenset(
     "copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo related replies search share sharing sidebar signup social sponsor sponsored subscribe "
     "toolbar widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*$""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -58,11 +66,11 @@ def _marked(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, characters in links, tags, list item or not, and the elements around it."""
+    """Lines of a page: text, characters in links, tags, list item or not, heading or not, and the elements around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
         #: Open elements: name, number of its container (0: none), what it hides.
         self.open: list[tuple[str, int, bool]] = []
         self.names: dict[str, int] = {}
@@ -75,7 +83,8 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.linked, self.tags, self.names.get("li", 0) > 0, self.around))
+            heading = any(self.names.get(h) for h in HEADINGS)
+            self.lines.append((text, self.linked, self.tags, self.names.get("li", 0) > 0, heading, self.around))
         self.parts, self.linked, self.tags = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -142,13 +151,13 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool, dict[int, str]]]:
+def lines_of(html: str) -> list[tuple[str, int, int, bool, bool, dict[int, str]]]:
     """Lines as `Lines` has them, with the names of the containers around by number."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    return [(*line[:4], {i: parser.containers[i] for i in line[4]}) for line in parser.lines]
+    return [(*line[:5], {i: parser.containers[i] for i in line[5]}) for line in parser.lines]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -171,6 +180,52 @@ def _menus(lines: list) -> set[int]:
     return found
 
 
+def clusters(ratios: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """Runs (first line, line behind the last) of smoothed ratios at or above the threshold, and the threshold."""
+    level = smoothed(ratios)
+    least = THRESHOLD * float(level.std())
+    steps = np.diff(np.concatenate([[False], level >= least, [False]]).astype(np.int8))
+    return list(zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True)), least
+
+
+def content_lines(lines: list) -> list[int]:
+    """Places of the lines that the clusters choose."""
+    own = [max(0, len(line[0]) - line[1]) for line in lines]
+    ratios = np.array([n / max(1, line[2]) for n, line in zip(own, lines, strict=True)])
+    runs, least = clusters(ratios)
+
+    least = max(least, WEAK * float(np.average(ratios, weights=own))) if any(own) else least
+
+    def weak(i: int) -> bool:
+        """Neither dense nor a sentence nor a heading."""
+        text, linked, _, _, heading, _ = lines[i]
+        return not heading and (ratios[i] < least or linked * 2 > len(text)) and not (own[i] and _SENTENCE.search(text))
+
+    cut = []
+    for first, end in runs:
+        while first < end and weak(first):
+            first += 1
+        while first < end and weak(end - 1):
+            end -= 1
+        if first < end:
+            cut.append((first, end))
+    if not cut:
+        return []
+    weights = [sum(own[a:b]) for a, b in cut]
+    main = cut[weights.index(max(weights))]
+    home = max(set(lines[main[0]][5]).intersection(*(lines[i][5] for i in range(*main))), default=0)
+    inside = {i for i, line in enumerate(lines) if home and lines[main[0]][5][home] != "body" and home in line[5]}
+    kept = [c for c, w in zip(cut, weights, strict=True) if w >= SHARE * max(weights) or inside.issuperset(range(*c))]
+    first, end = kept[0][0], kept[-1][1]
+    # an article goes on over short lines: its headings before, and sentences of the same element
+    while first and (lines[first - 1][4] or first - 1 in inside and not weak(first - 1)):
+        first -= 1
+    while end < len(lines) and end in inside and not weak(end):
+        end += 1
+    chosen = {i for a, b in kept for i in range(a, b)}
+    return [i for i in range(first, end) if i in chosen or 2 * lines[i][1] <= len(lines[i][0])]
+
+
 def main_text(html: str | None) -> str:
     """The article's lines in page order, joined by one space; empty if there is none."""
     lines = lines_of(html) if html else []
@@ -178,19 +233,21 @@ def main_text(html: str | None) -> str:
     lines = [line for i, line in enumerate(lines) if i not in menus]
     if not lines:
         return ""
-    ratios = np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, *_ in lines])
-    level = smoothed(ratios)
-    content = level >= THRESHOLD * level.std()
-    if not content.any():
-        content[:] = True
-    chosen = [line[4] for line, c in zip(lines, content.tolist(), strict=True) if c]
-    articles = {n for around in chosen for n, name in around.items() if name in ARTICLES}
-    if not articles:
-        # numbers grow inwards, so the greatest of those around all content lines is the innermost
-        shared = set(chosen[0]).intersection(*chosen[1:])
-        articles = {max(shared)} if shared else set()
-    kept = [line[0] for line in lines if not articles or articles & line[4].keys()]
-    return " ".join(kept)
+    chosen = content_lines(lines) or range(len(lines))
+    total = sum(len(lines[i][0]) for i in chosen)
+    held: dict[int, int] = {}
+    for i in chosen:
+        for n, name in lines[i][5].items():
+            if name in ARTICLES:
+                held[n] = held.get(n, 0) + len(lines[i][0])
+    # numbers grow inwards: the outermost that holds most of the text, else all if they do together
+    marked = [n for n, size in sorted(held.items()) if 2 * size > total][:1]
+    if not marked and 2 * sum(len(lines[i][0]) for i in chosen if not lines[i][5].keys().isdisjoint(held)) > total:
+        marked = list(held)
+    if marked:
+        return " ".join(line[0] for line in lines if not line[5].keys().isdisjoint(marked))
+    # elements marked as articles that hold little are others, such as teasers
+    return " ".join(lines[i][0] for i in chosen if lines[i][5].keys().isdisjoint(held))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
