@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from trendloom.functions.expr import drop_nan
@@ -65,6 +65,29 @@ def filter_audit(df: DataFrame, predicate: Column, by: Sequence[str] = ()) -> Da
         F.count_if(~passes).alias("rows_dropped"))
 
 
+def observed_filters(df: DataFrame, filters: Sequence[tuple[str, Column]],
+                     name: str = "filters") -> tuple[DataFrame, Observation]:
+    """Rows that pass all filters, one after the other, and their counts from the run that uses those rows.
+
+    Nothing is scanned twice: the observation is filled by the first action
+    on the result. Read it with `filter_report`, after that action. A filter
+    that gives null drops the row.
+    """
+    seen, passes = Observation(name), F.lit(True)
+    counts = [F.count(F.lit(1)).alias("rows_in")]
+    for filter_name, predicate in filters:
+        passes = passes & F.coalesce(predicate, F.lit(False))
+        counts.append(F.count_if(passes).alias(filter_name))
+    return df.observe(seen, *counts).where(passes), seen
+
+
+def filter_report(seen: Observation) -> list[dict]:
+    """filter, rows_in, rows_kept, rows_dropped of each filter in turn."""
+    counts = list(seen.get.items())
+    return [{"filter": name, "rows_in": before, "rows_kept": kept, "rows_dropped": before - kept}
+            for (_, before), (name, kept) in zip(counts, counts[1:], strict=False)]
+
+
 def mean_pool(df: DataFrame, key: Sequence[str], vec: str, dim: int | None = None, mask: str | None = None,
               eps: float = 1e-9, out: str = "embedding") -> DataFrame:
     """Masked mean of the vectors of each key; a null place counts as zero.

@@ -48,10 +48,15 @@ def filter_not_null(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def not_denied(denied: Sequence[str] = tuple(voc.DENIED_TAGS), tag: str = "tag") -> Column:
+    """Whether a tag is none of those named, spelled with underscores or with blanks throughout."""
+    spellings = [*denied, *[t.replace("_", " ") for t in denied]]
+    return ~F.coalesce(F.col(tag).isin(spellings), F.lit(False))
+
+
 def filter_denylist(df: DataFrame, denied: Sequence[str] = tuple(voc.DENIED_TAGS)) -> DataFrame:
     """Drop the named tags, spelled with underscores or with blanks throughout."""
-    spellings = [*denied, *[t.replace("_", " ") for t in denied]]
-    return df.where(~F.coalesce(F.col("tag").isin(spellings), F.lit(False)))
+    return df.where(not_denied(denied))
 
 
 def filter_attribute_types(df: DataFrame,

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from trendloom.functions import vocabulary as voc
 from trendloom.functions.encoders import Encoder
 from trendloom.functions.text import category_stop_words, embedding_text_raw, normalize_text
 from trendloom.functions.vectors import cosine_from_norms, norm, stable, to_doubles
 from trendloom.operators import filters
-from trendloom.operators.aggregates import max_score
+from trendloom.operators.aggregates import max_score, observed_filters
 from trendloom.operators.best import best_of_texts, best_pairs
 from trendloom.operators.corpus import embed_texts, normalize_with_dictionary
 from trendloom.operators.describe import concat_description
-from trendloom.operators.joins import (attach_description, attach_product_vector, global_tag_vectors,
+from trendloom.operators.joins import (attach_description, attach_product_vector, attach_threshold, global_tag_vectors,
                                        lookup_tag_vector, semi_by, tag_meta, tags_in_output)
 from trendloom.operators.ranking import top_k
 from trendloom.operators.similarity import similarity_join
@@ -162,6 +162,20 @@ def apply_thresholds(candidates: DataFrame, thresholds: DataFrame | None, trends
     return attach_description(filters.filter_denylist(kept), trends)
 
 
+def apply_thresholds_observed(candidates: DataFrame, thresholds: DataFrame | None,
+                              trends: DataFrame) -> tuple[DataFrame, Observation]:
+    """`apply_thresholds`, with the rows that each filter keeps counted by the run that uses the result.
+
+    See `filter_report` for reading the counts.
+    """
+    bound = candidates.withColumn("threshold", F.lit(None).cast("double")) if thresholds is None else attach_threshold(
+        candidates, thresholds)
+    kept, seen = observed_filters(bound, [
+        ("category threshold", F.lit(True) if thresholds is None else F.col("confidence") >= F.col("threshold")),
+        ("denied tags", filters.not_denied())], "thresholds")
+    return attach_description(kept.drop("threshold"), trends), seen
+
+
 def describe_products(catalog: DataFrame, candidates: DataFrame, together: bool = False) -> DataFrame:
     """Description of each candidate product out of the allowed attribute types.
 

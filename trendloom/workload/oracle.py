@@ -558,5 +558,11 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["model_embed"] = ORACLE["hash_embed"]
 ORACLE["similarity_native_kernel"] = ORACLE["weighted_similarity"]
+ORACLE["incremental_vectors"] = ORACLE["incremental_catalog"]
+ORACLE["filters_observed"] = """
+  WITH n AS (SELECT count(*) AS a, count(*) FILTER (l_discount >= 0.05) AS b,
+                    count(*) FILTER (l_discount >= 0.05 AND l_returnflag = 'R') AS c FROM lineitem)
+  SELECT 'discounted' AS filter, a AS rows_in, b AS rows_kept, a - b AS rows_dropped FROM n
+  UNION ALL SELECT 'returned', b, c, b - c FROM n"""
 ORACLE["bucketed_description"] = ORACLE["catalog_description"]
 ORACLE["catalog_candidates_by_row"] = ORACLE["catalog_candidates"]

@@ -17,7 +17,7 @@ from trendloom.plans import matching, trends as trend_plans
 from trendloom.schemas import TAGS_CSV
 from trendloom.session import cut_lineage, scratch_path
 from trendloom.sources import readers, writers
-from trendloom.streaming.incremental import incremental_embed, skip_done
+from trendloom.streaming.incremental import embed_arrivals, incremental_embed, skip_done
 from trendloom.workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,6 +761,29 @@ def incremental_catalog(spark, sf):
     return places.where("x != 0").withColumn("x", F.round("x", 6))
 
 
+@query
+def incremental_vectors(spark, sf):
+    """Catalog files arriving twice; a text that is known from the first arrival is not encoded again."""
+    src, out, vectors, log = (scratch_path(spark, n) for n in ("arrivals", "embedded", "vectors", "progress"))
+    catalog = views.catalog(spark, sf)
+    for part in (0, 1):
+        catalog.where(F.col("product_id") % 2 == part).write.mode("append").partitionBy("category").parquet(src)
+        embed_arrivals(spark, src, out, vectors, log, matching.catalog_texts, views.MODEL, catalog.schema)
+    places = readers.read_catalog(spark, out).select(
+        "category", "product_id", "pos", "embedding_text", F.posexplode("text_embedding").alias("place", "x"))
+    return places.where("x != 0").withColumn("x", F.round("x", 6))
+
+
+@query
+def filters_observed(spark, sf):
+    """Rows in, kept and dropped by each of two filters, counted while the kept rows are written."""
+    kept, seen = agg.observed_filters(views.table(spark, sf, "lineitem"), [
+        ("discounted", F.col("l_discount") >= 0.05), ("returned", F.col("l_returnflag") == "R")])
+    cut_lineage(kept.select("l_orderkey"), "kept")
+    rows = [tuple(r.values()) for r in agg.filter_report(seen)]
+    return spark.createDataFrame(rows, "filter string, rows_in bigint, rows_kept bigint, rows_dropped bigint")
+
+
 @query
 def incremental_texts(spark, sf):
     """Documents arriving as files, each processed once over two runs."""
