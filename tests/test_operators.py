@@ -277,6 +277,28 @@ def test_messy_trend_files(spark):
         ("mixed", "notes", None, "market is no list"), ("mixed", "trending_tags_global", 1, "trend is no object")], key=repr)
 
 
+def test_trend_files_are_parsed_once(spark):
+    raw = spark.createDataFrame([("a", '{"m": [{"trend_name": "A", "mood": {"x": [1, null]}, "tone": null}], "m2": null}'),
+                                 ("twice", '{"m": [], "m": []}')], "category string, value string")
+    flat = reshape.flatten_markets(raw)
+    assert [(r["trend_name"], r["extra"]) for r in flat.collect()] == [("A", {"mood": '{"x":[1,null]}', "tone": None})]
+    for df in (flat, reshape.market_rejects(raw)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parsejson") == 1 and "from_json(map" not in plan
+    assert [r["category"] for r in reshape.market_rejects(raw).collect()] == ["twice"]
+
+
+def test_wide_scores_refuse_too_many_tags(spark):
+    scores = spark.range(5).selectExpr("1 AS product_id", "concat('t', id) AS tag", "0.5D AS confidence")
+    spark.conf.set("spark.sql.pivotMaxValues", 4)
+    try:
+        with pytest.raises(ValueError, match="over 4 tags"):
+            reshape.scores_to_wide(scores)
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    assert len(reshape.scores_to_wide(scores).columns) == 6
+
+
 def test_union_and_sets(spark):
     a, b = spark.createDataFrame([(1,)], "x long"), spark.createDataFrame([(2, "q")], "x long, y string")
     assert rows(reshape.union_all([a, b])) == [(1, None), (2, "q")]

@@ -26,10 +26,15 @@ def scores_to_wide(scores: DataFrame, tags: Sequence[str] | None = None, keys: S
     """One column per tag, for export: all tags there are, or those named.
 
     Naming the tags spares a pass over the scores; a score of another tag is
-    then an error, as it would have no column.
+    then an error, as it would have no column. Unnamed, more tags than Spark
+    pivots by (`spark.sql.pivotMaxValues`) are refused.
     """
     if tags is None:
-        tags = sorted(r["tag"] for r in scores.select("tag").where("tag is not null").distinct().collect())
+        most = int(scores.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        names = scores.select("tag").where("tag is not null").distinct().limit(most + 1).collect()
+        if len(names) > most:
+            raise ValueError(f"over {most} tags are too many columns; name those to export")
+        tags = sorted(r["tag"] for r in names)
     else:
         stray = F.raise_error(F.concat(F.lit("no column is named for the tag "), F.col("tag")))
         scores = scores.withColumn("tag", F.when(F.col("tag").isNull() | F.col("tag").isin(list(tags)), F.col("tag"))
@@ -50,19 +55,24 @@ _LIST_FIELDS = [f.name for f in TREND.fields if f.dataType.typeName() == "array"
 
 
 def _markets(raw: DataFrame, json: str | Column) -> DataFrame:
-    """One row per market of each file; a file that is no JSON object is one row without a market."""
+    """One row per market of each file; a file that is no JSON object is one row without a market.
+
+    The text is parsed here, once; what follows takes its parts out of the variant.
+    """
     json = F.col(json) if isinstance(json, str) else json
     others = [c for c in raw.columns if c != "value"]
-    whole = F.from_json(json, "map<string,string>")
-    readable = F.try_parse_json(json).isNotNull() & whole.isNotNull()
-    return raw.select(*others, json.alias("__file"), F.explode_outer(F.when(readable, whole)).alias("market_key", "__market"))
+    parsed = raw.select(*others, json.alias("__file"), F.try_parse_json(json).alias("__parsed"))
+    whole = parsed.select(*others, "__file", F.try_variant_get("__parsed", "$", "map<string,variant>").alias("__whole"))
+    return whole.select(*others, "__file", F.col("__whole").isNotNull().alias("__object"),
+                        F.explode_outer("__whole").alias("market_key", "__market"))
 
 
 def _trends(markets: DataFrame) -> DataFrame:
     """One row per entry of each market, in order; a market that is no list is one row without an entry."""
-    entries = F.from_json("__market", "array<string>")
-    listed = strip(F.col("__market")).startswith("[") & entries.isNotNull()
-    return markets.select("*", listed.alias("__listed"), F.posexplode_outer(F.when(listed, entries)).alias("trend_no", "__trend"))
+    listed = markets.withColumn("__entries", F.try_variant_get("__market", "$", "array<variant>"))
+    rows = listed.select(*markets.columns, F.col("__entries").isNotNull().alias("__listed"),
+                         F.posexplode_outer("__entries").alias("trend_no", "__trend"))
+    return rows.withColumn("__fields", F.try_variant_get("__trend", "$", "map<string,variant>"))
 
 
 def _string_list(text: Column) -> Column:
@@ -76,23 +86,25 @@ def flatten_markets(raw: DataFrame, json: str | Column = "value") -> DataFrame:
 
     Fields are brought to their types: numbers in quotes, and one text where a
     list belongs. Keys that a trend has besides are kept as text in `extra`.
-    What cannot be a trend is in `market_rejects`.
+    What cannot be a trend is in `market_rejects`; so is a file that names a
+    key twice, as its variant could hold one of them only.
     """
     others = [c for c in raw.columns if c != "value"]
-    rows = _trends(_markets(raw, json)).withColumn("__fields", F.from_json("__trend", "map<string,string>"))
-    rows = rows.where(strip(F.col("__trend")).startswith("{") & F.col("__fields").isNotNull())
+    rows = _trends(_markets(raw, json)).where("__fields is not null")
 
     def field(f) -> Column:
-        text = F.try_element_at("__fields", F.lit(f.name))
+        text = F.try_variant_get("__trend", f"$.{f.name}", "string")
         if f.name in _LIST_FIELDS:
-            return let(text, _string_list).alias(f.name)
+            listed = F.try_variant_get("__trend", f"$.{f.name}", "array<string>")
+            return F.coalesce(listed, let(text, _string_list)).alias(f.name)
         return text.try_cast(f.dataType).alias(f.name)
 
     known = [f.name for f in TREND.fields]
-    extra = F.map_filter("__fields", lambda k, v: ~k.isin(known))
+    unknown = F.map_filter("__fields", lambda k, v: ~k.isin(known))
+    extra = F.transform_values(unknown, lambda k, v: F.try_variant_get(v, "$", "string"))
     return rows.select(
         *others, label_market("market_key").alias("market"), "market_key", "trend_no",
-        *[field(f) for f in TREND.fields], F.when(F.size(extra) > 0, extra).alias("extra"))
+        *[field(f) for f in TREND.fields], F.when(F.size(unknown) > 0, extra).alias("extra"))
 
 
 def market_rejects(raw: DataFrame, json: str | Column = "value") -> DataFrame:
@@ -102,13 +114,14 @@ def market_rejects(raw: DataFrame, json: str | Column = "value") -> DataFrame:
     """
     others = [c for c in raw.columns if c != "value"]
     rows = _trends(_markets(raw, json))
-    trend = F.from_json("__trend", "map<string,string>")
     whole = F.col("market_key").isNull()
-    no_object = F.try_parse_json("__file").isNull() | ~F.coalesce(strip(F.col("__file")).startswith("{"), F.lit(False))
-    reason = (F.when(whole, F.when(no_object, "file is no object"))
-              .when(F.col("__market").isNotNull() & ~F.col("__listed"), "market is no list")
-              .when(F.col("trend_no").isNotNull() & ~F.coalesce(
-                  strip(F.col("__trend")).startswith("{") & trend.isNotNull(), F.lit(False)), "trend is no object"))
-    text = F.when(whole, F.col("__file")).otherwise(F.coalesce("__trend", "__market"))
+    # a market or trend of null is a variant that holds a null
+    some = ~F.coalesce(F.is_variant_null("__market"), F.lit(True))
+    reason = (F.when(whole, F.when(~F.col("__object"), "file is no object"))
+              .when(some & ~F.col("__listed"), "market is no list")
+              .when(F.col("trend_no").isNotNull() & F.col("__fields").isNull(), "trend is no object"))
+    part = F.coalesce("__trend", "__market")
+    text = F.when(whole, F.col("__file")).otherwise(
+        F.coalesce(F.try_variant_get(part, "$", "string"), F.to_json(part)))
     return rows.select(*others, "market_key", "trend_no", reason.alias("reject_reason"), text.alias("refused")).where(
         "reject_reason is not null")
