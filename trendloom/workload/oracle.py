@@ -106,6 +106,32 @@ def normalized_tag(source: str, tag: str) -> str:
     GROUP BY id"""
 
 
+def learned_rules(pairs: str, longest: int = 6, min_words: int = 2) -> str:
+    """Query (ending, cut, added): the rule of each ending, learned from `pairs(token, lemma)`."""
+    return f"""
+    SELECT ending, cut, added FROM (
+      SELECT ending, cut, added, count(*) AS words FROM (
+        SELECT cut, added, unnest(list_concat(
+                 list_transform(range(greatest(cut, 1), least(length(token), {longest}) + 1), lambda n: right(token, n)),
+                 ['^' || token])) AS ending
+        FROM (SELECT token, length(token) - kept AS cut, substr(lemma, kept + 1) AS added FROM (
+          SELECT token, lemma, list_max(list_filter(range(0, least(length(token), length(lemma)) + 1),
+                 lambda n: left(token, n) = left(lemma, n))) AS kept FROM {pairs})))
+      GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY ending ORDER BY words DESC, cut, added DESC) = 1
+        AND (words >= {min_words} OR ending[1] = '^')"""
+
+
+def learned(words: str, rules: str, longest: int = 6) -> str:
+    """Query (token, lemma): by the longest ending of each of `words(token)` that has one of the `rules`."""
+    return f"""
+    SELECT w.token, CASE WHEN r.cut IS NULL THEN w.token ELSE left(w.token, length(w.token) - r.cut) || r.added END AS lemma
+    FROM (SELECT token, unnest(list_concat(
+            list_transform(range(1, least(length(token), {longest}) + 1), lambda n: right(token, n)), ['^' || token])) AS ending
+          FROM {words}) w LEFT JOIN {rules} r USING (ending)
+    QUALIFY row_number() OVER (PARTITION BY w.token ORDER BY r.cut IS NULL, length(w.ending) DESC) = 1"""
+
+
 def hashed(source: str, column: str, dim: int = 64) -> str:
     """Query (text, vec): the hashed unit vector of each distinct text."""
     return f"""
@@ -425,6 +451,26 @@ ORACLE: dict[str, str] = {
                    f"FROM part)), {x}) THEN 'x' || {x} ELSE {lemma(x)} END)"))),
     "normalize_tag": sql("SELECT id AS tag, text AS preprocessed_tag FROM tag_norm", tag_norm=normalized_tag(
         "part", "p_name || '_' || p_type || '_' || p_size || '_2nd Dresses  small'")),
+    "learned_lemmas": f"""
+      WITH words AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM documents),
+      known AS (SELECT token, {lemma('token')} AS lemma FROM words WHERE left(md5(token), 1) < 'c'),
+      rules AS ({learned_rules('known')}), done AS ({learned('words', 'rules')})
+      SELECT token, left(md5(token), 1) < 'c' AS known, lemma FROM done""",
+    "learned_tags": f"""
+      WITH tags AS (SELECT DISTINCT p_name || '_' || p_type || '_2nd' AS tag FROM part),
+      words AS (SELECT DISTINCT CASE tok WHEN '2nd' THEN 'second' ELSE tok END AS token, tok = '2nd' AS number FROM (
+        SELECT unnest(string_split_regex(lower(tag), '[_ ]+')) AS tok FROM tags)),
+      known AS (SELECT token, left(token, length(token) - 1) AS lemma FROM words
+                WHERE NOT number AND length(token) BETWEEN 4 AND 6),
+      rules AS ({learned_rules('known')}),
+      done AS ({learned('(SELECT DISTINCT token FROM words)', 'rules')})
+      SELECT tag, string_agg(lemma, ' ' ORDER BY i) AS preprocessed_tag FROM (
+        SELECT tag, lemma, min(i) AS i FROM (
+          SELECT tag, i, CASE tok WHEN '2nd' THEN 'second' ELSE tok END AS token FROM (
+            SELECT tag, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+            FROM (SELECT tag, string_split_regex(lower(tag), '[_ ]+') AS toks FROM tags)))
+        JOIN done USING (token) GROUP BY tag, lemma)
+      GROUP BY tag""",
     "category_stop_words": sql(f"""
       SELECT category, unnest({stop_list('category')}) AS lemma
       FROM (SELECT DISTINCT concat_ws(' - ', category, value) AS category FROM cat)"""),

@@ -11,6 +11,7 @@ from trendloom.functions import answers as ans, text as tx, vectors as vec
 from trendloom.functions import vocabulary as voc
 from trendloom.operators import aggregates as agg, corpus, filters, joins, ranking, requests, reshape
 from trendloom.operators.describe import concat_description
+from trendloom.operators.lemmas import apply_lemma_rules, fit_lemma_rules
 from trendloom.operators.similarity import similarity_join
 from trendloom.operators.sizing import semi_by, spread_scan
 from trendloom.plans import matching, trends as trend_plans
@@ -369,6 +370,27 @@ def dictionary_text(spark, sf):
     return corpus.normalize_with_dictionary(texts, "raw", ["raw"], lemmas)
 
 
+@query
+def learned_lemmas(spark, sf):
+    """Lemmas of all words of the documents by rules learned from three quarters of them."""
+    docs = spread_scan(views.table(spark, sf, "documents"))
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
+    words = docs.select(F.explode(words).alias("token")).distinct()
+    words = cut_lineage(words.withColumn("known", F.left(F.md5("token"), F.lit(1)) < "c"), "words")
+    rules = fit_lemma_rules(words.where("known").select("token", tx.rule_lemma("token").alias("lemma")))
+    return apply_lemma_rules(words, rules)
+
+
+@query
+def learned_tags(spark, sf):
+    """Part names as tags, with lemmas from a table of their words where those are short, and learned rules beyond."""
+    tags = views.table(spark, sf, "part").select(
+        F.concat_ws("_", "p_name", "p_type", F.lit("2nd")).alias("tag")).distinct()
+    words = tags.select(F.explode(F.split(F.lower("tag"), "[_ ]+")).alias("token")).distinct()
+    lemmas = words.where("length(token) BETWEEN 4 AND 6").select("token", F.expr("left(token, length(token) - 1)").alias("lemma"))
+    return corpus.normalize_tags(tags, "tag", lemmas, fit_lemma_rules(lemmas))
+
+
 @query
 def normalize_tag(spark, sf):
     rows = views.table(spark, sf, "part").select(
