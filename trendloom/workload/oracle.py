@@ -488,6 +488,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT embedding_text, count(*) AS rows FROM cat_text GROUP BY ALL) c
         JOIN vec_of_cat v ON v.text = c.embedding_text)
       WHERE x <> 0"""),
+    "token_embed": r"""
+      WITH sizes AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: length(w)) AS ids
+                     FROM documents WHERE text IS NOT NULL),
+      sums AS (SELECT doc_id, list_transform(range(8), lambda k: len(list_filter(ids, lambda i: i % 8 = k))) AS v FROM sizes),
+      units AS (SELECT doc_id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS norm FROM sums)
+      SELECT doc_id, unnest(range(8))::int AS place, round(unnest(v) / norm, 6) AS x FROM units""",
     "catalog_candidates": sql("""
       SELECT product_id, category, tag, region, tag_embedding_text, round(confidence, 6) AS confidence FROM cat_cand"""),
     "trend_product_mapping": sql(f"""

@@ -432,6 +432,13 @@ def model_embed(spark, sf):
     return places.where("x != 0").select("embedding_text", "rows", "place", r6("x"))
 
 
+@query
+def token_embed(spark, sf):
+    """Vectors of whole documents out of a model of token ids, batched by length."""
+    docs = corpus.embed_texts(views.table(spark, sf, "documents").select("doc_id", "text"), "text", views.TOKEN_MODEL, "v")
+    return docs.select("doc_id", F.posexplode("v").alias("place", "x")).select("doc_id", "place", r6("x"))
+
+
 def _text_candidates(spark, sf, k=None):
     rows = matching.catalog_texts(views.catalog(spark, sf))
     return matching.prefilter_texts(rows, views.part_trends(spark, sf), views.ENCODER, k=k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trendloom.functions import vocabulary as voc
-from trendloom.functions.encoders import hash_encoder, model_encoder
+from trendloom.functions.encoders import hash_encoder, model_encoder, token_encoder
 from trendloom.functions.expr import literal_array
 from trendloom.functions.text import normalize_tag
 from trendloom.functions.vectors import l2_normalize
@@ -57,6 +57,24 @@ def _hash_model():
 MODEL = model_encoder(_hash_model)
 
 
+def _word_lengths():
+    """A tokenizer whose token of a word is the word's length."""
+    import re
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    return lambda texts: [[len(w) for w in word.findall(t)] for t in texts]
+
+
+def _length_model():
+    """Counts of the ids by their remainder by eight."""
+    import numpy as np
+
+    return lambda ids, mask: np.stack([((ids % 8 == k) & (mask > 0)).sum(axis=1) for k in range(8)], axis=1)
+
+
+TOKEN_MODEL = token_encoder(_word_lengths, _length_model, max_tokens=None)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows with vectors: three rows per product, one weight in ten is zero."""
     e = table(spark, sf_dir, "embeddings")
