@@ -590,6 +590,8 @@ ORACLE: dict[str, str] = {
       SELECT jsonl_file FROM (SELECT 'f' || o_orderkey AS jsonl_file FROM orders ORDER BY 1 LIMIT 500)
       WHERE jsonl_file NOT IN (SELECT jsonl_file FROM led WHERE logged <> 'expired')"""),
     "batch_state": sql("SELECT * FROM states"),
+    "batch_states_tracked": sql("""
+      SELECT *, state NOT IN ('done', 'ended') AND id NOT IN (SELECT 'b' || o_orderkey FROM orders) AS overdue FROM states"""),
     "batch_state_counts": sql("""
       SELECT CASE WHEN logged IN ('validating', 'in_progress', 'finalizing') THEN 'active'
                   WHEN logged = 'completed' THEN 'done' ELSE 'ended' END AS state, count(*) AS batches

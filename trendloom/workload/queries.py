@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +20,7 @@ from trendloom.schemas import TAGS_CSV
 from trendloom.session import cut_lineage, scratch_path
 from trendloom.sources import readers, writers
 from trendloom.streaming.incremental import embed_arrivals, incremental_embed, skip_done
+from trendloom.streaming.ledger import ledger_news, status_news, track_batches, tracked_states
 from trendloom.workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -699,6 +701,21 @@ def batch_state(spark, sf):
     return requests.batch_state(views.ledger(spark, sf), views.batch_status(spark, sf))
 
 
+@query
+def batch_states_tracked(spark, sf):
+    """`batch_state` out of messages that arrive in two parts; batches that were left open long ago are overdue."""
+    src, out, log = (scratch_path(spark, n) for n in ("messages", "changes", "progress"))
+    logged = views.table(spark, sf, "events").select(F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("id"), "ts")
+    lines = ledger_news(views.ledger(spark, sf).join(logged, F.col("batch.id") == logged["id"]), F.col("ts").cast("timestamp"))
+    heard = status_news(views.batch_status(spark, sf), F.lit("2999-01-01").cast("timestamp"))
+    news = lines.unionByName(heard)
+    for part in (0, 1):
+        mine = F.pmod(F.crc32("id") + F.col("jsonl_file").isNull().cast("int"), F.lit(2)) == part
+        news.where(mine).write.mode("append").parquet(src)
+        track_batches(spark, src, out, log, timedelta(hours=1))
+    return tracked_states(spark, out)
+
+
 @query
 def batch_state_counts(spark, sf):
     return requests.state_counts(requests.batch_state(views.ledger(spark, sf)))
