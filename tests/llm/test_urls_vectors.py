@@ -115,6 +115,24 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert (np.abs(error) < 5 * spread[:, None]).all()
 
 
+def test_packed_bits_leave_out_strangers_and_keep_neighbours():
+    rng = np.random.default_rng(5)
+    for dim in (2, 3, 64, 100):
+        a = vectors.unit(rng.standard_normal((300, dim)))
+        b = rng.standard_normal((300, dim))
+        b = vectors.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        b = 0.98 * a + math.sqrt(1 - 0.98**2) * b
+        code = np.packbits(vectors.encode(np.concatenate([a, b]), 2)[0], axis=1)
+        none, parts = np.zeros((600, 0), np.int64), np.repeat([0, 1], 300)
+        assert vectors.close_rows(code, 2 * dim, none, 0, parts, True, 0.98).all()
+        assert not vectors.close_rows(code, 2 * dim, none, 0, parts * 0, True, 0.98).any()
+    code = np.packbits(vectors.encode(vectors.unit(rng.standard_normal((300, 64))), 2)[0], axis=1)
+    assert not vectors.close_rows(code, 128, none, 0, parts, False, 0.98).any()
+    twice = np.concatenate([code, code[:1]])  # met before, in table 0
+    assert vectors.close_rows(twice, 128, np.zeros((301, 1), np.int64), 0, parts, False, 0.98).sum() == 2
+    assert not vectors.close_rows(twice, 128, np.zeros((301, 1), np.int64), 1, parts, False, 0.98).any()
+
+
 def test_recall_at_the_threshold():
     bits, tables = vectors.tables_for(1_000_000, 0.98, 0.9999)
     rng = np.random.default_rng(4)

@@ -9,6 +9,10 @@ whose estimate can reach the threshold are computed exactly.
 Slices of the code serve as keys: vectors meet in the buckets of several
 tables, as many as bring pairs at the threshold together with probability
 `recall`. A pair is counted in the first table in which it meets.
+
+Codes alone travel to the buckets of all tables, where packed bits are
+compared; vectors and factors follow only those that a bucket has found a
+partner for.
 """
 
 from __future__ import annotations
@@ -100,9 +104,40 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _dealt(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for each class and table: grp, place (table and key), node, n, code, factors, vec."""
-    schema = "grp bigint, place bigint, node bigint, n bigint, code binary, factors binary, vec binary"
+def close_rows(code: np.ndarray, bits: int, keys: np.ndarray, table: int, parts: np.ndarray, across: bool,
+               threshold: float, errors: float = ERRORS) -> np.ndarray:
+    """Which rows have a partner that `bucket_links` has to look at, by the bits in which packed codes differ.
+
+    At the threshold a bit differs with the probability angle / pi; `errors`
+    standard errors above that, and a bit for rounding, still pass.
+    """
+    share = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    most = math.ceil(bits * share + errors * math.sqrt(bits * share * (1 - share))) + 1
+    n = len(code)
+    wide = np.zeros((n, -(-code.shape[1] // 8) * 8), np.uint8)
+    wide[:, :code.shape[1]] = code
+    words = np.ascontiguousarray(wide.view(np.uint64).T)
+    near = np.zeros(n, bool)
+    for at in range(0, n, _ROWS):
+        apart = np.zeros((min(_ROWS, n - at), n - at), np.int32)
+        for word in words:
+            apart += np.bitwise_count(word[at:at + _ROWS, None] ^ word[None, at:])
+        left, right = np.nonzero(apart <= most)
+        left, right = left + at, right + at
+        wanted = left < right
+        if across:
+            wanted &= parts[left] != parts[right]
+        left, right = left[wanted], right[wanted]
+        for t in range(table):  # tables in turn, as a bucket of near copies has many pairs
+            new = keys[left, t] != keys[right, t]
+            left, right = left[new], right[new]
+        near[left] = near[right] = True
+    return near
+
+
+def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """grp, node, n, code, factors, vec (at unit length) for each class."""
+    schema = "grp bigint, node bigint, n bigint, code binary, factors binary, vec binary"
     small_batches(classes.sparkSession)
 
     def run(batches):
@@ -115,21 +150,35 @@ def _dealt(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             for dim in np.unique(sizes).tolist():
                 rows = np.nonzero(sizes == dim)[0]
                 units = unit(np.array([vectors[i] for i in rows.tolist()], np.float64))
-                count = max(2, -(-bits * tables // dim))
-                signs, factors = encode(units, count)
-                code = np.packbits(signs, axis=1)
-                places = _keys(signs, bits, tables) + (np.arange(tables) << bits)
-                again = np.repeat(rows, tables)
-                repeat = np.repeat(np.arange(len(rows)), tables).tolist()
-                blobs = [[a[i].tobytes() for i in range(len(rows))] for a in (code, factors, units)]
+                signs, factors = encode(units, max(2, -(-bits * tables // dim)))
+                blobs = [[x.tobytes() for x in a] for a in (np.packbits(signs, axis=1), factors, units)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rest["grp"][again]), pa.array(places.ravel()), pa.array(rest["node"][again]),
-                     pa.array(rest["n"][again]), *(pa.array([b[i] for i in repeat], pa.binary()) for b in blobs)],
+                    [pa.array(rest[c][rows]) for c in ("grp", "node", "n")] + [pa.array(b, pa.binary()) for b in blobs],
                     schema=arrow_schema(schema))
 
     return classes.select("grp", "node", "n", "vec").mapInArrow(run, schema)
 
 
+def _dealt(coded: DataFrame, bits: int, tables: int) -> DataFrame:
+    """A row for each class and table: grp, place (table and key), node, code."""
+    schema = "grp bigint, place bigint, node bigint, code binary"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            grp, node, code = batch.columns
+            wanted = bits * tables
+            head = np.frombuffer(b"".join(c[:-(-wanted // 8)] for c in code.to_pylist()), np.uint8)
+            signs = np.unpackbits(head.reshape(batch.num_rows, -1), axis=1, count=wanted)
+            places = _keys(signs, bits, tables) + (np.arange(tables) << bits)
+            again = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+            yield pa.RecordBatch.from_arrays([grp.take(again), pa.array(places.ravel()), node.take(again), code.take(again)],
+                                             schema=arrow_schema(schema))
+
+    return coded.select("grp", "node", "code").mapInArrow(run, schema)
+
+
 def _keys(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Keys of all tables: slices of the code as numbers."""
     return signs[:, :bits * tables].reshape(len(signs), tables, bits).astype(np.int64) @ (1 << np.arange(bits))
@@ -151,9 +200,56 @@ def _in_cells(rows: DataFrame, cell: int) -> DataFrame:
     return dealt.withColumn("cell", F.explode(meets)).drop("parts")
 
 
+def _by_bucket(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """`solve` for the rows of each bucket's cell that has two or more."""
+    names = ["grp", "place", "cell"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            block = pa.Table.from_batches([batch])
+            held = block if held is None else pa.concat_tables([held, block])
+            marks = np.stack([held.column(c).to_numpy() for c in names])
+            ends = np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1
+            start = 0
+            for end in ends.tolist():
+                if end - start > 1:
+                    yield solve(held.slice(start, end - start))
+                start = end
+            held = held.slice(start)  # the last bucket may go on
+        if held is not None and held.num_rows > 1:
+            yield solve(held)
+
+    rows = rows.repartition(row_partitions(rows), *names).sortWithinPartitions(*names, "node")
+    return rows.mapInArrow(run, schema)
+
+
+def _across(cell: int) -> bool:
+    return cell >> 24 != cell & (1 << 24) - 1
+
+
+def _met(rows: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
+    """place, part, cell, node: the rows whose codes are close to another one's of their bucket."""
+    schema = "place bigint, part bigint, cell bigint, node bigint"
+
+    def solve(block):
+        import pyarrow as pa
+
+        column = {c: block.column(c).combine_chunks() for c in block.column_names}
+        code = np.frombuffer(b"".join(column["code"].to_pylist()), np.uint8).reshape(block.num_rows, -1)
+        keys = _keys(np.unpackbits(code, axis=1, count=bits * tables), bits, tables)
+        near = close_rows(code, code.shape[1] * 8, keys, column["place"][0].as_py() >> bits, column["part"].to_numpy(),
+                          _across(column["cell"][0].as_py()), threshold)
+        return pa.RecordBatch.from_arrays(
+            [column[f].filter(pa.array(near)) for f in ("place", "part", "cell", "node")], schema=arrow_schema(schema))
+
+    return _by_bucket(rows, solve, schema)
+
+
 def _bucket_results(rows: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
     """Of each bucket: edges (node, other) of its components, and rows (node, null, links) of counts."""
-    names = ["grp", "place", "cell"]
     schema = "node bigint, other bigint, links bigint"
 
     def solve(block):
@@ -166,11 +262,10 @@ def _bucket_results(rows: DataFrame, bits: int, tables: int, threshold: float) -
         factors = np.frombuffer(b"".join(column["factors"].to_pylist()), np.float64).reshape(size, -1)
         code = np.frombuffer(b"".join(column["code"].to_pylist()), np.uint8).reshape(size, -1)
         signs = np.unpackbits(code, axis=1, count=units.shape[1] * factors.shape[1])
-        cell = column["cell"][0].as_py()
         forest, links = Forest(size), np.zeros(size, np.int64)
         for left, right in bucket_links(
                 units, signs, factors, _keys(signs, bits, tables), column["place"][0].as_py() >> bits,
-                column["part"].to_numpy(), cell >> 24 != cell & (1 << 24) - 1, threshold):
+                column["part"].to_numpy(), _across(column["cell"][0].as_py()), threshold):
             np.add.at(links, left, times[right])
             np.add.at(links, right, times[left])
             forest.link(left, right)
@@ -180,26 +275,7 @@ def _bucket_results(rows: DataFrame, bits: int, tables: int, threshold: float) -
             pa.concat_arrays([pa.array(nodes[forest.root[moved]]), pa.nulls(len(counted), pa.int64())]),
             pa.array(np.concatenate([np.zeros(len(moved), np.int64), links[counted]]))], schema=arrow_schema(schema))
 
-    def run(batches):
-        import pyarrow as pa
-
-        held = None
-        for batch in batches:
-            block = pa.Table.from_batches([batch])
-            held = block if held is None else pa.concat_tables([held, block])
-            marks = np.stack([held.column(c).to_numpy() for c in names])
-            ends = np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1
-            start = 0
-            for end in ends.tolist():
-                if end - start > 1:
-                    yield solve(held.slice(start, end - start))
-                start = end
-            held = held.slice(start)  # the last bucket may go on
-        if held is not None and held.num_rows > 1:
-            yield solve(held)
-
-    rows = rows.repartition(row_partitions(rows), *names).sortWithinPartitions(*names, "node")
-    return rows.mapInArrow(run, schema)
+    return _by_bucket(rows, solve, schema)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, vec_id: str = "vec_id",
@@ -221,7 +297,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         F.count("*").alias("n")), "classes")
     largest = classes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     bits, tables = tables_for(largest, threshold, recall)
-    found = cut_lineage(_bucket_results(_in_cells(_dealt(classes, bits, tables), cell), bits, tables, threshold), "links")
+    coded = cut_lineage(_coded(classes, bits, tables), "coded")
+    met = cut_lineage(_met(_in_cells(_dealt(coded, bits, tables), cell), bits, tables, threshold), "met")
+    pairs = met.withColumnRenamed("node", "m").join(coded, F.col("m") == F.col("node")).drop("m")
+    found = cut_lineage(_bucket_results(pairs, bits, tables, threshold), "links")
     members = connected_components(
         found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
