@@ -141,7 +141,9 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     body: Column = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1("body"))
-    firsts = first_pages(rows.withColumn("size", F.octet_length("body")), "digest", "size", "page_id", least)
+    # a table of its own: where it is small Spark sees that and broadcasts it, and the pages stay where they are
+    firsts = cut_lineage(
+        first_pages(rows.withColumn("size", F.octet_length("body")), "digest", "size", "page_id", least), "firsts")
     rows = rows.join(firsts, F.col("digest") == F.col("same"), "left").select(
         "page_id", "url", "body", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     if least > 0:
