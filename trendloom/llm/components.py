@@ -79,9 +79,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable) for every node of `edges` (a, b).
 
     Large-star and small-star rounds: a node's neighbours are linked to the
-    least of them. Minima combine before the shuffle, so a hub costs no task
-    more than its share; rounds end when no edge changes. Edges with a null
-    end and loops are ignored; an empty table gives an empty table.
+    least of them. Minima combine before the shuffle and are saved, so that
+    the join has plain shuffles on both sides and Spark can split the edges of
+    a hub; rounds end when no edge changes. Edges with a null end and loops are
+    ignored; an empty table gives an empty table.
     """
     edges = cut_lineage(_contracted(edges.where("a <> b")).distinct(), "edges")
     before = _state(edges)
@@ -89,13 +90,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("x"), F.least("a", "m").alias("m"))
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("x"), F.least("a", "m").alias("m")), "least")
         # large star: greater neighbours of a node hang on its least neighbour
         large = both.where("b > a").join(least, F.col("a") == F.col("x")).select(
             F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut_lineage(large, "large")
         # small star: a node's lesser neighbours, and itself, hang on the least
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m"), "least")
         small = large.join(least, F.col("a") == F.col("x")).select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
