@@ -22,6 +22,7 @@ from trendloom.operators.similarity import similarity_join
 from trendloom.operators.sizing import derive_once, lookup_join, skew_join
 from trendloom.plans.trends import tag_dimension
 from trendloom.session import cut_lineage
+from trendloom.sources.together import write_together
 from trendloom.sources.writers import write_table
 
 POS = ("pos",)
@@ -193,6 +194,12 @@ def publish(mapping: DataFrame, trends: DataFrame, mapping_path: str, tags_path:
     write_table(tags_in_output(tag_dimension(trends), written), tags_path)
 
 
+def publish_together(mapping: DataFrame, trends: DataFrame, root: str) -> str:
+    """`publish`, for readers of `read_together(spark, root)`, who see both tables change at once."""
+    return write_together(mapping.sparkSession, {
+        "mapping": mapping, "tags": lambda written: tags_in_output(tag_dimension(trends), written["mapping"])}, root)
+
+
 def map_trends(candidates: DataFrame, catalog: DataFrame, trends: DataFrame, encoder: Encoder,
                start_date: str, end_date: str, first_k: int = 5000, final_k: int = 1000,
                order_by: Sequence[str] = POS, together: bool = False) -> DataFrame:

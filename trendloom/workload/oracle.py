@@ -507,6 +507,10 @@ ORACLE: dict[str, str] = {
     "mapping_tag_dim": sql(f"""
       SELECT preprocessed_tag AS tag_value, category, region AS tag_type, tag FROM pt
       WHERE tag IN (SELECT tag FROM ({top('ranked', 'tag, category', 'cosine_similarity', 1000)}))""", **MAPPING),
+    "published_together": sql("""
+      SELECT preprocessed_tag AS tag_value, category, region AS tag_type, tag, products
+      FROM pt JOIN (SELECT replace(value, ' ', '_') AS tag, count(DISTINCT product_id) AS products FROM cat
+                    WHERE value IS NOT NULL GROUP BY 1) USING (tag)"""),
     "derive_gender": sql("""
       SELECT category, lower(split_part(category, ' - ', 1)) AS gender, date '2026-01-16' AS start_date,
              date '2026-01-23' AS end_date, count(*) AS rows FROM part_scores GROUP BY ALL"""),

@@ -18,7 +18,7 @@ from trendloom.operators.sizing import semi_by, spread_scan
 from trendloom.plans import matching, trends as trend_plans
 from trendloom.schemas import TAGS_CSV
 from trendloom.session import cut_lineage, scratch_path
-from trendloom.sources import readers, writers
+from trendloom.sources import readers, together, writers
 from trendloom.streaming.incremental import embed_arrivals, incremental_embed, skip_done
 from trendloom.streaming.ledger import ledger_news, status_news, track_batches, tracked_states
 from trendloom.workload import views
@@ -497,6 +497,21 @@ def mapping_tag_dim(spark, sf):
     return tags.select("tag_value", "category", "tag_type", "tag")
 
 
+@query
+def published_together(spark, sf):
+    """Tags and the products they are mapped to, from the pair of tables of the second of two runs."""
+    trends = views.part_trends(spark, sf).withColumn("embedding", F.lit(None).cast("array<double>"))
+    rows = views.catalog(spark, sf).select(
+        "product_id", "category", F.replace("normalised_name", F.lit(" "), F.lit("_")).alias("tag"))
+    root = scratch_path(spark, "together")
+    matching.publish_together(rows.where("category = 'Women - Kurtas'"), trends, root)
+    matching.publish_together(rows, trends, root)
+    now = together.read_together(spark, root)
+    products = now["mapping"].groupBy(F.col("tag").alias("name")).agg(F.count_distinct("product_id").alias("products"))
+    return now["tags"].join(products, F.col("tag") == F.col("name")).select(
+        "tag_value", "category", "tag_type", "tag", "products")
+
+
 @query
 def derive_gender(spark, sf):
     rows = filters.with_gender(filters.stamp_validity(_part_scores(spark, sf), "2026-01-16", "2026-01-23"))
