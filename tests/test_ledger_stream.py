@@ -1,10 +1,12 @@
 """States of batches whose messages arrive in any order, against the batch form."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
 from trendloom.operators.requests import batch_state
+from trendloom.streaming import ledger
 from trendloom.streaming.ledger import NEWS, track_batches, tracked_states
 
 PAST, LATER, FAR = datetime(2020, 1, 1), datetime(2020, 1, 2), datetime(2999, 1, 1)
@@ -66,3 +68,35 @@ def test_equal_to_the_batch_form(spark, arrive):
                  *[(r["id"], None, r["status"], LATER) for r in status.collect()[10:]])
     assert {(f, i, s, st) for i, (f, s, st, _) in got.items()} == {tuple(r) for r in batch_state(ledger, status).collect()}
     assert all(overdue == (state in ("active", "unknown")) for _, _, state, overdue in got.values())
+
+
+def test_an_arrival_calls_the_state_by_buckets_not_by_batches(spark, arrive, monkeypatch):
+    """With two buckets: overdue by the clock, ended, still open, not named and told again, side by side in one state."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(ledger._LastStatus):
+        def handleInputRows(self, *given):
+            calls.add(1)
+            yield from super().handleInputRows(*given)
+
+    monkeypatch.setattr(ledger, "BUCKETS", 2, raising=False)
+    monkeypatch.setattr(ledger, "_LastStatus", Counted)
+    kinds = [("validating", PAST), ("completed", PAST), ("in_progress", FAR), ("failed", FAR)]
+    lines = [(f"b{i}", f"f{i}", *kinds[i % 4]) for i in range(400)]
+    got = arrive(*lines, *[(f"c{i}", None, "completed", FAR) for i in range(40)])
+    states = [("active", True), ("done", False), ("active", False), ("ended", False)]
+    assert got == {f"b{i}": (f"f{i}", kinds[i % 4][0], *states[i % 4]) for i in range(400)}
+    again = arrive(*lines[:200], ("b0", None, "completed", LATER), ("b4", "g4", "validating", PAST),
+                   *[(f"c{i}", f"d{i}", "validating", PAST) for i in range(20)])
+    got |= {"b0": ("f0", "completed", "done", False), "b4": ("g4", "validating", "active", True)}
+    assert again == got | {f"c{i}": (f"d{i}", "completed", "done", False) for i in range(20)}
+    assert 0 < calls.value <= 4
+
+
+def test_a_timer_gives_out_what_has_become_overdue(spark, arrive):
+    soon = datetime.now() - HOUR + timedelta(seconds=20)
+    got = arrive(*[(f"b{i}", f"f{i}", "validating", soon + timedelta(seconds=i % 3)) for i in range(30)], ("c", "f", "new", FAR))
+    assert not any(overdue for *_, overdue in got.values())
+    time.sleep(max(0.0, (soon + HOUR + timedelta(seconds=4) - datetime.now()).total_seconds()))
+    got = arrive(("d", "f", "completed", PAST))
+    assert {i for i, (*_, overdue) in got.items() if overdue} == {f"b{i}" for i in range(30)} and len(got) == 32
