@@ -112,3 +112,24 @@ def test_lengths_and_empty_sides(sides):
         best.best_pairs(items, short).collect()
     assert best.best_pairs(items, tags.where("false"), k=3).count() == 0
     assert best.best_pairs(items.where("false"), tags).count() == 0
+
+
+def test_blocks_hold_whole_groups(spark, sides, monkeypatch):
+    """Lists of 23 tags to a block: every row passes through one block, and what a task holds stays below two blocks' rows."""
+    k, items, tags = 5, *sides
+    monkeypatch.setattr(best, "HELD_ROWS", TAGS * k)
+    blocks = best._blocks(similarity.prepared_tags(tags, "category", "embedding", None), "category", k)
+    assert sorted((name, len(names)) for held, _ in blocks for name, (names, _, _) in held.value.items()) == [
+        (g, TAGS) for g in "abd"] and len(blocks) == 3
+    assert sum(items.where("category in ('a', 'b')").where(chosen).count() for _, chosen in blocks) == items.where(
+        "category in ('a', 'b')").count()
+
+
+def test_a_large_group_is_cut(spark, sides, monkeypatch):
+    import pyarrow as pa
+
+    cut = best._split({"a": (pa.array(list("vwxyz")), np.arange(10.0).reshape(2, 5), np.zeros(5)),
+                       "b": (pa.array(["t"]), np.ones((2, 1)), np.ones(1))}, 2)
+    assert [{g: names.to_pylist() for g, (names, _, _) in b.items()} for b in cut] == [
+        {"a": ["v", "w"]}, {"a": ["x", "y"]}, {"a": ["z"], "b": ["t"]}]
+    assert [b["a"][1].tolist() for b in cut] == [[[0, 1], [5, 6]], [[2, 3], [7, 8]], [[4], [9]]]

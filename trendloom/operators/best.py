@@ -16,9 +16,13 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from trendloom.functions.vectors import SCORE_DIGITS
 from trendloom.operators.similarity import CELLS_PER_STEP, prepared_items, prepared_tags, tag_blocks, tag_matrices
+from trendloom.session import cut_lineage
 
-#: Rows of k-best lists that a task holds; tags are taken in blocks of this many over k.
-HELD_ROWS = 4 << 20
+#: Rows of k-best lists that a task holds, and as many again until they are cut; tags are taken in blocks of this many over k.
+HELD_ROWS = 1 << 20
+
+#: Groups of a block up to which its rows are chosen by name before they are joined.
+NAMED_GROUPS = 200
 
 
 class Keeper:
@@ -168,10 +172,33 @@ def _packed_rows(key: str, step: int):
     return rows_of
 
 
-def _blocks(tags: DataFrame, group: str, k: int | None):
-    """Shared matrices of the tags, block by block; see `tag_blocks`."""
+def _blocks(tags: DataFrame, group: str, k: int | None) -> list[tuple]:
+    """Shared matrices of the tags, block by block, and a condition on the rows that have tags there; see `tag_blocks`.
+
+    A block that lists are held for is one of whole groups, unless a group is
+    too large for one: so a row passes through as few blocks as can be.
+    """
     sc = tags.sparkSession.sparkContext
-    return [sc.broadcast(tag_matrices(part.toArrow(), group)) for part in tag_blocks(tags, group, HELD_ROWS // k if k else None)]
+    most = max(1, HELD_ROWS // k) if k else None
+    blocks = [b for part in tag_blocks(tags, group) for b in _split(tag_matrices(part.toArrow(), group), most)]
+    chosen = [F.col(group).isin(list(b)) if len(blocks) > 1 and len(b) <= NAMED_GROUPS else F.lit(True) for b in blocks]
+    return [(sc.broadcast(b), c) for b, c in zip(blocks, chosen, strict=True)]
+
+
+def _split(matrices: dict, most: int | None) -> list[dict]:
+    """The matrices in dictionaries of at most `most` tags each; a group of more than that is cut."""
+    if most is None or sum(len(names) for names, _, _ in matrices.values()) <= most:
+        return [matrices]
+    blocks, room = [], 0
+    for name, (names, matrix, floors) in sorted(matrices.items(), key=lambda m: -len(m[1][0])):
+        for start in range(0, len(names), most):
+            end = min(start + most, len(names))
+            if end - start > room:
+                blocks.append({})
+                room = most
+            blocks[-1][name] = (names.slice(start, end - start), matrix[:, start:end].copy(), floors[start:end])
+            room -= end - start
+    return blocks
 
 
 def _schema(rows: DataFrame, group: str, key: str) -> StructType:
@@ -190,10 +217,12 @@ def best_pairs(items: DataFrame, tags: DataFrame, key: str = "product_id", item_
     """
     rows = prepared_items(items.where(F.col(key).isNotNull()), [key], on, item_vec, weight)
     shared = _blocks(prepared_tags(tags, on, tag_vec, floor), on, k)
+    if len(shared) > 1:
+        rows = cut_lineage(rows, "items")  # read once per block, worked out once
     schema = _schema(rows, on, key)
     return reduce(DataFrame.unionByName, [
-        rows.mapInArrow(_kernel(held, on, key, above, digits, k, _vector_rows(key, CELLS_PER_STEP)), schema)
-        for held in shared])
+        rows.where(chosen).mapInArrow(_kernel(held, on, key, above, digits, k, _vector_rows(key, CELLS_PER_STEP)), schema)
+        for held, chosen in shared])
 
 
 def best_of_texts(rows: DataFrame, texts: DataFrame, tags: DataFrame, text_key: Sequence[str], key: str = "product_id",
@@ -207,12 +236,14 @@ def best_of_texts(rows: DataFrame, texts: DataFrame, tags: DataFrame, text_key:
     text_key)` brings them together.
     """
     prepared = prepared_items(texts, list(text_key), on, text_vec, None).drop("__weight")
-    found = []
-    for held in _blocks(prepared_tags(tags, on, tag_vec, floor), on, k):
-        packed = prepared.mapInArrow(
+    shared, found = _blocks(prepared_tags(tags, on, tag_vec, floor), on, k), []
+    if len(shared) > 1:
+        prepared = cut_lineage(prepared, "text-vectors")
+    for held, chosen in shared:
+        packed = prepared.where(chosen).mapInArrow(
             _text_scores(held, list(text_key), on, above),
             StructType([*[prepared.schema[c] for c in text_key], StructField("__scores", ArrayType(DoubleType()))]))
-        joined = join(rows, packed, list(text_key)).select(on, key, F.col(weight).cast("double").alias("__weight"), "__scores")
+        joined = join(rows.where(chosen), packed, list(text_key)).select(on, key, F.col(weight).cast("double").alias("__weight"), "__scores")
         found.append(joined.mapInArrow(
             _kernel(held, on, key, above, digits, k, _packed_rows(key, CELLS_PER_STEP)), _schema(joined, on, key)))
     return reduce(DataFrame.unionByName, found)
