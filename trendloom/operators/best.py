@@ -72,7 +72,8 @@ class Keeper:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        held = pa.concat_tables(self.parts).group_by(["t", "p"]).aggregate([("s", "max")])
+        # on one thread, as each would hold groups of its own and the cores have tasks
+        held = pa.concat_tables(self.parts).group_by(["t", "p"], use_threads=False).aggregate([("s", "max")])
         held = held.take(pc.sort_indices(held, sort_keys=[("t", "ascending"), ("s_max", "descending"), ("p", "ascending")]))
         tags, scores = held.column("t").to_numpy(), held.column("s_max").to_numpy()
         ends = np.searchsorted(tags, np.arange(len(self.kth) + 1))
@@ -81,6 +82,7 @@ class Keeper:
         held = held.filter(pa.array(np.arange(len(tags)) - ends[tags] < self.k))
         self.parts = [held.rename_columns(["t", "p", "s"]).select(["p", "t", "s"])]
         self.rows = held.num_rows
+        pa.default_memory_pool().release_unused()
         return self.parts[0]
 
 
