@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -39,6 +40,40 @@ def test_chunks_give_the_ids_of_the_text(library, text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_shared_words_are_looked_up_once(library):
+    """A word costs a look-up for all texts that hold it, its marks cost no entry, and long pieces are not kept."""
+    encoder = tokenfile.TextEncoder(BYTES)
+    texts = ["one two, two. TWO\nthree\n", None, "", " ", "two", "é two\n" + "中" * 300 + " two ", "two" * 99 + "!", "a\t b"] * 500
+    looked, look = [], encoder.words.compute
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return look(key)
+
+    encoder.words = Counting()
+    encoder.words.compute = look
+    found = encoder.encode_all(pa.array(texts))
+    assert [np.frombuffer(f, encoder.kind).tolist() for f in found] == [
+        library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert looked.count("two") <= 4 and len(looked) < 20
+    assert "two," not in looked and max(map(len, (*looked, *encoder.starts))) <= 48
+
+
+def test_slices_do_not_alter_ids(monkeypatch):
+    encoder = tokenfile.text_encoder(BYTES)
+    texts = ["", "x " * 70, None, "a b", "\n", "c" * 300, "d e\nf", ""]
+    whole = encoder.encode_all(pa.array(texts))
+    for size in (0, 1, 5, 100, 400):
+        monkeypatch.setattr(tokenfile, "SLICE_BYTES", size)
+        assert encoder.encode_all(pa.array(texts)) == whole == list(map(encoder.encode, (t or "" for t in texts)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], names=["k", "t"])
+               for i, t in enumerate(texts)]
+    parts = list(tokenfile.gathered(batches, 100))
+    assert 1 < len(parts) < len(texts) and [t for _, p in parts for t in p.to_pylist()] == texts
+    assert [k for p, _ in parts for k in p.to_pylist()] == list(range(len(texts)))
+
+
 def expected_tokens(rows, library):
     out, start = set(), 0
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
