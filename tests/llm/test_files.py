@@ -60,6 +60,26 @@ def test_shared_words_are_looked_up_once(library):
     assert "two," not in looked and max(map(len, (*looked, *encoder.starts))) <= 48
 
 
+@given(st.lists(st.text(alphabet="ab.'é  \n\n\t\r \x1c1", max_size=16), min_size=1, max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_white_space_in_a_row(library, texts):
+    encoder = tokenfile.text_encoder(BYTES)
+    found = [np.frombuffer(f, encoder.kind).tolist() for f in encoder.encode_all(pa.array(texts, pa.string()))]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_paragraphs_are_words_too(library):
+    """Texts with empty lines, indents and double spaces are looked up word by word."""
+    encoder = tokenfile.TextEncoder(BYTES)
+    asked, ask = [], encoder._ids
+    encoder._ids = lambda text: asked.append(text) or ask(text)
+    text = "One line.  Two\n\nthree, four\n    five \n\n\n six  \n"
+    found = encoder.encode_all(pa.array([text * 40, text, "  " + text]))
+    assert [np.frombuffer(f, encoder.kind).tolist() for f in found] == [
+        library.encode(t, add_special_tokens=False).ids for t in (text * 40, text, "  " + text)]
+    assert all(not t.strip(" \n.,") for t in asked)
+
+
 def test_slices_do_not_alter_ids(monkeypatch):
     encoder = tokenfile.text_encoder(BYTES)
     texts = ["", "x " * 70, None, "a b", "\n", "c" * 300, "d e\nf", ""]

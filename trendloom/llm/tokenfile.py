@@ -84,11 +84,13 @@ def look_up(memo: Memo, piece: str) -> bytes | None:
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, remembered for words.
 
-    The library splits a text at a lone space or line end, and a word of plain
-    letters from the mark behind it, whatever stands around; so the ids of
-    such pieces, words with the space before them, make up those of the text.
-    Texts with more white space in a row, or with the string of a special
-    token, go to the library as they are.
+    The library splits a text at a space or line end that follows something
+    else, and a word of plain letters from the mark behind it, whatever stands
+    around; of several spaces and line ends in a row it takes all but the last
+    together, or all at the end of the text. So the ids of such pieces, words
+    with the space before them, make up those of the text. Texts with other
+    white space in a row, or with the string of a special token, go to the
+    library as they are.
 
     Texts are cut by Arrow, many at a time, and a word that they share is
     looked up once for all of them.
@@ -190,6 +192,15 @@ class TextEncoder:
             places[at] = len(pieces)
             pieces.append(piece)
 
+        # nothing, or a line end alone, is what a space or line end leaves that another one follows
+        blank = pc.is_in(chunks.dictionary, pa.array(["", "\n"], pa.large_string())).to_numpy(zero_copy_only=False)[places]
+        blank[firsts] = False
+        blank = np.flatnonzero(blank)
+        for row in np.split(blank, np.flatnonzero(np.diff(blank) > 1) + 1) if len(blank) else ():
+            piece = look_up(self.starts, "".join([names[i] or " " for i in places[row].tolist()]))
+            places[row] = len(pieces)
+            pieces.append(b"")
+            change(row[0], piece)
         # first and last pieces have a space, or something else, on one side only
         for first, end in zip(firsts.tolist(), ends.tolist(), strict=True):
             name, alone = names[places[first]], end - first == 1
